@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, packing, token_counts, winnow
+from . import bpe_codec, packing, parity_join, repeats, token_counts, winnow
 from .common import table
 
 
+def op3_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.near_components(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -22,11 +26,15 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_bpe_codec, op6_token_counts, op8_winnowing, op10_harmonic_packing)
+    f.__name__: f for f in (op3_parity_join, op4_bpe_codec, op6_token_counts, op8_winnowing, op9_repeats, op10_harmonic_packing)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -92,13 +92,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def kgram_hash(symbols: np.ndarray, k: int) -> np.ndarray:
-    """Polynomial hash of each window of k symbols, built by doubling."""
+def kgram_hash(symbols: np.ndarray, k: int, base: int = _BASE) -> np.ndarray:
+    """Polynomial hash (odd base, modulo 2^64) of each window of k symbols, built by doubling."""
     n = len(symbols) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     h = (symbols.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    out, done, span, power = None, 0, 1, _BASE
+    out, done, span, power = None, 0, 1, base
     while True:
         if k & span:
             out = h[:n].copy() if out is None else out * np.uint64(power) + h[done : done + n]
