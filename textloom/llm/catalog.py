@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, chat_collapse, line_quality, packing, parity_join, repeats, token_counts, winnow
+from . import bpe_codec, chat_collapse, line_quality, packing, parity_join, pii, repeats, token_counts, winnow
 from .common import table
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_personal_data(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judge(table(spark, sf_dir, "documents")).select(*line_quality.COLUMNS)
 
@@ -43,6 +47,6 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_line_frequency, op3_parity_join, op4_bpe_codec, op5_chat_collapse, op6_token_counts, op8_winnowing, op9_repeats, op10_harmonic_packing)
+    f.__name__: f for f in (op1_pii_surrogates, op2_line_frequency, op3_parity_join, op4_bpe_codec, op5_chat_collapse, op6_token_counts, op8_winnowing, op9_repeats, op10_harmonic_packing)
 }
 ORACLE_SQL: dict[str, str] = {"op2_line_frequency": line_quality.ORACLE_SQL, "op5_chat_collapse": chat_collapse.ORACLE_SQL}
