@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, chat_collapse, line_quality, packing, parity_join, pii, repeats, token_counts, winnow
+from . import bpe_codec, chat_collapse, line_quality, packing, parity_join, pii, repeats, token_counts, toxicity, winnow
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,6 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_surrogates, op2_line_frequency, op3_parity_join, op4_bpe_codec, op5_chat_collapse, op6_token_counts, op8_winnowing, op9_repeats, op10_harmonic_packing)
+    f.__name__: f for f in (op1_pii_surrogates, op2_line_frequency, op3_parity_join, op4_bpe_codec, op5_chat_collapse, op6_token_counts, op7_toxicity, op8_winnowing, op9_repeats, op10_harmonic_packing)
 }
 ORACLE_SQL: dict[str, str] = {"op2_line_frequency": line_quality.ORACLE_SQL, "op5_chat_collapse": chat_collapse.ORACLE_SQL}

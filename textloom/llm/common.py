@@ -128,6 +128,9 @@ class Memo(dict):
         super().__init__()
         self.make, self.limit = make, limit
 
+    def __reduce__(self):  # a copy elsewhere starts empty
+        return Memo, (self.make, self.limit)
+
     def __missing__(self, key):
         value = self.make(key)
         if len(self) < self.limit:
