@@ -36,4 +36,4 @@ def anchored_collapse(df: DataFrame, keys: list[str], at: str, tolerance: int, c
         lambda s: s["kept"],
     )
     grouped = df.select(*keys, F.col(at).cast("long").alias(at), F.col(carried).cast("long").alias(carried)).groupBy(*keys).agg(places.alias("p"))
-    return grouped.select(*keys, F.explode(fold).alias("k")).select(*keys, F.col("k.a").alias(at), F.col("k.c").alias(carried))
+    return grouped.select(*keys, F.explode(fold).alias("__kept")).select(*keys, F.col("__kept.a").alias(at), F.col("__kept.c").alias(carried))

@@ -1 +1,105 @@
-"""Queries."""
+"""Queries over a small literal repository: extractors, paths, SARIF, rules."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from ..functions import paths as px
+from ..operators import extract
+from ..sources import readers
+from .registry import query
+
+#: A repository in miniature.
+FILES = [
+    ("src/api/app.py", 'import os\nfrom ..db import store as s\nimport a.b.c\n\nLIMIT = 3\n\n\nclass App(Base, mixin.M):\n    """The app."""\n\n    @property\n    def name(self):\n        return 1\n\n    @name.setter\n    def name(self, v):\n        pass\n\n\ndef main(argv):\n    if argv == 2 and LIMIT < 5:\n        return True\n    return len(argv) + 1\n'),
+    ("src/db/store.rs", "use crate::api::{app, other::{X, Y}};\nmod inner;\npub fn open(path: &str) -> Store {\n}\nstruct Store {\n}\n"),
+    ("src/web/page.ts", "export function render(a) {\n}\nexport class Page {\n}\nconst Size = 3;\n"),
+    ("lib/x.c", "/* c */\n#include <stdio.h>\nint add(int a, int b) {\n  return a + b;\n}\nstruct point {\n};\n"),
+    ("tests/test_app.py", "def test_main():\n    assert 1 == 1\n"),
+    ("vendor/dep/z.go", "package z\nfunc Run(a int) {\n}\ntype T struct {\n}\n"),
+    (".git/config", "x"),
+    ("Makefile", "all:\n"),
+    ("bad.py", "def broken(:\n"),
+]
+
+
+def _files(t):
+    spark = t("region").sparkSession
+    return spark.createDataFrame(FILES, "path string, text string").withColumn("ord", F.row_number().over(_by_path()))
+
+
+def _by_path():
+    from pyspark.sql import Window
+
+    return Window.orderBy("path")
+
+
+def _values(rows, cols):
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows) + ") v(" + ", ".join(cols) + ")"
+
+
+@query(_values([("src/api/app.py", "Python", "api", False), ("src/db/store.rs", "Rust", "db", False), ("src/web/page.ts", "TypeScript", "web", False), ("lib/x.c", "C", "lib", False), ("tests/test_app.py", "Python", "tests", True), ("vendor/dep/z.go", "Go", "vendor/dep", False), ("Makefile", "Build", "(root)", False), ("bad.py", "Python", "(root)", False)], ["path", "language", "component", "is_test"]))
+def classify_paths(t):
+    """Language, component and test predicate of files outside version control."""
+    p = F.col("path")
+    return _files(t).where(~px.is_vcs(p)).select("path", px.detect_language(p).alias("language"), px.component_for(p).alias("component"), px.is_test(p).alias("is_test"))
+
+
+@query(None)
+def symbols_regex(t):
+    """Symbols by line patterns of each language."""
+    return extract.regex_symbols(_files(t).withColumn("language", px.detect_language(F.col("path"))))
+
+
+@query(None)
+def symbols_python_ast(t):
+    """Symbols of Python files by their syntax trees."""
+    return extract.python_symbols(_files(t).where("path like '%.py'"))
+
+
+@query(None)
+def imports_python(t):
+    """Imported modules of Python files."""
+    return extract.python_imports(_files(t).where("path like '%.py'"))
+
+
+@query(None)
+def imports_rust(t):
+    """Imported paths of Rust files."""
+    return extract.rust_imports(_files(t).where("path like '%.rs'"))
+
+
+@query(None)
+def types_python(t):
+    """Classes of Python files with their bases."""
+    return extract.python_types(_files(t).where("path like '%.py'"))
+
+
+@query(None)
+def mutants(t):
+    """One mutant a line of Python files."""
+    return extract.mutants(_files(t).where("path like '%.py'"))
+
+
+SARIF = json.dumps({"runs": [{"results": [
+    {"ruleId": "boa", "level": "error", "message": {"text": "overflow"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "lib/x.c"}, "region": {"startLine": 4, "startColumn": 3}}}], "stacks": [{"frames": [{"location": {"message": {"text": "Call from main"}}}]}]},
+    {"ruleId": "dbz", "level": "ok", "message": {"text": "safe"}, "locations": []},
+    {"ruleId": "nul", "message": {"text": "null"}, "locations": []},
+]}]})
+
+
+@query(_values([("boa", "error", "lib/x.c", 4, 3, "overflow", "main"), ("nul", "warning", None, None, None, "null", "")], ["checker", "status", "file", "line", '"column"', "message", "called_from"]))
+def sarif_source(t):
+    """Findings of a SARIF text."""
+    return readers.sarif_findings(t("region").sparkSession.createDataFrame([(SARIF,)], "json string"))
+
+
+FINDINGS = json.dumps({"results": [{"check": "a", "result": "error", "path": "x.c", "lineno": 3, "msg": "m"}, {"id": "b", "status": "ok"}, {"rule": "c", "file": "y.c", "line": "7", "text": "t"}]})
+
+
+@query(_values([("a", "error", "x.c", 3, "m"), ("c", None, "y.c", 7, "t")], ["checker", "status", "file", "line", "message"]))
+def tolerant_findings(t):
+    """Findings of loosely shaped JSON."""
+    return readers.tolerant_findings(t("region").sparkSession.createDataFrame([(FINDINGS,)], "json string"))
