@@ -40,7 +40,8 @@ class PrefixCounter:
             if len(p) > 2:
                 self.reach[p[-3:]] = max(self.reach.get(p[-3:], 0), len(p))
         self.pairs = Memo(self._stays, 1_000_000)
-        self.words = Memo(self._count_word, 1_000_000)
+        self.words = Memo(lambda w: self._count_word(MARK, w), 1_000_000)  # after a space
+        self.heads = Memo(lambda w: self._count_word("", w), 1_000_000)  # after a line feed
         self.inside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}  # neighbours within a piece
 
     def merged(self, text: str) -> list[str]:
@@ -85,12 +86,12 @@ class PrefixCounter:
                     break
         return count
 
-    def _count_word(self, word: str) -> int:
+    def _count_word(self, mark: str, word: str) -> int:
         """Neighbours that no piece holds never merge, so a word splits before its closing marks."""
         core = word.rstrip(".,")
         if core and core != word and word[len(core) - 1 : len(core) + 1] not in self.inside:
-            return self.words[core] + self.words[word[len(core) :]]
-        return self.table(word)[-1]
+            return (self.words if mark else self.heads)[core] + self.heads[word[len(core) :]]
+        return self.table(mark + word)[-1]
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -100,7 +101,18 @@ class PrefixCounter:
         return [MARK + w for w in text.split(" ")]
 
     def count(self, text: str) -> int:
-        return sum(map(self.words.__getitem__, self.split(text))) if text else 0
+        """A line feed is spelt as a byte: no merge crosses it, and no mark follows it."""
+        if not text:
+            return 0
+        if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
+            return sum([self.table(w)[-1] for w in self.split(text)])
+        lines = text.split("\n")
+        total, words = len(lines) - 1, self.words.__getitem__
+        total += sum(map(words, lines[0].split(" "))) if lines[0] else 1  # a lone mark
+        for line in lines[1:]:
+            head, *rest = line.split(" ")
+            total += self.heads[head] + sum(map(words, rest))
+        return total
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Entry i: the token count of the text's first i characters."""
