@@ -14,9 +14,10 @@ windows. Two things keep the passes small.
   at once. Only where suffixes agree in digit one, but some stand alone in digit
   two (the ends of repeated passages), single windows are compared: digit three.
 
-Groups are counted with partial aggregates and joined back, so a passage that a
-third of all documents hold is never gathered in one task. Digits two and three
-are hashes: 128 bits with what they are compared within.
+Suffixes whose first digit occurs once (most) fall out in the first pass, before
+anything else is shuffled or kept. Groups are counted and joined back, never
+gathered, however many documents hold a passage. Digits two and three are
+hashes: 128 bits with what they are compared within. Texts travel compressed.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, kgram_hash, release, sliding_min, text_key
+from .common import arrow_map, cut, kgram_hash, partitions, release, sliding_min, text_key
 
 _ANCHORS = "d1 long, d2 long, k1 long, k2 long, r long"
 _WINDOWS = "h1 long, h2 long, k1 long, k2 long, start long"
@@ -64,13 +65,32 @@ def spans(marks: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start[new].tolist(), end[np.append(new[1:] - 1, len(end) - 1)].tolist(), strict=True))
 
 
-def repeated_ranges(docs: DataFrame, threshold: int = 400, gram: int = 101, text_col: str = "text") -> DataFrame:
-    """Ranges of bytes covered by repeated windows: ``k1, k2`` (names of a text), ``marks`` (array of packed ranges)."""
+def squeezed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, name of the text, compressed text (null for a null text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            z = pa.array([squeeze((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(3).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], z], names=["doc_id", "k1", "k2", "z"])
+
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return arrow_map(rows.select("doc_id", *text_key(), "text"), run, "doc_id long, k1 long, k2 long, z binary")
+
+
+def repeated_ranges(docs: DataFrame, packed: DataFrame, threshold: int = 400, gram: int = 101, text_col: str = "text") -> DataFrame:
+    """Ranges of bytes covered by repeated windows: ``k1, k2`` (names of a text), ``marks`` (array of packed ranges).
+
+    ``packed``: the same documents, as ``squeezed`` gives them.
+    """
     import xxhash
 
     if not 0 < gram <= threshold or threshold + (threshold - gram + 1) >= 1 << _RANGE:
         raise ValueError("threshold out of range")
     spark = docs.sparkSession
+    parts = partitions(spark)
     texts = docs.select(docs[text_col].cast("string").alias("text")).where(F.octet_length("text") >= threshold).select(*text_key(), "text")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,22 +107,29 @@ def repeated_ranges(docs: DataFrame, threshold: int = 400, gram: int = 101, text
                         col.append(v)
                 yield pa.RecordBatch.from_arrays([_long(np.concatenate(c)) for c in cols], names=["d1", "d2", "k1", "k2", "r"])
 
-    rows = cut(arrow_map(texts, suffixes, _ANCHORS))
+    # first pass: digit one (known not null, so that both readers of the exchange ask for the same one; a semi join would slip below it)
+    dealt = arrow_map(texts, suffixes, _ANCHORS).where("d1 is not null").repartition(parts, "d1")
+    rows = cut(dealt.join(dealt.groupBy("d1").count().where("count > 1"), "d1").drop("count"))
+    release(spark)
+    # second pass: digit two
     classes = rows.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("r").alias("r"))
     unsure = classes.groupBy("d1").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("d1")
     single = classes.join(unsure, "d1", "left_semi").groupBy("k1", "k2").agg(F.collect_list("r").alias("rs"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor().decompress
         before = None
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 cols: list[list] = [[np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]]
-                for k1, k2, text, rs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    if (k1, k2) == before:  # a further copy: its windows are repeated anyhow
+                for k1, k2, z, rs in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+                    if not rs or (k1, k2) == before:  # of further copies all windows are repeated anyhow
                         continue
                     before = (k1, k2)
-                    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                    raw = np.frombuffer(expand(z), np.uint8)
                     for r in rs:
                         a, n = r >> _RANGE, (r & ((1 << _RANGE) - 1)) + 1
                         part = raw[a : a + n - 1 + threshold]
@@ -110,9 +137,9 @@ def repeated_ranges(docs: DataFrame, threshold: int = 400, gram: int = 101, text
                             col.append(v)
                 yield pa.RecordBatch.from_arrays([_long(np.concatenate(c)) for c in cols], names=["h1", "h2", "k1", "k2", "start"])
 
-    compared = cut(arrow_map(texts.join(single, ["k1", "k2"]).select("k1", "k2", "text", "rs"), windows, _WINDOWS))
-    release(spark)
-    found = compared.join(compared.groupBy("h1", "h2").count().where("count > 1"), ["h1", "h2"], "left_semi")
+    # third pass: single windows
+    compared = arrow_map(packed.join(single, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "z", "rs"), windows, _WINDOWS).where("h1 is not null and h2 is not null").repartition(parts, "h1", "h2")
+    found = compared.join(compared.groupBy("h1", "h2").count().where("count > 1"), ["h1", "h2"])
     whole = rows.join(classes.where("n > 1").select("d1", "d2"), ["d1", "d2"], "left_semi")
     size = (1 << _RANGE) - 1
     marks = found.select("k1", "k2", (F.shiftleft("start", _RANGE) + threshold).alias("mark")).union(
@@ -121,12 +148,11 @@ def repeated_ranges(docs: DataFrame, threshold: int = 400, gram: int = 101, text
     return marks.groupBy("k1", "k2").agg(F.collect_set("mark").alias("marks"))
 
 
-def _cleaned(text: str | None, marks: list | None) -> tuple[bytes, bytes, list[tuple[int, int]]]:
-    raw = (text or "").encode("utf-8", "surrogatepass")
+def _cleaned(raw: bytes, marks: list | None) -> tuple[bytes, list[tuple[int, int]]]:
     found = spans(np.array(marks, np.int64)) if marks else []
     ends = [0, *(b for _, b in found)]
     starts = [*(a for a, _ in found), len(raw)]
-    return raw, b"".join([raw[a:b] for a, b in zip(ends, starts, strict=True)]), found
+    return b"".join([raw[a:b] for a, b in zip(ends, starts, strict=True)]), found
 
 
 def remove_repeats(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,25 +163,29 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id"
     Repeated rows are copies of each other. Other columns are ignored; an empty
     table gives no rows.
     """
-    marks = repeated_ranges(docs, threshold, text_col=text_col)
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    packed = squeezed(docs, id_col, text_col)
+    marks = repeated_ranges(docs, packed, threshold, text_col=text_col)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for doc, text, m in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                raw, kept, found = _cleaned(text, m)
+            for doc, z, m in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
+                raw = expand(z)
+                kept, found = _cleaned(raw, m)
                 out.append((doc, len(raw), len(raw) - len(kept), len(found), hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    joined = rows.select("doc_id", "text", *text_key()).join(marks, ["k1", "k2"], "left")
-    return arrow_map(joined.select("doc_id", "text", "marks"), digest, SCHEMA)
+    # the same exchange of packed texts as in the third pass
+    return arrow_map(packed.join(marks, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "z", "marks"), digest, SCHEMA)
 
 
 def without_repeats(docs: DataFrame, threshold: int = 400, text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns, repeated strings cut from the text; a character cut in two goes whole."""
-    marks = repeated_ranges(docs, threshold, text_col=text_col)
+    marks = repeated_ranges(docs, squeezed(docs.withColumn("__id", F.lit(0)), "__id", text_col), threshold, text_col=text_col)
     keys = [k.alias(n) for k, n in zip(text_key(), ("__k1", "__k2"), strict=True)]
     hits = marks.withColumnsRenamed({"k1": "__k1", "k2": "__k2", "marks": "__marks"})
     clean = docs.withColumn("text", F.col(text_col).cast("string")) if text_col != "text" else docs
@@ -165,7 +195,7 @@ def without_repeats(docs: DataFrame, threshold: int = 400, text_col: str = "text
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            texts = [t if not m else _cleaned(t, m)[1].decode("utf-8", "ignore") for t, m in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
+            texts = [t if not m else _cleaned(t.encode("utf-8", "surrogatepass"), m)[0].decode("utf-8", "ignore") for t, m in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
             cols = [batch.column(i) for i in range(len(names))]
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
