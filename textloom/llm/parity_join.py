@@ -16,10 +16,13 @@ one of them at most d differ and fewer than t-d don't tell, so one is left that
 both emit. A set with too few telling segments emits all it has, and tries
 again with another hash; after ``SEEDS`` hashes it emits every segment.
 
-Buckets are never expanded into pairs. Each member is compared with the
-bucket's smallest member; links join into components; only members that are
-still apart from others of their bucket are compared further, so no link is
-lost. Comparison is exact, on shingle sets.
+Buckets are never expanded into pairs. Where a bucket's members meet, their
+whole sketches (folded to some five bits for each shingle that may differ) are compared
+in blocks; pairs beyond the bound fall out there. First each member is paired
+with a hub of its bucket only; links, verified on the exact shingle sets, join
+into components. Then pairs within the bound that are still in different
+components, rare by now, are verified too; so no link is lost. Buckets larger
+than ``BLOCK`` are dealt to tasks by pairs of blocks.
 """
 
 from __future__ import annotations
@@ -36,9 +39,9 @@ from .common import Memo, arrow_map, cut, mix64, partitions, release, text_key
 from .graph import components
 
 SEEDS = 4
-#: Buckets with more members still apart than this are compared through pivots, smaller ones pair by pair.
-SMALL_BUCKET = 40
-_ITEMS = "doc_id long, id long, n long, keys array<long>"
+#: Members of a bucket that are compared in one task.
+BLOCK = 2000
+_ITEMS = "doc_id long, id long, n long, keys array<long>, even binary, odd binary"
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -72,6 +75,12 @@ def band_segments(band: int, percent: int) -> int:
     return (5 * (differ_at_most((2 << band) - 1, percent) + 1)) // 4 + 3
 
 
+def bands(n: int, percent: int) -> list[int]:
+    """A set's own band, and the next if partners reach into it."""
+    own = n.bit_length() - 1
+    return [] if not n else [own, own + 1] if 100 * n // percent >= 2 << own else [own]
+
+
 def segments(tokens: np.ndarray, m: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a sketch's segments with set bits: index, a hash of the bits, their number."""
     h = mix64(tokens ^ np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
@@ -87,13 +96,10 @@ def segments(tokens: np.ndarray, m: int, salt: int) -> tuple[np.ndarray, np.ndar
 
 
 def keys(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Bucket keys of a set."""
-    n = len(tokens)
-    if not n:
-        return np.empty(0, np.uint64)
-    need, own, out = differ_at_most(n, percent) + 1, n.bit_length() - 1, []
-    bands = [own] + ([own + 1] if 100 * n // percent >= 2 << own else [])
-    for band in bands:
+    """Bucket keys of a set; the lowest bit is that of the band."""
+    need, out = differ_at_most(len(tokens), percent) + 1, []
+    for band in bands(len(tokens), percent):
+        before = len(out)
         m = band_segments(band, percent)
         telling = 2 if band >= 5 else 1
         for seed in range(SEEDS):
@@ -110,7 +116,19 @@ def keys(tokens: np.ndarray, percent: int) -> np.ndarray:
             every = np.zeros(m, np.uint64)
             every[index] = value
             out.append(mix64(every ^ mix64(np.uint64((band * SEEDS + SEEDS - 1) << 32 | 1 << 31) + np.arange(m, dtype=np.uint64))))
-    return np.concatenate(out)
+        out[before:] = [k & ~np.uint64(1) | np.uint64(band & 1) for k in out[before:]]
+    return np.concatenate([*out, np.empty(0, np.uint64)])
+
+
+def folded(tokens: np.ndarray, band: int, percent: int) -> bytes:
+    """The set's parity sketch in a band as bits, about five for each shingle that may differ."""
+    words = differ_at_most((2 << band) - 1, percent) // 12 + 4
+    h = mix64(tokens + np.uint64(band + 77))
+    code, times = np.unique(h % np.uint64(64 * words), return_counts=True)
+    code = code[times & 1 == 1]
+    out = np.zeros(words, np.uint64)
+    np.bitwise_xor.at(out, (code >> np.uint64(6)).astype(np.int64), np.uint64(1) << (code & np.uint64(63)))
+    return out.tobytes()
 
 
 def _items(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -125,7 +143,8 @@ def _items(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str)
                 ends = np.cumsum([0, *map(len, found)])
                 flat = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), lists], names=["doc_id", "id", "n", "keys"])
+                sketches = [{b & 1: folded(s, b, percent) for b in bands(len(s), percent)} for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), lists, *(pa.array([x.get(i) for x in sketches], pa.binary()) for i in (0, 1))], names=["doc_id", "id", "n", "keys", "even", "odd"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return arrow_map(rows.select("doc_id", text_key()[0].alias("id"), "text"), run, _ITEMS)
@@ -172,6 +191,64 @@ def _squeezed(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     return arrow_map(rows, run, "id long, z binary").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("z").alias("z"))
 
 
+def _candidates(rows: DataFrame, percent: int, stars: bool) -> DataFrame:
+    """Pairs (u, v) within the bound, of members in different components, by block of a bucket.
+
+    ``stars``: only enough pairs to tie members to hubs, at most one or two a member.
+    """
+
+    def block(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
+        near = np.zeros((len(ids), len(ids)), bool)
+        for i in range(0, len(ids), 32):
+            far = np.bitwise_count(sketch[i : i + 32, None, :] ^ sketch[None, :, :]).sum(axis=2, dtype=np.int64)
+            near[i : i + 32] = far <= (100 - percent) * (n[i : i + 32, None] + n[None, :]) // (100 + percent)
+            near[i : i + 32] &= comp[i : i + 32, None] != comp[None, :]
+        if side.any():  # two blocks meet: each alone is another task's
+            near &= side[:, None] != side[None, :]
+        if not stars:
+            i, j = np.nonzero(np.triu(near))
+            return list(zip(ids[i].tolist(), ids[j].tolist(), strict=True))
+        out, free = [], near.any(axis=1)
+        while free.any():
+            hub = int(np.argmax(np.where(free, near.sum(axis=1), -1)))
+            free[hub] = False
+            out += [(int(ids[hub]), int(x)) for x in ids[near[hub] & free]]
+            if (tied := np.flatnonzero(near[hub] & ~free)).size:
+                out.append((int(ids[hub]), int(ids[tied[0]])))
+            free &= ~near[hub]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, waiting, seen = None, [], set()
+
+        def close():
+            if len(waiting) > 1:
+                cols = list(zip(*waiting, strict=True))
+                sketch = np.frombuffer(b"".join(cols[4]), np.uint64).reshape(len(waiting), -1)
+                seen.update((max(p), min(p)) for p in block(*(np.array(c, np.int64) for c in cols[:4]), sketch))
+            waiting.clear()
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array([p[i] for p in seen], pa.int64()) for i in (0, 1)], names=["u", "v"])
+            seen.clear()
+            return out
+
+        for whole in batches:
+            for key, a, b, own, *row in zip(*(c.to_pylist() for c in whole.columns), strict=True):
+                if (key, a, b) != name:
+                    close()
+                    name = (key, a, b)
+                waiting.append((*row[:3], int(own != a), row[3]))
+            if len(seen) > 100_000:
+                yield flush()
+        close()
+        yield flush()
+
+    spark = rows.sparkSession
+    dealt = rows.repartition(partitions(spark), "key", "a", "b").sortWithinPartitions("key", "a", "b", "id")
+    return arrow_map(dealt.select("key", "a", "b", "own", "id", "n", "component", "sketch"), run, "u long, v long").where("u <> v").distinct()
+
+
 def near_components(docs: DataFrame, percent: int = 85, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents under links of Jaccard similarity ``percent``/100 of word ``size``-shingles.
 
@@ -183,55 +260,41 @@ def near_components(docs: DataFrame, percent: int = 85, size: int = 4, id_col: s
     """
     spark = docs.sparkSession
     items = cut(_items(docs, size, percent, id_col, text_col))
-    rows = items.select(F.explode("keys").alias("key"), "id").repartition(partitions(spark), "key")
-    buckets = rows.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("most")).where("rep < most").select("key", "rep")
-    members = cut(rows.join(buckets, "key").select("key", "id", "rep").distinct())
+    # known not null, so that both readers of the exchange ask for the same one and it is made once
+    rows = items.select(F.explode("keys").alias("key"), "id").where("key is not null").repartition(partitions(spark), "key")
+    buckets = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "size")
+    members = rows.join(buckets, "key").groupBy("key", "id").agg(F.max("size").alias("size"))
+    # for large buckets, the pairs of blocks that a member goes to
+    blocks = F.expr(f"CAST((size + {BLOCK} - 1) div {BLOCK} AS INT)")
+    members = members.withColumn("blocks", blocks).withColumn("own", F.expr("CAST(pmod(xxhash64(id), blocks) AS INT)"))
+    members = cut(members.select("key", "id", "own", F.explode(F.expr("transform(sequence(0, blocks - 1), i -> struct(least(i, own) AS a, greatest(i, own) AS b))")).alias("p")).select("key", "id", "own", "p.a", "p.b"))
     release(spark)
-    pairs = cut(members.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct())
-    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    texts = _squeezed(docs, wanted, text_col)
+    sketches = items.groupBy("id").agg(F.max("n").alias("n"), F.first("even").alias("even"), F.first("odd").alias("odd"))
+
+    def sketched(rows: DataFrame) -> DataFrame:
+        return rows.join(sketches, "id").withColumn("sketch", F.when(F.col("key").bitwiseAND(1) == 0, F.col("even")).otherwise(F.col("odd"))).drop("even", "odd")
+
+    pairs = cut(_candidates(sketched(members.withColumn("component", F.col("id"))), percent, stars=True))
+    texts = _squeezed(docs, pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), text_col)
     links = cut(_linked(pairs, texts, size, percent))
     release(spark)
     found = components(links)
-
-    tested = pairs
-    apart = cut(_apart(members.select("key", "id"), found))
-    while not apart.isEmpty():
-        more = cut(_further(apart).join(tested, ["u", "v"], "left_anti"))
-        if not more.isEmpty():
-            links = cut(links.union(_linked(more, texts, size, percent)))
-            tested = cut(tested.union(more))
-            found = components(links)
-        # what is left: large buckets without their pivot, which has now met all others
-        pivot = apart.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where(f"n > {SMALL_BUCKET}")
-        rest = apart.join(pivot, "key").where("id <> pivot").select("key", "id")
-        apart = cut(_apart(rest, found))
+    named = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    apart = named.groupBy("key", "a", "b").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "a", "b")
+    more = cut(_candidates(sketched(named.join(apart, ["key", "a", "b"], "left_semi")), percent, stars=False).join(pairs, ["u", "v"], "left_anti"))
+    release(spark)
+    if not more.isEmpty():
+        texts = _squeezed(docs, more.select(F.col("u").alias("id")).union(more.select("v")).distinct(), text_col)
+        late = cut(_linked(more, texts, size, percent))
+        if not late.isEmpty():
+            found = components(links.union(late))
+    release(spark)
 
     named = items.select("doc_id", "n", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "n", F.coalesce("component", "id").alias("component"))
     least = named.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     return named.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components: ``key, id, component``."""
-    named = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    return named.join(mixed, "key", "left_semi")
-
-
-def _further(apart: DataFrame) -> DataFrame:
-    """Pairs still to compare: in small buckets all across components, in large ones pivot against the rest."""
-    size = apart.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot"))
-    rows = apart.join(size, "key")
-    small = rows.where(f"size <= {SMALL_BUCKET}").select("key", "id", "component")
-    other = small.select("key", F.col("id").alias("id2"), F.col("component").alias("component2"))
-    across = small.join(other, "key").where("component <> component2 and id > id2").select(F.col("id").alias("u"), F.col("id2").alias("v"))
-    large = rows.where(f"size > {SMALL_BUCKET}")
-    head = large.where("id = pivot").select("key", F.col("component").alias("own"))
-    star = large.join(head, "key").where("component <> own").select(F.col("id").alias("u"), F.col("pivot").alias("v"))
-    return across.union(star).distinct()
-
-
 def without_copies(docs: DataFrame, percent: int = 85, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one whose id is the component's; all its columns."""
     keep = near_components(docs, percent, size, id_col, text_col).where("doc_id = component_id or doc_id is null and component_id is null").select(F.col("doc_id").alias("__keep")).distinct()
