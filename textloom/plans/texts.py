@@ -10,8 +10,6 @@ from .registry import query
 
 QUERY = "license token permission"
 TERMS = ["license", "token", "permission", "secret", "copyright", "user", "the", "und", "les", "password"]
-#: A document's path in the file model.
-PATH = F.concat("source", F.lit("/"), "lang", F.lit("_"), F.col("doc_id").cast("string"))
 _RANKED = r"""
 WITH d AS (SELECT source || '/' || lang || '_' || doc_id AS path, text AS body FROM documents),
 t AS (SELECT unnest(['license', 'token', 'permission']) AS t),
@@ -24,10 +22,15 @@ SELECT path, score FROM s WHERE score > 0 ORDER BY score DESC, path LIMIT 15
 _TOK = r"CASE WHEN length({t}) = 0 THEN 0 ELSE floor(greatest(len(regexp_extract_all({t}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'))::DOUBLE, strlen({t}) / 4.0::DOUBLE) * 1.1::DOUBLE)::BIGINT + 1 END"
 
 
+def _path():
+    """A document's path in the file model."""
+    return F.concat("source", F.lit("/"), "lang", F.lit("_"), F.col("doc_id").cast("string"))
+
+
 @query(_RANKED)
 def search_documents(t):
     """Relevance ranking: top 15."""
-    return rank.relevance_rank(t("documents"), PATH, F.col("text"), QUERY).orderBy(F.desc("score"), "path").limit(15)
+    return rank.relevance_rank(t("documents"), _path(), F.col("text"), QUERY).orderBy(F.desc("score"), "path").limit(15)
 
 
 @query(f"""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import paths as px
 
@@ -39,10 +38,10 @@ def load_text(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     return files.withColumns({"language": lang, "sha256": F.sha2("content", 256), "text": text}).withColumn("loc", F.coalesce(loc, F.lit(0)).cast("int")).drop("content")
 
 
-SARIF = T.StructType.fromDDL(
-    "runs array<struct<results array<struct<ruleId string, level string, message struct<text string>, "
-    "locations array<struct<physicalLocation struct<artifactLocation struct<uri string>, region struct<startLine int, startColumn int>>>>, "
-    "stacks array<struct<frames array<struct<location struct<message struct<text string>>>>>>>>>>".replace(" array<", ":array<").replace("runs:", "runs ").replace(" struct<", ":struct<").replace(" string", ":string").replace(" int", ":int")
+SARIF = (
+    "runs array<struct<results:array<struct<ruleId:string,level:string,message:struct<text:string>,"
+    "locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,startColumn:int>>>>,"
+    "stacks:array<struct<frames:array<struct<location:struct<message:struct<text:string>>>>>>>>>>"
 )
 
 
