@@ -85,21 +85,21 @@ def _canonical(kind: str, m: str) -> str:
 
 
 def _pick(letters: str, r: str) -> str:
-    return f"substr({_q(letters)}, CAST(pmod({r}, {len(letters)}) AS INT) + 1, 1)"
+    return f"substr({_q(letters)}, 1 + CAST(pmod({r}, {len(letters)}) AS INT), 1)"
 
 
 def _from(words: list[str], r: str) -> str:
     return f"element_at(split({_q(' '.join(words))}, ' '), CAST(pmod({r}, {len(words)}) AS INT) + 1)"
 
 
-def _chars(s: str, seed: str, hexadecimal: bool = False, keep: str = "false") -> str:
+def _chars(s: str, seed: str, hexadecimal: bool = False) -> str:
     """Each character of ``s`` drawn anew in its own alphabet, counted from the end so that prefixes don't matter."""
-    r = f"xxhash64({seed}, size(split({s}, '')) - i)"
-    cases = " ".join(f"WHEN c rlike {_q(p)} THEN {_pick(a, r)}" for p, a in ALPHABETS)
+    cases = " ".join(f"WHEN c rlike {_q(p)} THEN {_pick(a, 'r')}" for p, a in ALPHABETS)
     if hexadecimal:
-        lower, upper = f"WHEN {s} rlike '^[0-9a-f]+$' THEN {_pick('0123456789abcdef', r)}", f"WHEN {s} rlike '^[0-9A-F]+$' THEN {_pick('0123456789ABCDEF', r)}"
-        cases = f"{lower} {upper} {cases}"
-    return f"array_join(transform(split({s}, ''), (c, i) -> CASE WHEN {keep} THEN c {cases} ELSE c END), '')"
+        cases = f"WHEN h = 1 THEN {_pick('0123456789abcdef', 'r')} WHEN h = 2 THEN {_pick('0123456789ABCDEF', 'r')} {cases}"
+    kind = "CASE WHEN s rlike '^[0-9a-f]+$' THEN 1 WHEN s rlike '^[0-9A-F]+$' THEN 2 ELSE 0 END" if hexadecimal else "0"
+    one = f"get(transform(array(xxhash64({seed}, length(s) - i)), r -> CASE {cases} ELSE c END), 0)"
+    return f"get(transform(array({s}), s -> get(transform(array({kind}), h -> array_join(transform(split(s, ''), (c, i) -> {one}), '')), 0)), 0)"
 
 
 def _luhn(digits: str) -> str:
@@ -157,7 +157,8 @@ def redrawn(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", rou
     out = None
     for attempt in range(1, rounds + 1):
         s = F.expr(_surrogate("kind", "mention", "canon", "seed", k))
-        made = drawn.withColumn("seed", F.expr(_seed("kind", "canon", "attempt", k))).withColumn("s", s).withColumn("s", F.expr(_canonical("kind", "s"))).select("kind", "canon", "mention", "attempt", "s")
+        made = drawn.withColumn("seed", F.expr(_seed("kind", "canon", "attempt", k))).withColumn("s", s).select("kind", "canon", "attempt", "s")
+        made = cut(made).withColumn("s", F.expr(_canonical("kind", "s")))  # the long expression is in one plan only
         first = made.groupBy("kind", "s").agg(F.min(F.struct("attempt", "canon")).alias("best"), F.count("*").alias("n")).where("n > 1").select("kind", "s", F.col("best.canon").alias("stays"))
         clash = made.join(first, ["kind", "s"]).where("canon <> stays").select("kind", "canon")
         real = made.join(every.select("kind", F.col("canon").alias("s")), ["kind", "s"], "left_semi").select("kind", "canon")
