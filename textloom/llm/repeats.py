@@ -12,7 +12,9 @@ windows. Two things keep the passes small.
 * Digit one is the anchor's gram. Digit two is all bytes of all windows that the
   anchor stands for; suffixes that agree in it are repeated in all these windows
   at once. Only where suffixes agree in digit one, but some stand alone in digit
-  two (the ends of repeated passages), single windows are compared: digit three.
+  two (the ends of repeated passages), the range is split: into blocks of
+  ``BLOCK`` windows, whose digits are the bytes that all of them share and the
+  bytes of all of them, and where these disagree again into single windows.
 
 Suffixes whose first digit occurs once (most) fall out in the first pass, before
 anything else is shuffled or kept. Groups are counted and joined back, never
@@ -33,34 +35,41 @@ from pyspark.sql import functions as F
 from .common import arrow_map, cut, kgram_hash, partitions, release, sliding_min, text_key
 
 _ANCHORS = "d1 long, d2 long, k1 long, k2 long, r long"
-_WINDOWS = "h1 long, h2 long, k1 long, k2 long, start long"
+#: Windows of a block between the anchor's range and the single window.
+BLOCK = 16
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-_RANGE = 10  # bits of a range's length beside its start
-_SECOND_BASE = 0xC2B2AE3D27D4EB4F
+_RANGE = 10  # bits of a range's lengths beside its start
+_LOW = (1 << _RANGE) - 1
+
+
+def _packed(first, anchor, last):
+    """A range of window starts and its anchor in one number."""
+    return first << 2 * _RANGE | anchor - first << _RANGE | last - first
 
 
 def _long(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64) if a.dtype == np.uint64 else a, pa.int64())
 
 
-def anchors(raw: bytes, threshold: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the anchors' grams, and the first and last start of the windows that each anchors."""
+def anchors(raw: bytes, threshold: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the anchors' grams, their places, and the first and last start of the windows that each anchors."""
     n = len(raw) - threshold + 1
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3
     h = kgram_hash(np.frombuffer(raw, np.uint8), gram)
     low = np.uint64((1 << max(26, len(h).bit_length())) - 1)
     least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), threshold - gram + 1)
     first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     last = np.append(first[1:] - 1, n - 1)
-    return h[(least[first] & low).astype(np.int64)], first, last
+    place = (least[first] & low).astype(np.int64)
+    return h[place], place, first, last
 
 
 def spans(marks: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs that packed ranges (start, length) cover."""
     marks = np.sort(marks)
     start = marks >> _RANGE
-    end = np.maximum.accumulate(start + (marks & ((1 << _RANGE) - 1)))
+    end = np.maximum.accumulate(start + (marks & _LOW))
     new = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
     return list(zip(start[new].tolist(), end[np.append(new[1:] - 1, len(end) - 1)].tolist(), strict=True))
 
@@ -90,7 +99,6 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, threshold: int = 400, gr
     if not 0 < gram <= threshold or threshold + (threshold - gram + 1) >= 1 << _RANGE:
         raise ValueError("threshold out of range")
     spark = docs.sparkSession
-    parts = partitions(spark)
     texts = docs.select(docs[text_col].cast("string").alias("text")).where(F.octet_length("text") >= threshold).select(*text_key(), "text")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,51 +109,85 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, threshold: int = 400, gr
                 cols: list[list] = [[], [], [], [], []]
                 for k1, k2, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                     raw = text.encode("utf-8", "surrogatepass")
-                    h, first, last = anchors(raw, threshold, gram)
+                    h, place, first, last = anchors(raw, threshold, gram)
                     d2 = np.array([digit(raw[a : b + threshold]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], np.uint64)
-                    for col, v in zip(cols, (h, d2, np.full(len(h), k1, np.int64), np.full(len(h), k2, np.int64), first << _RANGE | (last - first)), strict=True):
+                    for col, v in zip(cols, (h, d2, np.full(len(h), k1, np.int64), np.full(len(h), k2, np.int64), _packed(first, place, last)), strict=True):
                         col.append(v)
                 yield pa.RecordBatch.from_arrays([_long(np.concatenate(c)) for c in cols], names=["d1", "d2", "k1", "k2", "r"])
 
-    # first pass: digit one (known not null, so that both readers of the exchange ask for the same one; a semi join would slip below it)
-    dealt = arrow_map(texts, suffixes, _ANCHORS).where("d1 is not null").repartition(parts, "d1")
-    rows = cut(dealt.join(dealt.groupBy("d1").count().where("count > 1"), "d1").drop("count"))
+    rows = cut(_shared(arrow_map(texts, suffixes, _ANCHORS), ["d1"]))
     release(spark)
-    # second pass: digit two
-    classes = rows.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("r").alias("r"))
-    unsure = classes.groupBy("d1").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("d1")
-    single = classes.join(unsure, "d1", "left_semi").groupBy("k1", "k2").agg(F.collect_list("r").alias("rs"))
+    whole, open_ranges = _settle(rows)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+    def split(step: int):
+        """Digits of the open ranges' blocks of ``step`` windows."""
 
-        expand = zstandard.ZstdDecompressor().decompress
-        before = None
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                cols: list[list] = [[np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import zstandard
+
+            expand, digit, other = zstandard.ZstdDecompressor().decompress, xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest
+            before, cols = None, ([], [], [], [], [])
+
+            def flush():
+                out = pa.RecordBatch.from_arrays([_long(np.array(c, t)) for c, t in zip(cols, (np.uint64, np.uint64, np.int64, np.int64, np.int64), strict=True)], names=["d1", "d2", "k1", "k2", "r"])
+                for c in cols:
+                    c.clear()
+                return out
+
+            for batch in batches:
                 for k1, k2, z, rs in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
                     if not rs or (k1, k2) == before:  # of further copies all windows are repeated anyhow
                         continue
-                    before = (k1, k2)
-                    raw = np.frombuffer(expand(z), np.uint8)
+                    before, raw = (k1, k2), expand(z)
                     for r in rs:
-                        a, n = r >> _RANGE, (r & ((1 << _RANGE) - 1)) + 1
-                        part = raw[a : a + n - 1 + threshold]
-                        for col, v in zip(cols, (kgram_hash(part, threshold), kgram_hash(part, threshold, _SECOND_BASE), np.full(n, k1, np.int64), np.full(n, k2, np.int64), np.arange(a, a + n)), strict=True):
-                            col.append(v)
-                yield pa.RecordBatch.from_arrays([_long(np.concatenate(c)) for c in cols], names=["h1", "h2", "k1", "k2", "start"])
-
-    # third pass: single windows
-    compared = arrow_map(packed.join(single, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "z", "rs"), windows, _WINDOWS).where("h1 is not null and h2 is not null").repartition(parts, "h1", "h2")
-    found = compared.join(compared.groupBy("h1", "h2").count().where("count > 1"), ["h1", "h2"])
-    whole = rows.join(classes.where("n > 1").select("d1", "d2"), ["d1", "d2"], "left_semi")
-    size = (1 << _RANGE) - 1
-    marks = found.select("k1", "k2", (F.shiftleft("start", _RANGE) + threshold).alias("mark")).union(
-        whole.select("k1", "k2", (F.shiftright("r", _RANGE) * (1 << _RANGE) + F.col("r").bitwiseAND(size) + threshold).alias("mark"))
-    )
-    return marks.groupBy("k1", "k2").agg(F.collect_set("mark").alias("marks"))
+                        start, n = r >> 2 * _RANGE, (r & _LOW) + 1
+                        anchor = start + (r >> _RANGE & _LOW)
+                        # blocks are counted from the anchor, so equal windows are in equal blocks
+                        for j in range((anchor - start - n + 1) // step, (anchor - start) // step + 1):
+                            top = anchor - step * j
+                            first, last = max(start, top - step + 1), min(start + n - 1, top)
+                            for col, v in zip(cols, (digit(raw[top : top - step + 1 + threshold]), other(raw[first : last + threshold]), k1, k2, _packed(first, anchor, last)), strict=True):
+                                col.append(v)
+                    if len(cols[0]) > 100_000:
+                        yield flush()
+            yield flush()
+
+        return run
+
+    marks = whole
+    for step in (BLOCK, 1):
+        # every pass reads the same exchange of packed texts
+        with_ranges = packed.join(open_ranges, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "z", "rs")
+        found = _shared(arrow_map(with_ranges, split(step), _ANCHORS), ["d1", "d2"] if step == 1 else ["d1"])
+        if step > 1:
+            found = cut(found)
+            release(spark)
+            found, open_ranges = _settle(found)
+        marks = marks.union(found.select("k1", "k2", "r"))
+    # a range of n windows from a start covers n - 1 + threshold bytes
+    return marks.groupBy("k1", "k2").agg(F.collect_set(F.shiftright("r", 2 * _RANGE) * (1 << _RANGE) + F.col("r").bitwiseAND(_LOW) + threshold).alias("marks"))
+
+
+def _shared(rows: DataFrame, digits: list[str]) -> DataFrame:
+    """Rows whose digits occur twice or more.
+
+    Counts and rows read one exchange: to that end both ask for all columns,
+    not null, and the join is no semi join, which would slip below it.
+    """
+    dealt = rows.where(" and ".join(f"{d} is not null" for d in digits)).repartition(partitions(rows.sparkSession), *digits)
+    every = F.col("d1").bitwiseXOR(F.col("d2")).bitwiseXOR(F.col("k1")).bitwiseXOR(F.col("k2")).bitwiseXOR(F.col("r"))
+    counts = dealt.groupBy(*digits).agg(F.count("*").alias("n"), F.max(every).alias("x")).where("n > 1 and x is not null").select(*digits)
+    return dealt.join(counts, digits).select("d1", "d2", "k1", "k2", "r")
+
+
+def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranges that agree in both digits with another one (``k1, k2, r``), and of those that agree
+    in digit one but stand alone in digit two, with one of each class they are to be compared with,
+    the ranges by text (``k1, k2, rs``)."""
+    classes = rows.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("r").alias("r"))
+    unsure = classes.groupBy("d1").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("d1")
+    whole = rows.join(classes.where("n > 1").select("d1", "d2"), ["d1", "d2"], "left_semi").select("k1", "k2", "r")
+    return whole, classes.join(unsure, "d1", "left_semi").groupBy("k1", "k2").agg(F.collect_list("r").alias("rs"))
 
 
 def _cleaned(raw: bytes, marks: list | None) -> tuple[bytes, list[tuple[int, int]]]:
