@@ -13,9 +13,9 @@ MAX_FILE_BYTES = 200_000
 def walk_files(spark: SparkSession, root: str, ignore: list[str] | None = None, keep_vcs: bool = False) -> DataFrame:
     """``path, size, content`` of all files below ``root``, version control and ignored ones left out."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    bare = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    base = root.split(":", 1)[-1].lstrip("/").rstrip("/")
-    df = df.select(F.expr(f"substr({_sql(bare, base)}, 1)").alias("path"), F.col("length").alias("size"), "content")
+    base = root.split(":", 1)[-1].strip("/")
+    below = F.regexp_replace("path", rf"^[a-z]*:?/*\Q{base}\E/", "")
+    df = df.select(below.alias("path"), F.col("length").alias("size"), "content")
     if not keep_vcs:
         df = df.where(~px.is_vcs(F.col("path")))
     if ignore:
@@ -23,12 +23,6 @@ def walk_files(spark: SparkSession, root: str, ignore: list[str] | None = None,
     return df
 
 
-def _sql(_bare, base: str) -> str:
-    """SQL for the path below a root."""
-    q = base.replace("'", "\\'")
-    return f"regexp_replace(regexp_replace(path, '^[a-z]+:/*', ''), concat('^', '\\\\Q{q}\\\\E', '/'), '')"
-
-
 def load_text(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Adds ``language, sha256, loc, text``; text is null for what isn't UTF-8, isn't read (too large), or isn't code or markup."""
     lang = px.detect_language(F.col("path"))
