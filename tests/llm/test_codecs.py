@@ -66,7 +66,7 @@ def test_packing_is_gapless_whole_and_tight(spark, texts):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    rows = packing.pack(frame(spark, texts).withColumn("start", frame(spark, texts).doc_id)).collect()
+    rows = packing.pack(frame(spark, texts).selectExpr("*", "7 AS start", "8 AS length")).collect()
     pieces, bins = {}, {}
     for r in rows:
         pieces.setdefault(r.doc_id, []).append(r)
