@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from textloom.llm import line_quality, packing, parity_join, pii, repeats
 from textloom.llm.common import table, written
 
+#: Words from which a passage that occurs elsewhere is cut.
+PASSAGE_WORDS = 51
+
 
 def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Documents whose text has changed: their length follows it."""
@@ -35,8 +38,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of 400 bytes or more that occur elsewhere."""
-    return _with_text(repeats.without_repeats(docs), docs.columns)
+    """Cut passages of over 50 words that occur elsewhere."""
+    return _with_text(repeats.without_repeats(docs, PASSAGE_WORDS, words=True), docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,11 +20,16 @@ Suffixes whose first digit occurs once (most) fall out in the first pass, before
 anything else is shuffled or kept. Groups are counted and joined back, never
 gathered, however many documents hold a passage. Digits two and three are
 hashes: 128 bits with what they are compared within. Texts travel compressed.
+
+Lengths count bytes, or with ``words`` words between ASCII white space, each named
+by a 64-bit hash: a passage then is so many equal words, however short they are
+and whatever white space is between them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +45,9 @@ BLOCK = 16
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _RANGE = 10  # bits of a range's lengths beside its start
 _LOW = (1 << _RANGE) - 1
+#: Words of an anchor's gram when lengths count words.
+WORD_GRAM = 13
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def _packed(first, anchor, last):
@@ -51,12 +59,21 @@ def _long(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64) if a.dtype == np.uint64 else a, pa.int64())
 
 
-def anchors(raw: bytes, threshold: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _symbols(raw: bytes, words: bool) -> np.ndarray:
+    """A text's bytes, or the hashes of its words."""
+    if not words:
+        return np.frombuffer(raw, np.uint8)
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, raw.split()), np.uint64)
+
+
+def anchors(symbols: np.ndarray, threshold: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the anchors' grams, their places, and the first and last start of the windows that each anchors."""
-    n = len(raw) - threshold + 1
+    n = len(symbols) - threshold + 1
     if n <= 0:
         return np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3
-    h = kgram_hash(np.frombuffer(raw, np.uint8), gram)
+    h = kgram_hash(symbols, gram)
     low = np.uint64((1 << max(26, len(h).bit_length())) - 1)
     least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), threshold - gram + 1)
     first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
@@ -89,8 +106,8 @@ def squeezed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return arrow_map(rows.select("doc_id", *text_key(), "text"), run, "doc_id long, k1 long, k2 long, z binary")
 
 
-def repeated_ranges(docs: DataFrame, packed: DataFrame, threshold: int = 400, gram: int = 101, text_col: str = "text") -> DataFrame:
-    """Ranges of bytes covered by repeated windows: ``k1, k2`` (names of a text), ``marks`` (array of packed ranges).
+def repeated_ranges(docs: DataFrame, packed: DataFrame, threshold: int = 400, gram: int = 101, text_col: str = "text", words: bool = False) -> DataFrame:
+    """Ranges of bytes (or words) covered by repeated windows: ``k1, k2`` (names of a text), ``marks`` (array of packed ranges).
 
     ``packed``: the same documents, as ``squeezed`` gives them.
     """
@@ -99,7 +116,7 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, threshold: int = 400, gr
     if not 0 < gram <= threshold or threshold + (threshold - gram + 1) >= 1 << _RANGE:
         raise ValueError("threshold out of range")
     spark = docs.sparkSession
-    texts = docs.select(docs[text_col].cast("string").alias("text")).where(F.octet_length("text") >= threshold).select(*text_key(), "text")
+    texts = docs.select(docs[text_col].cast("string").alias("text")).where(F.octet_length("text") >= (2 * threshold - 1 if words else threshold)).select(*text_key(), "text")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digit = xxhash.xxh3_64_intdigest
@@ -108,9 +125,9 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, threshold: int = 400, gr
                 batch = whole.slice(at, 2000)
                 cols: list[list] = [[], [], [], [], []]
                 for k1, k2, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    h, place, first, last = anchors(raw, threshold, gram)
-                    d2 = np.array([digit(raw[a : b + threshold]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], np.uint64)
+                    symbols = _symbols(text.encode("utf-8", "surrogatepass"), words)
+                    h, place, first, last = anchors(symbols, threshold, gram)
+                    d2 = np.array([digit(symbols[a : b + threshold]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], np.uint64)
                     for col, v in zip(cols, (h, d2, np.full(len(h), k1, np.int64), np.full(len(h), k2, np.int64), _packed(first, place, last)), strict=True):
                         col.append(v)
                 yield pa.RecordBatch.from_arrays([_long(np.concatenate(c)) for c in cols], names=["d1", "d2", "k1", "k2", "r"])
@@ -138,7 +155,7 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, threshold: int = 400, gr
                 for k1, k2, z, rs in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
                     if not rs or (k1, k2) == before:  # of further copies all windows are repeated anyhow
                         continue
-                    before, raw = (k1, k2), expand(z)
+                    before, symbols = (k1, k2), _symbols(expand(z), words)
                     for r in rs:
                         start, n = r >> 2 * _RANGE, (r & _LOW) + 1
                         anchor = start + (r >> _RANGE & _LOW)
@@ -146,7 +163,7 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, threshold: int = 400, gr
                         for j in range((anchor - start - n + 1) // step, (anchor - start) // step + 1):
                             top = anchor - step * j
                             first, last = max(start, top - step + 1), min(start + n - 1, top)
-                            for col, v in zip(cols, (digit(raw[top : top - step + 1 + threshold]), other(raw[first : last + threshold]), k1, k2, _packed(first, anchor, last)), strict=True):
+                            for col, v in zip(cols, (digit(symbols[top : top - step + 1 + threshold]), other(symbols[first : last + threshold]), k1, k2, _packed(first, anchor, last)), strict=True):
                                 col.append(v)
                     if len(cols[0]) > 100_000:
                         yield flush()
@@ -190,8 +207,11 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return whole, classes.join(unsure, "d1", "left_semi").groupBy("k1", "k2").agg(F.collect_list("r").alias("rs"))
 
 
-def _cleaned(raw: bytes, marks: list | None) -> tuple[bytes, list[tuple[int, int]]]:
+def _cleaned(raw: bytes, marks: list | None, words: bool = False) -> tuple[bytes, list[tuple[int, int]]]:
     found = spans(np.array(marks, np.int64)) if marks else []
+    if found and words:  # white space around a passage stays
+        at = [m.span() for m in _WORD.finditer(raw)]
+        found = [(at[a][0], at[b - 1][1]) for a, b in found]
     ends = [0, *(b for _, b in found)]
     starts = [*(a for a, _ in found), len(raw)]
     return b"".join([raw[a:b] for a, b in zip(ends, starts, strict=True)]), found
@@ -225,9 +245,9 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id"
     return arrow_map(packed.join(marks, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "z", "marks"), digest, SCHEMA)
 
 
-def without_repeats(docs: DataFrame, threshold: int = 400, text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, repeated strings cut from the text; a character cut in two goes whole."""
-    marks = repeated_ranges(docs, squeezed(docs.withColumn("__id", F.lit(0)), "__id", text_col), threshold, text_col=text_col)
+def without_repeats(docs: DataFrame, threshold: int = 400, text_col: str = "text", words: bool = False) -> DataFrame:
+    """``docs`` with all its columns, repeated strings of ``threshold`` bytes (or words) cut from the text; a character cut in two goes whole."""
+    marks = repeated_ranges(docs, squeezed(docs.withColumn("__id", F.lit(0)), "__id", text_col), threshold, WORD_GRAM if words else 101, text_col, words)
     keys = [k.alias(n) for k, n in zip(text_key(), ("__k1", "__k2"), strict=True)]
     hits = marks.withColumnsRenamed({"k1": "__k1", "k2": "__k2", "marks": "__marks"})
     clean = docs.withColumn("text", F.col(text_col).cast("string")) if text_col != "text" else docs
@@ -237,7 +257,7 @@ def without_repeats(docs: DataFrame, threshold: int = 400, text_col: str = "text
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            texts = [t if not m else _cleaned(t.encode("utf-8", "surrogatepass"), m)[0].decode("utf-8", "ignore") for t, m in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
+            texts = [t if not m else _cleaned(t.encode("utf-8", "surrogatepass"), m, words)[0].decode("utf-8", "ignore") for t, m in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
             cols = [batch.column(i) for i in range(len(names))]
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
