@@ -40,6 +40,15 @@ def test_line_frequency_removes_boilerplate_and_spares_copies(spark):
     assert all(r.removed_words == 12 for r in got[70:])
 
 
+def test_line_frequency_counts_documents_with_equal_ends(spark):
+    rng = random.Random(4)
+    texts = ["\n".join(["Home | News", "Menu", prose(rng, 60, 10**6), "All rights reserved", "middle", prose(rng, 60, 10**6), "Contact us", "Imprint"]) for _ in range(30)]
+    texts += [texts[0]] * 30 + ["\n".join(["only copies", prose(rng, 60, 10**6)])] * 30
+    got = line_quality.judge(docs(spark, texts), min_docs=20, host_share=0.0).orderBy("doc_id").collect()
+    assert [r.removed_words for r in got] == [11] * 60 + [0] * 30
+    assert all(r.kept and r.clean_text == "\n".join([t.split("\n")[2], t.split("\n")[5]]) for r, t in zip(got[:60], texts, strict=False))
+
+
 def test_repeated_words_by_hand(spark):
     texts = ["a b c x a b c", "a a a a", "a b", None, "", "b a b a b"]
     got = line_quality.judge(docs(spark, texts)).orderBy("doc_id").collect()

@@ -4,9 +4,8 @@ Lines are normalised (lower case, white space collapsed) and hashed together
 with their host (the document's source). A line is boilerplate when more
 distinct documents of its host hold it than the host's limit: the larger of
 ``min_docs`` and ``host_share`` of the host's documents. Documents are distinct
-when their first or last other line differs, so copies of one document, which
-repeat all its lines, count once and don't condemn each other. Boilerplate lines
-are removed; a document that keeps too small a share of its words is depleted
+when their whole texts differ, so copies of one document, which repeat all its
+lines, count once and don't condemn each other. Boilerplate lines are removed; a document that keeps too small a share of its words is depleted
 and rejected.
 
 Line counts are two partial aggregates, so a line that a third of all documents
@@ -69,10 +68,8 @@ def _lines(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
 def lines_over_limit(docs: DataFrame, min_docs: int = 100, host_share: float = 0.01, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """``h``: hashes of (host, line) above the host's limit."""
     lines = _lines(docs, text_col, host_col)
-    own = lines.select("host", F.expr("array_distinct(filter(h, x -> x <> 0))").alias("h"))
-    ends = own.select("host", "h", F.expr("get(h, 0)").alias("a"), F.expr("get(h, size(h) - 1)").alias("b"), F.expr("get(h, 1)").alias("a2"), F.expr("get(h, size(h) - 2)").alias("b2"))
-    each = ends.select("host", F.explode("h").alias("h"), "a", "b", "a2", "b2").select("host", "h", F.expr("xxhash64(IF(h = a, a2, a), IF(h = b, b2, b))").alias("doc"))
-    distinct = each.groupBy("host", "h", "doc").agg(F.lit(1).alias("one"))
+    each = lines.select("host", "k1", F.explode(F.expr("array_distinct(filter(h, x -> x <> 0))")).alias("h"))
+    distinct = each.groupBy("host", "h", "k1").agg(F.lit(1).alias("one"))
     counted = distinct.groupBy("host", "h").count().where(F.col("count") > min_docs)
     hosts = docs.groupBy(F.coalesce(docs[host_col].cast("string"), F.lit("")).alias("host")).agg(F.count("*").alias("docs"))
     return counted.join(hosts, "host").where(F.col("count") > F.lit(host_share) * F.col("docs")).select("h")
