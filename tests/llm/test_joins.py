@@ -49,6 +49,13 @@ def test_line_frequency_counts_documents_with_equal_ends(spark):
     assert all(r.kept and r.clean_text == "\n".join([t.split("\n")[2], t.split("\n")[5]]) for r, t in zip(got[:60], texts, strict=False))
 
 
+def test_line_frequency_takes_shares_of_distinct_documents(spark):
+    rng = random.Random(6)
+    texts = [prose(rng, 60, 10**6) + "\nfooter of all" for _ in range(30)] + [prose(rng, 60, 10**6)] * 100
+    got = line_quality.judge(docs(spark, texts), min_docs=5, host_share=0.5).orderBy("doc_id").collect()
+    assert [r.removed_words for r in got] == [3] * 30 + [0] * 100
+
+
 def test_repeated_words_by_hand(spark):
     texts = ["a b c x a b c", "a a a a", "a b", None, "", "b a b a b"]
     got = line_quality.judge(docs(spark, texts)).orderBy("doc_id").collect()

@@ -24,6 +24,14 @@ def cut_passages(texts, n):
     return out
 
 
+def test_small_hosts_lose_their_boilerplate_lines(spark):
+    rng = random.Random(52)
+    bodies = [prose(rng, 60, 10**6) for _ in range(12)]
+    texts = [b + "\nfooter of six" * (i < 6) + "\nfooter of five" * (i >= 7) for i, b in enumerate(bodies)]
+    got = corpus_pipeline.quality_rules(spark, docs(spark, texts), "").orderBy("doc_id").collect()
+    assert [r.text for r in got] == [b + "\nfooter of five" * (i >= 7) for i, b in enumerate(bodies)]
+
+
 def test_passages_of_over_fifty_short_words_are_cut(spark):
     rng = random.Random(51)
     passage = [rng.choice("abcdefghij") + rng.choice("aeiou") for _ in range(51)]

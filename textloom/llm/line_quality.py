@@ -3,7 +3,7 @@
 Lines are normalised (lower case, white space collapsed) and hashed together
 with their host (the document's source). A line is boilerplate when more
 distinct documents of its host hold it than the host's limit: the larger of
-``min_docs`` and ``host_share`` of the host's documents. Documents are distinct
+``min_docs`` and ``host_share`` of the host's distinct documents. Documents are distinct
 when their whole texts differ, so copies of one document, which repeat all its
 lines, count once and don't condemn each other. Boilerplate lines are removed; a document that keeps too small a share of its words is depleted
 and rejected.
@@ -71,7 +71,8 @@ def lines_over_limit(docs: DataFrame, min_docs: int = 100, host_share: float = 0
     each = lines.select("host", "k1", F.explode(F.expr("array_distinct(filter(h, x -> x <> 0))")).alias("h"))
     distinct = each.groupBy("host", "h", "k1").agg(F.lit(1).alias("one"))
     counted = distinct.groupBy("host", "h").count().where(F.col("count") > min_docs)
-    hosts = docs.groupBy(F.coalesce(docs[host_col].cast("string"), F.lit("")).alias("host")).agg(F.count("*").alias("docs"))
+    t, host = F.coalesce(docs[text_col].cast("string"), F.lit("")), F.coalesce(docs[host_col].cast("string"), F.lit(""))
+    hosts = docs.select(host.alias("host"), F.xxhash64(host, t).alias("k1")).groupBy("host", "k1").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("docs"))
     return counted.join(hosts, "host").where(F.col("count") > F.lit(host_share) * F.col("docs")).select("h")
 
 
