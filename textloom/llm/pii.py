@@ -13,7 +13,8 @@ surrogate, or whose surrogate is an entity of the corpus itself, are drawn again
 until none is left. Only those redrawn travel back to the documents, as a
 literal map while they are few, else by a join on the text's name.
 
-Texts without a digit, an at sign or a title are not searched at all.
+Texts without a digit, an at sign, the beginning of a secret or a title are not
+searched at all.
 """
 
 from __future__ import annotations
@@ -138,8 +139,8 @@ def _seed(kind: str, canon: str, attempt: str, key: str) -> str:
 
 
 def _mentions(t: Column) -> Column:
-    """Matches of a text; none where no digit, at sign or title is."""
-    return F.when(t.rlike(rf"[0-9@]|\b(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}"), F.regexp_extract_all(t, F.lit(SEARCH), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    """Matches of a text; none where no digit, at sign, beginning of a secret or title is."""
+    return F.when(t.rlike(rf"[0-9@]|AKIA|(?i:token|secret|password|passwd|api[_-]?key) ?[=:]|\b(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}"), F.regexp_extract_all(t, F.lit(SEARCH), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
