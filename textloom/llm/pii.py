@@ -5,13 +5,17 @@ account numbers, social security numbers, secrets, names after a title) are
 replaced by surrogates of their own type and shape: digits stay digits, letters
 keep case and script, hexadecimal stays hexadecimal, card numbers keep network
 and check-digit status, addresses stay valid, names keep the gender of their
-title. A surrogate is a function of key, type and canonical form, so all
-mentions of an entity get the same one whatever their format (coreference).
-
-Distinctness is checked over the whole corpus: entities of a type that share a
-surrogate, or whose surrogate is an entity of the corpus itself, are drawn again
-until none is left. Only those redrawn travel back to the documents, as a
-literal map while they are few, else by a join on the text's name.
+title. A surrogate is drawn from key, type and canonical form and then laid into
+the format of each mention, so all mentions of an entity get the same one
+whatever their format (coreference). A full name is one entity for each gender
+of its titles; mentions with a neutral title belong to the gender that the name
+has elsewhere in the corpus (the female one if it has both).
+
+Distinctness is checked over the whole corpus, on canonical forms: entities of a
+type that share a surrogate, or whose surrogate is an entity of the corpus itself,
+are drawn again until none is left. Only those redrawn, and names whose gender
+other mentions tell, travel back to the documents, as a literal map while they are
+few, else by a join on the text's name.
 
 Texts without a digit, an at sign, the beginning of a secret or a title are not
 searched at all.
@@ -108,34 +112,55 @@ def _luhn(digits: str) -> str:
     return f"aggregate(transform(split(reverse({digits}), ''), (c, i) -> CASE WHEN i % 2 = 1 THEN CAST(c AS INT) ELSE CAST(c AS INT) * 2 - IF(CAST(c AS INT) > 4, 9, 0) END), 0, (a, x) -> a + x)"
 
 
-def _surrogate(kind: str, m: str, canon: str, seed: str, key: str) -> str:
-    """Replacement of the mention ``m``."""
-    domain = f"substring_index({m}, '@', -1)"
+def _gender(kind: str, m: str, canon: str) -> str:
+    """Of a full name's title: m, f, or n; nothing for other entities."""
+    title = f"regexp_extract({m}, {_q('^' + TITLE)}, 0)"
+    return f"CASE WHEN {kind} <> 'name' OR {canon} NOT LIKE '% %' THEN '' WHEN {title} rlike '^(?:{MALE})[. ]' THEN 'm' WHEN {title} rlike '^(?:{FEMALE})[. ]' THEN 'f' ELSE 'n' END"
+
+
+def _drawn(kind: str, canon: str, gender: str, seed: str, key: str) -> str:
+    """Canonical form of an entity's surrogate; Latin names are capitalised."""
+    domain = f"substring_index({canon}, '@', -1)"
     label = f"regexp_replace({domain}, '[.][^.]*$', '')"
-    email = f"concat({_chars(f'substring_index({m}, \'@\', 1)', seed)}, '@', {_chars(label, f'sha2(concat({key}, lower({domain})), 256)')}, '.', substring_index({domain}, '.', -1))"
-    lead = rf"regexp_extract({m}, '^(?:(?i:token|secret|password|passwd|api[_-]?key) ?[=:] ?[\"\']?|AKIA)', 0)"
-    secret = f"concat({lead}, {_chars(f'substr({m}, length({lead}) + 1)', seed, hexadecimal=True)})"
-    ip = f"array_join(transform(split({m}, '[.]'), (o, i) -> CAST(CASE WHEN i IN (0, 3) THEN 1 + pmod(xxhash64({seed}, i), 223) ELSE pmod(xxhash64({seed}, i), 256) END AS STRING)), '.')"
-    iban = f"concat(substr({m}, 1, 2), {_chars(f'substr({m}, 3)', seed)})"
-    phone_lead = f"regexp_extract({m}, '^[+][0-9]{{1,3}}(?=[ .(-])', 0)"
-    phone = f"concat({phone_lead}, {_chars(f'substr({m}, length({phone_lead}) + 1)', seed)})"
+    email = f"concat({_chars(f'substring_index({canon}, \'@\', 1)', seed)}, '@', {_chars(label, f'sha2(concat({key}, {domain}), 256)')}, '.', substring_index({domain}, '.', -1))"
+    lead = f"regexp_extract({canon}, '^AKIA(?=[0-9A-Z]{{16}}$)', 0)"
+    secret = f"concat({lead}, {_chars(f'substr({canon}, length({lead}) + 1)', seed, hexadecimal=True)})"
+    ip = f"array_join(transform(split({canon}, '[.]'), (o, i) -> CAST(CASE WHEN i IN (0, 3) THEN 1 + pmod(xxhash64({seed}, i), 223) ELSE pmod(xxhash64({seed}, i), 256) END AS STRING)), '.')"
     # card: network digit kept, the others drawn, the last set so that the check sum stays right or wrong
     body = f"concat(substr({canon}, 1, 1), {_chars(f'substr({canon}, 2, length({canon}) - 2)', seed)})"
     off = f"pmod(CAST(right({canon}, 1) AS INT) + {_luhn(f'left({canon}, length({canon}) - 1)')}, 10)"
-    number = f"transform(array({body}), b -> concat(b, CAST(pmod({off} - {_luhn('b')}, 10) AS STRING)))[0]"
-    spread = f"transform(array({number}), d -> array_join(transform(split({m}, ''), (c, i) -> IF(c rlike '[0-9]', substr(d, length(regexp_replace(left({m}, i + 1), '[^0-9]', '')), 1), c)), ''))[0]"
-    title = f"regexp_extract({m}, {_q('^' + TITLE)}, 0)"
-    bare = f"regexp_replace({m}, {_q('^' + TITLE)}, '')"
-    ends = f"CASE WHEN {title} rlike '^(?:{MALE})[. ]' THEN {_from(MALE_ENDS, f'xxhash64({seed}, 91)')} WHEN {title} rlike '^(?:{FEMALE})[. ]' THEN {_from(FEMALE_ENDS, f'xxhash64({seed}, 91)')} ELSE {_from(MALE_ENDS + FEMALE_ENDS, f'xxhash64({seed}, 91)')} END"
+    card = f"transform(array({body}), b -> concat(b, CAST(pmod({off} - {_luhn('b')}, 10) AS STRING)))[0]"
+    r = f"xxhash64({seed}, 91)"
+    ends = f"CASE {gender} WHEN 'm' THEN {_from(MALE_ENDS, r)} WHEN 'f' THEN {_from(FEMALE_ENDS, r)} ELSE {_from(MALE_ENDS + FEMALE_ENDS, r)} END"
     stem = lambda a: f"{_from(SYLLABLES, f'xxhash64({seed}, {a})')}, {_from(SYLLABLES, f'xxhash64({seed}, {a + 1})')}, {_from(SYLLABLES, f'xxhash64({seed}, {a + 2})')}"
     given, family = f"initcap(concat({stem(70)}, {ends}))", f"initcap(concat({stem(80)}, {_from(FAMILY_ENDS, f'xxhash64({seed}, 92)')}))"
-    latin = f"CASE WHEN {bare} LIKE '% %' THEN concat({given}, ' ', {family}) ELSE {family} END"
-    name = f"concat({title}, CASE WHEN {bare} rlike '^[\\\\u0041-\\\\u024F ’\\'-]+$' THEN {latin} ELSE {_chars(bare, seed)} END)"
-    return f"CASE {kind} WHEN 'email' THEN {email} WHEN 'secret' THEN {secret} WHEN 'ip' THEN {ip} WHEN 'iban' THEN {iban} WHEN 'phone' THEN {phone} WHEN 'ssn' THEN {_chars(m, seed)} WHEN 'card' THEN {spread} ELSE {name} END"
+    latin = f"concat(CASE WHEN {canon} LIKE '% %' THEN concat({given}, ' ') ELSE '' END, {family})"
+    # what is drawn character by character: local parts and most types
+    plain = _chars(f"CASE WHEN {kind} = 'iban' THEN substr({canon}, 3) ELSE {canon} END", seed)
+    return (
+        f"CASE WHEN {kind} = 'email' THEN {email} WHEN {kind} = 'secret' THEN {secret} WHEN {kind} = 'ip' THEN {ip} WHEN {kind} = 'card' THEN {card} "
+        rf"WHEN {kind} = 'name' AND {canon} rlike '^[\\u0041-\\u024F ’\'-]+$' THEN {latin} WHEN {kind} = 'iban' THEN concat(left({canon}, 2), {plain}) ELSE {plain} END"
+    )
+
+
+def _laid(kind: str, m: str, canon: str, drawn: str, seed: str) -> str:
+    """The surrogate ``drawn`` in the format of the mention ``m``."""
+    # separators stay, the others are counted from the end; of a phone number's digits before the canonical ones, a country code stays
+    rest = f"substr({m}, i + 1)"
+    place = f"length({drawn}) + 1 - length(CASE WHEN {kind} = 'iban' THEN replace({rest}, ' ', '') ELSE regexp_replace({rest}, '[^0-9]', '') END)"
+    lead = f"length(regexp_extract({m}, '^[+][0-9]{{1,3}}(?=[ .(-])', 0))"
+    early = f"CASE WHEN i < {lead} THEN c ELSE CAST(pmod(xxhash64({seed}, p), 10) AS STRING) END"
+    digits = f"array_join(transform(split({m}, ''), (c, i) -> CASE WHEN c = ' ' OR {kind} <> 'iban' AND NOT c rlike '[0-9]' THEN c ELSE get(transform(array({place}), p -> CASE WHEN p > 0 THEN substr({drawn}, p, 1) ELSE {early} END), 0) END), '')"
+    title = f"regexp_extract({m}, {_q('^' + TITLE)}, 0)"
+    cased = f"get(transform(array(CASE WHEN {kind} = 'name' THEN substr({m}, length({title}) + 1) ELSE {m} END), b -> array_join(transform(split({drawn}, ''), (c, i) -> CASE WHEN substr(b, i + 1, 1) = substr({canon}, i + 1, 1) THEN c ELSE upper(c) END), '')), 0)"
+    return (
+        f"CASE WHEN {kind} = 'ip' THEN {drawn} WHEN {kind} = 'secret' THEN concat(left({m}, length({m}) - length({canon})), {drawn}) WHEN {kind} = 'email' THEN {cased} "
+        f"WHEN {kind} = 'name' THEN concat({title}, CASE WHEN {drawn} <> lower({drawn}) THEN {drawn} ELSE {cased} END) ELSE {digits} END"
+    )
 
 
-def _seed(kind: str, canon: str, attempt: str, key: str) -> str:
-    return f"sha2(concat({key}, '|', {kind}, '|', {canon}, '|', CAST({attempt} AS STRING)), 256)"
+def _seed(kind: str, canon: str, gender: str, attempt: str, key: str) -> str:
+    return f"sha2(concat({key}, '|', {kind}, '|', {canon}, '|', {gender}, '|', CAST({attempt} AS STRING)), 256)"
 
 
 def _mentions(t: Column) -> Column:
@@ -144,30 +169,31 @@ def _mentions(t: Column) -> Column:
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Distinct entities of the corpus: ``kind, canon``, and one mention (``mention``)."""
+    """Distinct entities of the corpus as their mentions tell them: ``kind, canon, gender``."""
     found = docs.select(F.explode(_mentions(docs[text_col].cast("string"))).alias("m")).groupBy("m").agg(F.lit(1).alias("one"))
     named = found.select("m", F.expr(_type("m")).alias("kind")).select("m", "kind", F.expr(_canonical("kind", "m")).alias("canon"))
-    return named.groupBy("kind", "canon").agg(F.min("m").alias("mention"))
+    return named.select("kind", "canon", F.expr(_gender("kind", "m", "canon")).alias("gender")).distinct()
 
 
 def redrawn(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", rounds: int = 50) -> DataFrame:
-    """``kind, canon, attempt`` of the entities whose first surrogates collide."""
+    """``kind, canon, gender, as_gender, attempt`` of the entities whose first surrogates collide or whose gender other mentions tell."""
     k = _q(key)
     every = cut(entities(docs, text_col))
-    drawn = every.withColumn("attempt", F.lit(0))
-    out = None
+    known = every.where("gender in ('m', 'f')").groupBy("kind", "canon").agg(F.min("gender").alias("known"))
+    every = cut(every.join(known, ["kind", "canon"], "left").select("kind", "canon", "gender", F.expr("IF(gender = 'n', coalesce(known, 'n'), gender)").alias("as_gender")))
+    drawn = every.select("kind", "canon", F.col("as_gender").alias("gender")).distinct().withColumn("attempt", F.lit(0))
     for attempt in range(1, rounds + 1):
-        s = F.expr(_surrogate("kind", "mention", "canon", "seed", k))
-        made = drawn.withColumn("seed", F.expr(_seed("kind", "canon", "attempt", k))).withColumn("s", s).select("kind", "canon", "attempt", "s")
-        made = cut(made).withColumn("s", F.expr(_canonical("kind", "s")))  # the long expression is in one plan only
-        first = made.groupBy("kind", "s").agg(F.min(F.struct("attempt", "canon")).alias("best"), F.count("*").alias("n")).where("n > 1").select("kind", "s", F.col("best.canon").alias("stays"))
-        clash = made.join(first, ["kind", "s"]).where("canon <> stays").select("kind", "canon")
-        real = made.join(every.select("kind", F.col("canon").alias("s")), ["kind", "s"], "left_semi").select("kind", "canon")
+        seeded = drawn.withColumn("seed", F.expr(_seed("kind", "canon", "gender", "attempt", k)))
+        made = cut(seeded.select("kind", "canon", "gender", "attempt", F.expr(_drawn("kind", "canon", "gender", "seed", k)).alias("s")))  # the long expression is in one plan only
+        made = made.withColumn("s", F.expr("IF(kind = 'name', lower(s), s)"))
+        first = made.groupBy("kind", "s").agg(F.min(F.struct("attempt", "canon", "gender")).alias("best"), F.count("*").alias("n")).where("n > 1").select("kind", "s", F.col("best.canon").alias("stays"), F.col("best.gender").alias("as"))
+        clash = made.join(first, ["kind", "s"]).where("canon <> stays or gender <> as").select("kind", "canon", "gender")
+        real = made.join(every.select("kind", F.col("canon").alias("s")), ["kind", "s"], "left_semi").select("kind", "canon", "gender")
         again = cut(clash.union(real).distinct())
         if again.isEmpty():
-            return out if out is not None else drawn.where("false").select("kind", "canon", "attempt")
-        drawn = cut(drawn.join(again.withColumn("again", F.lit(True)), ["kind", "canon"], "left").select("kind", "canon", "mention", F.when(F.col("again"), F.lit(attempt)).otherwise(F.col("attempt")).alias("attempt")))
-        out = drawn.where("attempt > 0").select("kind", "canon", "attempt")
+            last = drawn.withColumnRenamed("gender", "as_gender")
+            return every.join(last, ["kind", "canon", "as_gender"]).where("attempt > 0 or gender <> as_gender").select("kind", "canon", "gender", "as_gender", "attempt")
+        drawn = cut(drawn.join(again.withColumn("again", F.lit(True)), ["kind", "canon", "gender"], "left").select("kind", "canon", "gender", F.when(F.col("again"), F.lit(attempt)).otherwise(F.col("attempt")).alias("attempt")))
     raise RuntimeError("surrogates still collide")
 
 
@@ -184,24 +210,30 @@ def replace_personal_data(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str
     names = [c for c in docs.columns if c != "n_entities"]
     df = docs.select(*names).withColumn("__t", F.col(text_col).cast("string"))
     df = df.withColumn("__m", _mentions(F.coalesce("__t", F.lit(""))))
-    attempt = "0"
+    found = "CAST(NULL AS STRING)"
     if 0 < len(few) <= LITERAL_ENTITIES:
-        pairs = ", ".join(f"{_q(r.kind + '|' + r.canon)}, {r.attempt}" for r in few)
-        attempt = f"coalesce(element_at(map({pairs}), concat(kind, '|', canon)), 0)"
+        pairs = ", ".join(f"{_q(f'{r.kind}|{r.canon}|{r.gender}')}, {_q(f'{r.as_gender}|{r.attempt}')}" for r in few)
+        found = f"element_at(map({pairs}), concat(x.kind, '|', x.canon, '|', x.gender))"
     elif few:
         df = df.withColumns({"__k1": F.xxhash64(F.coalesce("__t", F.lit(""))), "__k2": F.xxhash64(F.lit(3), F.coalesce("__t", F.lit("")))})
         each = df.select("__k1", "__k2", F.explode("__m").alias("m")).distinct().select("__k1", "__k2", "m", F.expr(_type("m")).alias("kind"))
-        each = each.withColumn("canon", F.expr(_canonical("kind", "m"))).join(again, ["kind", "canon"])
-        per_text = each.groupBy("__k1", "__k2").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("__again"))
+        each = each.withColumn("canon", F.expr(_canonical("kind", "m"))).withColumn("gender", F.expr(_gender("kind", "m", "canon"))).join(again, ["kind", "canon", "gender"])
+        per_text = each.groupBy("__k1", "__k2").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "canon", "gender"), F.concat_ws("|", "as_gender", "attempt")))).alias("__again"))
         df = df.join(per_text, ["__k1", "__k2"], "left")
-        attempt = "coalesce(element_at(__again, concat(kind, '|', canon)), 0)"
-    # mention -> (kind) -> (canon) -> (seed): one lambda variable after the other, each worked out once
-    one = _surrogate("x.kind", "x.m", "x.canon", "x.seed", k)
-    step1 = f"transform(__m, m -> named_struct('m', m, 'kind', {_type('m')}))"
-    step2 = f"transform({step1}, x -> named_struct('m', x.m, 'kind', x.kind, 'canon', {_canonical('x.kind', 'x.m')}))"
-    seed = _seed("x.kind", "x.canon", attempt.replace("kind,", "x.kind,").replace("canon)", "x.canon)"), k)
-    step3 = f"transform({step2}, x -> named_struct('m', x.m, 'kind', x.kind, 'canon', x.canon, 'seed', {seed}))"
-    made = f"transform({step3}, x -> {one})"
+        found = "element_at(__again, concat(x.kind, '|', x.canon, '|', x.gender))"
+    # mention -> kind -> canon -> gender -> (gender and attempt) -> seed -> drawn: one lambda variable after the other, each worked out once
+    step = "transform(__m, m -> named_struct('m', m, 'kind', " + _type("m") + "))"
+    had = ["m", "kind"]
+    for name, value in (
+        ("canon", _canonical("x.kind", "x.m")),
+        ("gender", _gender("x.kind", "x.m", "x.canon")),
+        ("found", f"coalesce({found}, concat(x.gender, '|0'))"),
+        ("seed", _seed("x.kind", "x.canon", "substring_index(x.found, '|', 1)", "substring_index(x.found, '|', -1)", k)),
+        ("drawn", _drawn("x.kind", "x.canon", "substring_index(x.found, '|', 1)", "x.seed", k)),
+    ):
+        step = f"transform({step}, x -> named_struct({', '.join(f'{_q(h)}, x.{h}' for h in had)}, {_q(name)}, {value}))"
+        had.append(name)
+    made = f"transform({step}, x -> {_laid('x.kind', 'x.m', 'x.canon', 'x.drawn', 'x.seed')})"
     new = F.when(F.size("__m") > 0, F.expr(f"array_join(zip_with(split(__t, {_q(SEARCH)}, -1), {made}, (gap, s) -> concat(gap, coalesce(s, ''))), '')")).otherwise(F.col("__t"))
     df = df.withColumns({text_col: new, "n_entities": F.size("__m").cast("long")})
     return df.select(*names, "n_entities")
