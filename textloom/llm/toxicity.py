@@ -13,15 +13,16 @@ with the label in training documents are evidence; a logistic regression weighs
 how much of it a text holds against its length. Evidence is learnt from one part
 of the labelled documents outside the held-out fold, the regression from the
 rest; ``max_train`` bounds both together (in the order of a hash of the id, so
-the bound samples evenly). Documents whose texts begin alike count once, so that
-copies of one document don't make its rare words evidence.
+the bound samples evenly). Of copies and near copies one is learnt from, so that
+they don't make their rare words evidence: texts are named by the least hash of
+their word shingles, which near copies share as often as they share shingles.
+What is shuffled are words with their counts, summed by each task.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, arrow_map, cut
+from .parity_join import shingles
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 #: Letters of the character model; index 0 is the word boundary, 1 any other letter.
@@ -44,20 +46,16 @@ LOOKS_LIKE = {
 SEPARATORS = " .-_*~'’`^/\\,:;|+#"
 #: Costs (negative log probabilities) of the channel's steps.
 AS_WRITTEN, LOOK_ALIKE, DROPPED, REPEATED = 0.05, 1.2, 1.0, 0.7
-_SUSPECT = re.compile(
-    r"(?<!\w)\w(?:[ .\-_*]\w(?!\w)){2,}"  # single letters in a row
-    r"|[^\W\d_]+(?:[\d@$!|+(<{€£¡*#%&?.\-_]+[^\W\d_]+)+"  # signs between letters
+_SINGLES = re.compile(r"\b\w[ .\-_*]\w(?!\w)(?:[ .\-_*]\w(?!\w))+")  # single letters in a row
+_MIXED = re.compile(  # within what white space leaves whole
+    r"[^\W\d_]+(?:[\d@$!|+(<{€£¡*#%&?.\-_]+[^\W\d_]+)+"  # signs between letters
     r"|[@$!|(0-9]+[^\W\d_]+|[^\W\d_]+[0-9$@]+"  # signs before or after letters
-    r"|\w*([^\W\d_])\1\1\w*"  # a letter three times
 )
+_TRIPLE = re.compile(r"([^\W\d_])\1\1")  # a letter three times
+_AROUND = re.compile(r"\w*")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def features(word: str) -> list[str]:
-    """A word and its beginnings of three to eight letters, longest first."""
-    return [word, *(f"{word[:n]}~" for n in range(min(8, len(word) - 1), 2, -1))]
-
-
 class Decoder:
     """Viterbi decoding of character lattices under a trigram model."""
 
@@ -95,12 +93,27 @@ class Decoder:
         return min((spent + self.cost[a * SIZE + b][0], text) for (a, b), (spent, text) in states.items())[1]
 
 
+def suspects(low: str) -> set[str]:
+    """What looks obfuscated in a lower-case text."""
+    found = {m.group() for m in _SINGLES.finditer(low)}
+    for token in set(low.split()):
+        core = token.rstrip(".,")
+        if not core.isalpha():
+            found.update(_MIXED.findall(core))
+    for m in _TRIPLE.finditer(low):
+        start = m.start()
+        while start and (low[start - 1].isalnum() or low[start - 1] == "_"):
+            start -= 1
+        found.add(_AROUND.match(low, start).group())
+    return found
+
+
 def words_of(text: str, decode) -> set[str]:
     """Distinct lower-case words as written, and as restored where they look obfuscated."""
     low = text.lower()
     found = set(_WORD.findall(low))
-    for m in _SUSPECT.finditer(low):
-        found.update(_WORD.findall(decode(m.group())))
+    for token in suspects(low):
+        found.update(_WORD.findall(decode(token)))
     return found
 
 
@@ -146,18 +159,25 @@ class Model:
     """Feature weights and a logistic regression over what a text holds of them."""
 
     def __init__(self, weights: dict[str, float]):
-        self.weights = weights
+        self.words = {f: w for f, w in weights.items() if f[-1:] != "~"}
+        self.begins = {f[:-1]: w for f, w in weights.items() if f[-1:] == "~"}
+        self.heads = {f[:3] for f in self.begins}
         self.beta = np.zeros(6)
         self.beta[0] = -3.0
-        self.best = Memo(self._best, 1_000_000)
 
-    def _best(self, word: str) -> float:
+    def best(self, word: str) -> float:
         """Weight of the longest known feature of a word."""
-        return next((self.weights[f] for f in features(word) if f in self.weights), 0.0)
+        if (weight := self.words.get(word)) is not None:
+            return weight
+        if word[:3] in self.heads:
+            for n in range(min(8, len(word) - 1), 2, -1):
+                if (weight := self.begins.get(word[:n])) is not None:
+                    return weight
+        return 0.0
 
     def measures(self, text: str | None, decode) -> list[float]:
         words = words_of(text or "", decode)
-        found = sorted((q for q in map(self.best.__getitem__, words) if q > 0), reverse=True)
+        found = sorted((q for q in map(self.best, words) if q > 0), reverse=True)
         total, n = sum(found), max(1, len(words))
         return [1.0, math.log1p(total), found[0] if found else 0.0, found[1] if len(found) > 1 else 0.0, min(1.0, 10 * total / n), math.log(n)]
 
@@ -186,33 +206,61 @@ def weigh(counts: list[tuple[str, int, int]], docs1: int, docs0: int, most: int
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, cost: np.ndarray, max_train: int = 20_000, least: int = 6, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit the model on at most ``max_train`` labelled documents outside the held-out fold."""
+def group_name(text: str) -> int:
+    """Of a text and most of its near copies: the least hash of its five-word shingles."""
+    found = shingles(text, 5)
+    return int(found[:1].view(np.int64)[0]) if len(found) else 0
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, max_train: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """``text, y, part`` of at most ``max_train`` labelled documents outside the held-out fold, one for each group of copies and label."""
     rated = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     chosen = rated.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("text is not null")
-    sample = cut(rows.join(F.broadcast(chosen), "doc_id").withColumn("part", F.expr("pmod(xxhash64(left(lower(text), 40)), 10)")))  # broadcast: max_train rows of two numbers
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = pa.array([group_name(t) for t in batch.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, names], names=["doc_id", "text", "y", "name"])
+
+    found = arrow_map(rows.join(F.broadcast(chosen), "doc_id"), named, "doc_id long, text string, y int, name long")  # broadcast: max_train rows of two numbers
+    return cut(found.groupBy("name", "y").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text")).select("text", "y", F.expr("pmod(xxhash64(name), 10)").alias("part")))
+
+
+def evidence(sample: DataFrame, cost: np.ndarray, least: int) -> dict[str, float]:
+    """Weights of features, from ``text, y`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = Decoder(cost)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                out: set = set()
-                for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    head = zlib.crc32(text[:40].lower().encode("utf-8", "surrogatepass"))
-                    out.update((f, w, y, head) for w in words_of(text, decode) if 2 < len(w) < 40 for f in features(w))
-                    out.add(("", "", y, head))
-                cols = list(zip(*out, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["f", "w", "y", "head"])
-
-    seen = arrow_map(sample.where("part < 7").select("doc_id", "text", "y"), run, "f string, w string, y int, head long")
-    words = seen.groupBy("f", "w").agg(F.countDistinct(F.when(F.col("y") == 1, F.col("head"))).alias("n1"), F.countDistinct(F.when(F.col("y") == 0, F.col("head"))).alias("n0"))
-    counted = words.groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count(F.when(F.col("n1") > 0, 1)).alias("words"))
+        decode, seen = Decoder(cost), ({}, {})
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                mine = seen[y]
+                for w in words_of(text, decode) | {""}:  # "" counts the texts
+                    if not w or 2 < len(w) < 40:
+                        mine[w] = mine.get(w, 0) + 1
+        for y, mine in enumerate(seen):  # at most the words of the sample
+            yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.string()), pa.array(list(mine.values()), pa.int64()), pa.array([y] * len(mine), pa.int32())], names=["w", "n", "y"])
+
+    counts = arrow_map(sample.select("text", "y"), run, "w string, n long, y int")
+    words = counts.groupBy("w").agg(*(F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (1, 0)))
+    begins = "transform(sequence(3, 8), n -> IF(length(w) > n, concat(left(w, n), '~'), NULL))"
+    counted = words.select(F.explode(F.expr(f"array_compact(array_append({begins}, w))")).alias("f"), "n1", "n0")
+    counted = counted.groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count(F.when(F.col("n1") > 0, 1)).alias("words"))
     # a beginning is evidence only if several words with it are; one word speaks for itself. Bounded by the sample.
     kept = counted.where((F.col("n1") + F.col("n0") >= least) & ((F.substring("f", -1, 1) != "~") & (F.col("n1") + F.col("n0") >= 3 * least) | (F.col("words") >= 4) & (F.col("n1") > F.col("n0") / 8) | (F.col("f") == ""))).collect()
     totals = next(((r.n1, r.n0) for r in kept if r.f == ""), (0, 0))
-    model = Model(weigh([(r.f, r.n1, r.n0) for r in kept if r.f], *totals))
+    return weigh([(r.f, r.n1, r.n0) for r in kept if r.f], *totals)
+
+
+def learn(docs: DataFrame, labels: DataFrame, cost: np.ndarray, max_train: int = 20_000, least: int = 6, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fit the model on at most ``max_train`` labelled documents outside the held-out fold."""
+    sample = training_sample(docs, labels, max_train, id_col, text_col, label_col)
+    return fitted(sample.where("part < 7"), sample.where("part >= 7"), cost, least)
+
+
+def fitted(words: DataFrame, weighed: DataFrame, cost: np.ndarray, least: int = 6) -> Model:
+    """A model with its evidence from some ``text, y`` rows and its regression from others."""
+    model = Model(evidence(words, cost, least))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode, names = Decoder(cost), [f"x{i}" for i in range(6)]
@@ -220,8 +268,7 @@ def learn(docs: DataFrame, labels: DataFrame, cost: np.ndarray, max_train: int =
             x = np.array([model.measures(t, decode) for t in batch.column(0).to_pylist()]).reshape(-1, 6)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(6)] + [batch.column(1)], names=[*names, "y"])
 
-    model.best.clear()
-    got = arrow_map(sample.where("part >= 7").select("text", "y"), measure, ", ".join(f"x{i} double" for i in range(6)) + ", y int").collect()
+    got = arrow_map(weighed.select("text", "y"), measure, ", ".join(f"x{i} double" for i in range(6)) + ", y int").collect()
     if got and 0 < sum(r.y for r in got) < len(got):
         table = np.array([tuple(r) for r in got], float)
         model.fit(table[:, :6], table[:, 6])
