@@ -18,7 +18,8 @@ windows. Two things keep the passes small.
 
 Suffixes whose first digit occurs once (most) fall out in the first pass, before
 anything else is shuffled or kept. Groups are counted and joined back, never
-gathered, however many documents hold a passage. Digits two and three are
+gathered, however many documents hold a passage; rows of one digit are dealt among
+``SALTS`` tasks. Digits two and three are
 hashes: 128 bits with what they are compared within. Texts travel compressed.
 
 Lengths count bytes, or with ``words`` words between ASCII white space, each named
@@ -34,15 +35,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, cut, kgram_hash, partitions, release, sliding_min, text_key
 
-_ANCHORS = "d1 long, d2 long, k1 long, k2 long, r long"
+_ANCHORS = "d1 long, d2 long, k1 long, k2 long, r long, s int"
+_NAMES = ["d1", "d2", "k1", "k2", "r", "s"]
 #: Windows of a block between the anchor's range and the single window.
 BLOCK = 16
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, clean_text string"
+#: Windows of a text that are looked at together, and salts among which rows of one digit are dealt.
+SPAN, SALTS = 1 << 23, 64
 _RANGE = 10  # bits of a range's lengths beside its start
 _LOW = (1 << _RANGE) - 1
 #: Words of an anchor's gram when lengths count words.
@@ -59,6 +63,11 @@ def _long(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64) if a.dtype == np.uint64 else a, pa.int64())
 
 
+def _rows(cols: list[np.ndarray]) -> pa.RecordBatch:
+    """Suffixes as a batch, each with a salt: rows of one digit go to as many tasks."""
+    return pa.RecordBatch.from_arrays([*map(_long, cols), pa.array(np.arange(len(cols[0]), dtype=np.int32) % SALTS)], names=_NAMES)
+
+
 def _symbols(raw: bytes, words: bool) -> np.ndarray:
     """A text's bytes, or the hashes of its words."""
     if not words:
@@ -69,17 +78,25 @@ def _symbols(raw: bytes, words: bool) -> np.ndarray:
 
 
 def anchors(symbols: np.ndarray, threshold: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the anchors' grams, their places, and the first and last start of the windows that each anchors."""
-    n = len(symbols) - threshold + 1
-    if n <= 0:
+    """Hashes of the anchors' grams, their places, and the first and last start of the windows that each anchors.
+
+    Long texts go in blocks of ``SPAN`` windows, so that places in a block have a
+    fixed width beside the hashes whose minimum is taken: which gram anchors a
+    window depends on the window alone.
+    """
+    out: list[list] = [[], [], [], []]
+    for at in range(0, len(symbols) - threshold + 1, SPAN):
+        n = min(SPAN, len(symbols) - threshold + 1 - at)
+        h = kgram_hash(symbols[at : at + n + threshold - 1], gram)
+        low = np.uint64(2 * SPAN - 1)
+        least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), threshold - gram + 1)
+        first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+        place = (least[first] & low).astype(np.int64)
+        for col, v in zip(out, (h[place], at + place, at + first, at + np.append(first[1:] - 1, n - 1)), strict=True):
+            col.append(v)
+    if not out[0]:
         return np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3
-    h = kgram_hash(symbols, gram)
-    low = np.uint64((1 << max(26, len(h).bit_length())) - 1)
-    least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), threshold - gram + 1)
-    first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    last = np.append(first[1:] - 1, n - 1)
-    place = (least[first] & low).astype(np.int64)
-    return h[place], place, first, last
+    return tuple(map(np.concatenate, out))
 
 
 def spans(marks: np.ndarray) -> list[tuple[int, int]]:
@@ -130,7 +147,7 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, threshold: int = 400, gr
                     d2 = np.array([digit(symbols[a : b + threshold]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], np.uint64)
                     for col, v in zip(cols, (h, d2, np.full(len(h), k1, np.int64), np.full(len(h), k2, np.int64), _packed(first, place, last)), strict=True):
                         col.append(v)
-                yield pa.RecordBatch.from_arrays([_long(np.concatenate(c)) for c in cols], names=["d1", "d2", "k1", "k2", "r"])
+                yield _rows([np.concatenate(c) for c in cols])
 
     rows = cut(_shared(arrow_map(texts, suffixes, _ANCHORS), ["d1"]))
     release(spark)
@@ -146,7 +163,7 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, threshold: int = 400, gr
             before, cols = None, ([], [], [], [], [])
 
             def flush():
-                out = pa.RecordBatch.from_arrays([_long(np.array(c, t)) for c, t in zip(cols, (np.uint64, np.uint64, np.int64, np.int64, np.int64), strict=True)], names=["d1", "d2", "k1", "k2", "r"])
+                out = _rows([np.array(c, t) for c, t in zip(cols, (np.uint64, np.uint64, np.int64, np.int64, np.int64), strict=True)])
                 for c in cols:
                     c.clear()
                 return out
@@ -185,25 +202,36 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, threshold: int = 400, gr
     return marks.groupBy("k1", "k2").agg(F.collect_set(F.shiftright("r", 2 * _RANGE) * (1 << _RANGE) + F.col("r").bitwiseAND(_LOW) + threshold).alias("marks"))
 
 
-def _shared(rows: DataFrame, digits: list[str]) -> DataFrame:
-    """Rows whose digits occur twice or more.
+def _counted(rows: DataFrame, digits: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows dealt by digits and salt, and per (digits, salt) a row of the group, its size, and the size ``all`` of all salts' groups.
 
-    Counts and rows read one exchange: to that end both ask for all columns,
-    not null, and the join is no semi join, which would slip below it.
+    Sizes are sums of at most ``SALTS`` partial ones, so no task sees more of a
+    digit than its share. Counts and rows read one exchange: to that end both ask
+    for all columns, not null.
     """
-    dealt = rows.where(" and ".join(f"{d} is not null" for d in digits)).repartition(partitions(rows.sparkSession), *digits)
-    every = F.col("d1").bitwiseXOR(F.col("d2")).bitwiseXOR(F.col("k1")).bitwiseXOR(F.col("k2")).bitwiseXOR(F.col("r"))
-    counts = dealt.groupBy(*digits).agg(F.count("*").alias("n"), F.max(every).alias("x")).where("n > 1 and x is not null").select(*digits)
-    return dealt.join(counts, digits).select("d1", "d2", "k1", "k2", "r")
+    dealt = rows.where(" and ".join(f"{c} is not null" for c in [*digits, "s"])).repartition(partitions(rows.sparkSession), *digits, "s")
+    parts = dealt.groupBy(*digits, "s").agg(F.count("*").alias("n"), F.min(F.struct("d1", "d2", "k1", "k2", "r")).alias("one"))
+    return dealt, parts.withColumn("all", F.sum("n").over(Window.partitionBy(*digits)))
+
+
+def _with_size(dealt: DataFrame, parts: DataFrame, digits: list[str]) -> DataFrame:
+    """Rows of digits that occur twice or more; the join is no semi join, which would slip below the exchange."""
+    return dealt.join(parts.where("all > 1").select(*digits, "s"), [*digits, "s"]).select(*_NAMES)
+
+
+def _shared(rows: DataFrame, digits: list[str]) -> DataFrame:
+    """Rows whose digits occur twice or more."""
+    return _with_size(*_counted(rows, digits), digits)
 
 
 def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ranges that agree in both digits with another one (``k1, k2, r``), and of those that agree
     in digit one but stand alone in digit two, with one of each class they are to be compared with,
     the ranges by text (``k1, k2, rs``)."""
-    classes = rows.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("r").alias("r"))
+    dealt, parts = _counted(rows, ["d1", "d2"])
+    whole = _with_size(dealt, parts, ["d1", "d2"]).select("k1", "k2", "r")
+    classes = parts.groupBy("d1", "d2").agg(F.sum("n").alias("n"), F.min("one").alias("one")).select("d1", "d2", "n", "one.k1", "one.k2", "one.r")
     unsure = classes.groupBy("d1").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("d1")
-    whole = rows.join(classes.where("n > 1").select("d1", "d2"), ["d1", "d2"], "left_semi").select("k1", "k2", "r")
     return whole, classes.join(unsure, "d1", "left_semi").groupBy("k1", "k2").agg(F.collect_list("r").alias("rs"))
 
 
@@ -218,10 +246,10 @@ def _cleaned(raw: bytes, marks: list | None, words: bool = False) -> tuple[bytes
 
 
 def remove_repeats(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Remove every byte that a repeated ``threshold``-byte string covers; digests of what is left.
+    """Remove every byte that a repeated ``threshold``-byte string covers.
 
     One row per input row: ``doc_id, n_bytes, n_removed, n_spans,
-    kept_sha256``. Null and short texts lose nothing, unless copied whole.
+    kept_sha256`` (of the bytes left) and ``clean_text`` (characters left whole). Null and short texts lose nothing, unless copied whole.
     Repeated rows are copies of each other. Other columns are ignored; an empty
     table gives no rows.
     """
@@ -237,9 +265,9 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id"
             for doc, z, m in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
                 raw = expand(z)
                 kept, found = _cleaned(raw, m)
-                out.append((doc, len(raw), len(raw) - len(kept), len(found), hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], names=[c.split()[0] for c in SCHEMA.split(", ")])
+                out.append((doc, len(raw), len(raw) - len(kept), len(found), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     # the same exchange of packed texts as in the third pass
     return arrow_map(packed.join(marks, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "z", "marks"), digest, SCHEMA)

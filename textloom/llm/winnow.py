@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, kgram_hash, partitions, sliding_min
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_POS = 26  # bits of a position while minima are taken; longer texts take more
+SPAN = 1 << 23  # windows that are looked at together: positions among them have a fixed width beside the hashes
 
 
 def winnow(text: str, k: int = 16, window: int = 32) -> tuple[np.ndarray, np.ndarray]:
@@ -36,13 +36,20 @@ def winnow(text: str, k: int = 16, window: int = 32) -> tuple[np.ndarray, np.nda
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     if not len(points):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = kgram_hash(points, min(k, len(points)))
-    bits = np.uint64(max(_POS, int(len(h)).bit_length()))
-    low = np.uint64((1 << int(bits)) - 1)
-    where = low - np.arange(len(h), dtype=np.uint64)  # a later position is smaller: rightmost on ties
-    least = sliding_min((h & ~low) | where, min(window, len(h)))
-    chosen = least[np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))]
-    return chosen >> bits, (low - (chosen & low)).astype(np.int64)
+    k = min(k, len(points))
+    window = min(window, len(points) - k + 1)
+    low, hashes, places = np.uint64(2 * SPAN - 1), [], []
+    for at in range(0, len(points) - k - window + 2, SPAN):
+        h = kgram_hash(points[at : at + SPAN + window + k - 2], k)
+        where = low - np.arange(len(h), dtype=np.uint64)  # a later position is smaller: rightmost on ties
+        least = sliding_min((h & ~low) | where, window)
+        chosen = (low - (least[np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))] & low)).astype(np.int64)
+        if places and places[-1][-1] == at + chosen[0]:
+            chosen = chosen[1:]
+        if len(chosen):
+            hashes.append(h[chosen])
+            places.append(at + chosen)
+    return np.concatenate(hashes), np.concatenate(places)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
