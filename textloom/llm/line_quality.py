@@ -65,7 +65,7 @@ def _lines(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
     )
 
 
-def lines_over_limit(docs: DataFrame, min_docs: int = 100, host_share: float = 0.01, text_col: str = "text", host_col: str = "source") -> DataFrame:
+def lines_over_limit(docs: DataFrame, min_docs: int = 5, host_share: float = 0.01, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """``h``: hashes of (host, line) above the host's limit."""
     lines = _lines(docs, text_col, host_col)
     each = lines.select("host", "k1", F.explode(F.expr("array_distinct(filter(h, x -> x <> 0))")).alias("h"))
@@ -85,7 +85,7 @@ def _removed(docs: DataFrame, over: DataFrame, text_col: str, host_col: str) ->
     return hit.groupBy("k1", "k2").agg(F.sum("n").alias("removed"), F.collect_list("i").alias("cut"))
 
 
-def judge(docs: DataFrame, min_docs: int = 100, host_share: float = 0.01, min_left: tuple[int, int] = (1, 3), text_col: str = "text", host_col: str = "source") -> DataFrame:
+def judge(docs: DataFrame, min_docs: int = 5, host_share: float = 0.01, min_left: tuple[int, int] = (1, 3), text_col: str = "text", host_col: str = "source") -> DataFrame:
     """``docs`` with the base measures, ``base_failed``, ``removed_words``, ``kept`` and ``clean_text``.
 
     A document is kept unless its base fails (under 50 words, or more than half
@@ -115,22 +115,18 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
 
 ORACLE_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, sha256(coalesce(text, '')) AS h FROM documents),
 w AS (SELECT r, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w, generate_subscripts(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), 1) AS i FROM d),
 g AS (SELECT r, i, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
 m AS (SELECT r, i, w3 IS NOT NULL AND count(*) OVER (PARTITION BY r, w, w2, w3) > 1 AS twice FROM g),
 c AS (SELECT r, twice OR coalesce(lag(twice, 1) OVER o, false) OR coalesce(lag(twice, 2) OVER o, false) AS covered FROM m WINDOW o AS (PARTITION BY r ORDER BY i)),
 rep AS (SELECT r, count(*) FILTER (WHERE covered) AS n_repeat_words FROM c GROUP BY r),
 ws AS (SELECT r, count(*) AS n_words, sum(length(w))::BIGINT AS word_chars FROM w GROUP BY r),
-l AS (SELECT r, host, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
-f AS (SELECT r, host, i, l, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS n FROM l WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+l AS (SELECT r, host, h, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+f AS (SELECT r, host, h, i, l, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS n FROM l WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dl AS (SELECT r, count(*) - count(DISTINCT l) AS n_dup_lines FROM f GROUP BY r),
-o AS (SELECT r, host, n, min(i) AS i FROM f GROUP BY r, host, n),
-e AS (SELECT r, host, list(n ORDER BY i) AS h FROM o GROUP BY r, host),
-x AS (SELECT host, h, unnest(h) AS n FROM e),
-s AS (SELECT host, n, CASE WHEN n = h[1] THEN h[2] ELSE h[1] END AS a, CASE WHEN n = h[len(h)] THEN (CASE WHEN len(h) > 1 THEN h[len(h) - 1] END) ELSE h[len(h)] END AS b FROM x),
-k AS (SELECT host, n, count(*) AS docs FROM (SELECT DISTINCT host, n, a, b FROM s) GROUP BY host, n HAVING count(*) > 100),
-hosts AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
+k AS (SELECT host, n, count(DISTINCT h) AS docs FROM f GROUP BY host, n HAVING count(DISTINCT h) > 5),
+hosts AS (SELECT host, count(DISTINCT h) AS docs FROM d GROUP BY host),
 over_limit AS (SELECT k.host, k.n FROM k JOIN hosts USING (host) WHERE k.docs > 0.01::DOUBLE * hosts.docs),
 gone AS (SELECT r, sum(length(n) - length(replace(n, ' ', '')) + 1)::BIGINT AS removed_words FROM f JOIN over_limit USING (host, n) GROUP BY r),
 a AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
