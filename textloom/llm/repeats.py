@@ -203,20 +203,22 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, threshold: int = 400, gr
 
 
 def _counted(rows: DataFrame, digits: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows dealt by digits and salt, and per (digits, salt) a row of the group, its size, and the size ``all`` of all salts' groups.
+    """Rows dealt by digits and salt, and per (digits, salt) a row of the group, its size ``n``, and the size ``every`` of all salts' groups.
 
     Sizes are sums of at most ``SALTS`` partial ones, so no task sees more of a
     digit than its share. Counts and rows read one exchange: to that end both ask
-    for all columns, not null.
+    for all columns (``x``), not null.
     """
     dealt = rows.where(" and ".join(f"{c} is not null" for c in [*digits, "s"])).repartition(partitions(rows.sparkSession), *digits, "s")
-    parts = dealt.groupBy(*digits, "s").agg(F.count("*").alias("n"), F.min(F.struct("d1", "d2", "k1", "k2", "r")).alias("one"))
-    return dealt, parts.withColumn("all", F.sum("n").over(Window.partitionBy(*digits)))
+    mixed = F.col("d1").bitwiseXOR(F.col("d2")).bitwiseXOR(F.col("k1")).bitwiseXOR(F.col("k2")).bitwiseXOR(F.col("r"))
+    others = [F.first(c).alias(c) for c in ("k1", "k2", "r")]
+    parts = dealt.groupBy(*digits, "s").agg(F.count("*").alias("n"), F.max(mixed).alias("x"), *others).where("x is not null")
+    return dealt, parts.withColumn("every", F.sum("n").over(Window.partitionBy(*digits)))
 
 
 def _with_size(dealt: DataFrame, parts: DataFrame, digits: list[str]) -> DataFrame:
     """Rows of digits that occur twice or more; the join is no semi join, which would slip below the exchange."""
-    return dealt.join(parts.where("all > 1").select(*digits, "s"), [*digits, "s"]).select(*_NAMES)
+    return dealt.join(parts.where("every > 1").select(*digits, "s"), [*digits, "s"]).select(*_NAMES)
 
 
 def _shared(rows: DataFrame, digits: list[str]) -> DataFrame:
@@ -230,7 +232,7 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     the ranges by text (``k1, k2, rs``)."""
     dealt, parts = _counted(rows, ["d1", "d2"])
     whole = _with_size(dealt, parts, ["d1", "d2"]).select("k1", "k2", "r")
-    classes = parts.groupBy("d1", "d2").agg(F.sum("n").alias("n"), F.min("one").alias("one")).select("d1", "d2", "n", "one.k1", "one.k2", "one.r")
+    classes = parts.groupBy("d1", "d2").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "r")))
     unsure = classes.groupBy("d1").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("d1")
     return whole, classes.join(unsure, "d1", "left_semi").groupBy("k1", "k2").agg(F.collect_list("r").alias("rs"))
 
