@@ -32,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, arrow_map, cut, mix64, partitions, release, text_key
@@ -41,7 +41,9 @@ from .graph import components
 SEEDS = 4
 #: Members of a bucket that are compared in one task.
 BLOCK = 2000
-_ITEMS = "doc_id long, id long, n long, keys array<long>, even binary, odd binary"
+#: Tasks among which the rows of one text or component are dealt.
+SALTS = 32
+_ITEMS = "doc_id long, id long, n long, even binary, odd binary"
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -49,7 +51,7 @@ _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 def _word_hashes() -> Memo:
     import xxhash
 
-    return Memo(lambda w: xxhash.xxh3_64_intdigest(w), 1_000_000)
+    return Memo(lambda w: xxhash.xxh3_64_intdigest(w), 200_000)
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -131,23 +133,49 @@ def folded(tokens: np.ndarray, band: int, percent: int) -> bytes:
     return out.tobytes()
 
 
-def _items(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id of the document, name of its text, set size, bucket keys."""
+def _name(docs: DataFrame, text_col: str) -> Column:
+    """The 64-bit name of a text: its first hash, but its second one where different texts share the first.
+
+    Such texts are found by both hashes together; of n texts some n^2 / 2^65 are
+    to be expected: none below a billion, some seventy in fifty billion.
+    """
+    k1, k2 = text_key()
+    texts = docs.select(docs[text_col].cast("string").alias("text")).select(k1, k2)
+    shared = texts.groupBy("k1").agg(F.min("k2").alias("a"), F.max("k2").alias("b")).where("a < b").select("k1").collect()
+    first, second = (F.get(F.array(k), F.lit(0)) for k in text_key())
+    return F.when(first.isin([r.k1 for r in shared]), second).otherwise(first) if shared else first
+
+
+def _items(docs: DataFrame, name: Column, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row: id of the document, name of its text, set size, folded sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 sets = [shingles(t, size) for t in batch.column(2).to_pylist()]
-                found = [keys(s, percent) for s in sets]
-                ends = np.cumsum([0, *map(len, found)])
-                flat = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
                 sketches = [{b & 1: folded(s, b, percent) for b in bands(len(s), percent)} for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), lists, *(pa.array([x.get(i) for x in sketches], pa.binary()) for i in (0, 1))], names=["doc_id", "id", "n", "keys", "even", "odd"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x.get(i) for x in sketches], pa.binary()) for i in (0, 1))], names=["doc_id", "id", "n", "even", "odd"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return arrow_map(rows.select("doc_id", text_key()[0].alias("id"), "text"), run, _ITEMS)
+    return arrow_map(rows.select("doc_id", name.alias("id"), "text"), run, _ITEMS)
+
+
+def _keyed(docs: DataFrame, name: Column, size: int, percent: int, text_col: str) -> DataFrame:
+    """``key, id``: bucket keys of the texts, once for all copies that a task meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                new = {i: t for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if i not in met}
+                met.update(new)
+                found = [keys(shingles(t, size), percent) for t in new.values()]
+                ids = np.repeat(np.fromiter(new, np.int64, len(new)), [len(k) for k in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)), pa.array(ids)], names=["key", "id"])
+
+    return arrow_map(docs.select(docs[text_col].cast("string").alias("text")).select(name.alias("id"), "text"), run, "key long, id long")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -177,7 +205,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return arrow_map(pairs.join(a, "u").join(b, "v").select("u", "v", "zu", "zv"), run, "u long, v long")
 
 
-def _squeezed(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+def _squeezed(docs: DataFrame, name: Column, wanted: DataFrame, text_col: str) -> DataFrame:
     """One compressed text for each wanted name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +215,7 @@ def _squeezed(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "z"])
 
-    rows = docs.select(docs[text_col].cast("string").alias("text")).select(text_key()[0].alias("id"), "text")
+    rows = docs.select(docs[text_col].cast("string").alias("text")).select(name.alias("id"), "text")
     return arrow_map(rows, run, "id long, z binary").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("z").alias("z"))
 
 
@@ -258,10 +286,18 @@ def near_components(docs: DataFrame, percent: int = 85, size: int = 4, id_col: s
     and repeated rows are linked. Other columns are ignored; an empty table
     gives no rows.
     """
+    items, pairs = _components(docs, _name(docs, text_col), percent, size, id_col, text_col)
+    found = items.join(pairs.select("id", "salt", "first.doc_id"), ["id", "salt"]).toDF(*"id salt doc_id n least".split())
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _components(docs: DataFrame, name: Column, percent: int, size: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (``id`` of the text, ``salt``, ``doc_id``, ``n``), and for each (id, salt) the ``first`` row (doc_id, id) of its component
+    and the number of ``rows``."""
     spark = docs.sparkSession
-    items = cut(_items(docs, size, percent, id_col, text_col))
+    items = cut(_items(docs, name, size, percent, id_col, text_col))
     # known not null, so that both readers of the exchange ask for the same one and it is made once
-    rows = items.select(F.explode("keys").alias("key"), "id").where("key is not null").repartition(partitions(spark), "key")
+    rows = _keyed(docs, name, size, percent, text_col).where("key is not null").repartition(partitions(spark), "key")
     buckets = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "size")
     members = rows.join(buckets, "key").groupBy("key", "id").agg(F.max("size").alias("size"))
     # for large buckets, the pairs of blocks that a member goes to
@@ -275,7 +311,7 @@ def near_components(docs: DataFrame, percent: int = 85, size: int = 4, id_col: s
         return rows.join(sketches, "id").withColumn("sketch", F.when(F.col("key").bitwiseAND(1) == 0, F.col("even")).otherwise(F.col("odd"))).drop("even", "odd")
 
     pairs = cut(_candidates(sketched(members.withColumn("component", F.col("id"))), percent, stars=True))
-    texts = _squeezed(docs, pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), text_col)
+    texts = _squeezed(docs, name, pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), text_col)
     links = cut(_linked(pairs, texts, size, percent))
     release(spark)
     found = components(links)
@@ -284,18 +320,42 @@ def near_components(docs: DataFrame, percent: int = 85, size: int = 4, id_col: s
     more = cut(_candidates(sketched(named.join(apart, ["key", "a", "b"], "left_semi")), percent, stars=False).join(pairs, ["u", "v"], "left_anti"))
     release(spark)
     if not more.isEmpty():
-        texts = _squeezed(docs, more.select(F.col("u").alias("id")).union(more.select("v")).distinct(), text_col)
+        texts = _squeezed(docs, name, more.select(F.col("u").alias("id")).union(more.select("v")).distinct(), text_col)
         late = cut(_linked(more, texts, size, percent))
         if not late.isEmpty():
             found = components(links.union(late))
     release(spark)
 
-    named = items.select("doc_id", "n", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "n", F.coalesce("component", "id").alias("component"))
-    least = named.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    # a text or a component may hold very many rows: they are dealt by salts, and summed up by salt before a window over at most SALTS rows
+    items = items.select("id", F.expr(f"CAST(pmod(xxhash64(doc_id), {SALTS}) AS INT)").alias("salt"), "doc_id", "n")
+    last = F.lit((1 << 63) - 1)  # a row without an id stands for its component only where all are without
+    mine = items.groupBy("id", "salt").agg(F.min(F.coalesce("doc_id", last)).alias("d"), F.max("n").alias("n"), F.count("*").alias("rows"))
+    mine = mine.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "salt", "rows", F.struct("d", "id").alias("own"), F.when(F.col("n") > 0, F.coalesce("component", "id")).alias("component"))
+    mine = mine.withColumn("deal", F.expr(f"CAST(pmod(xxhash64(id, salt), {SALTS}) AS INT)"))
+    linked = mine.where("component is not null")
+    least = linked.groupBy("component", "deal").agg(F.min("own").alias("own")).select("component", "deal", F.min("own").over(Window.partitionBy("component")).alias("least"))
+    mine = mine.join(least, ["component", "deal"], "left").withColumn("first", F.coalesce("least", "own"))
+    return items, mine.select("id", "salt", "rows", F.struct(F.nullif("first.d", last).alias("doc_id"), F.col("first.id").alias("id")).alias("first"))
 
 
 def without_copies(docs: DataFrame, percent: int = 85, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one whose id is the component's; all its columns."""
-    keep = near_components(docs, percent, size, id_col, text_col).where("doc_id = component_id or doc_id is null and component_id is null").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col].cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    """``docs`` with one row of each component, all its columns: that with the smallest id (rows without an id come last, of equal ids one text's).
+
+    Of repeated rows one stays, whichever other columns it has. Texts without
+    words are linked with nothing: all their rows stay. An empty table gives no rows.
+    """
+    name = _name(docs, text_col)
+    items, pairs = _components(docs, name, percent, size, id_col, text_col)
+    key = [docs[id_col].cast("long").alias("__d"), name.alias("__t")]
+    named = docs.withColumn("text", F.col(text_col).cast("string")) if text_col != "text" else docs
+    wordless = items.where("n = 0").select(F.col("doc_id").alias("__d"), F.col("id").alias("__t")).distinct()
+    chosen = items.where("n > 0").join(pairs, ["id", "salt"]).where("doc_id <=> first.doc_id and id = first.id")
+    keep = chosen.groupBy(F.col("doc_id").alias("__d"), F.col("id").alias("__t")).agg(F.count("*").alias("n"))
+    same = F.col("l.__d").eqNullSafe(F.col("r.__d")) & (F.col("l.__t") == F.col("r.__t"))
+    rows = named.select("*", *key)
+    once = keep.where("n = 1").select("__d", "__t").union(wordless)
+    out = rows.alias("l").join(once.alias("r"), same, "left_semi")
+    again = keep.where("n > 1").select("__d", "__t")
+    if not again.isEmpty():
+        out = out.unionByName(rows.alias("l").join(again.alias("r"), same, "left_semi").dropDuplicates(["__d", "__t"]))
+    return out.select(*docs.columns)
