@@ -11,7 +11,7 @@ from .common import table
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_personal_data(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+    return pii.replace_personal_data(table(spark, sf_dir, "documents"), pii.session_key(spark)).select("doc_id", "text", "n_entities")
 
 
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

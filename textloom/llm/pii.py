@@ -12,8 +12,9 @@ of its titles; mentions with a neutral title belong to the gender that the name
 has elsewhere in the corpus (the female one if it has both).
 
 Distinctness is checked over the whole corpus, on canonical forms: entities of a
-type that share a surrogate, or whose surrogate is an entity of the corpus itself,
-are drawn again until none is left. Only those redrawn, and names whose gender
+type (domains of mail addresses are one) that share a surrogate, or whose surrogate
+is an entity of the corpus itself, are drawn again until none is left; where a space
+is full, as of one-letter mail names, surrogates grow. Only those redrawn, and names whose gender
 other mentions tell, travel back to the documents, as a literal map while they are
 few, else by a join on the text's name.
 
@@ -23,14 +24,19 @@ searched at all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
 
 #: More redrawn entities than this are joined, not written into the plan.
 LITERAL_ENTITIES = 1000
-DEFAULT_KEY = "surrogate-key"
+#: Setting of the session that holds the key of the queries.
+KEY_CONF = "spark.textloom.surrogateKey"
+#: From this draw on, surrogates of mail names and domains grow by a character a draw, and others may be real values elsewhere.
+GROW = 6
 
 #: Titles by gender (fixed values).
 MALE = "Mr|Sir|Herr|Señor|Sr|Monsieur|Don"
@@ -72,6 +78,11 @@ SYLLABLES = "ba be bo da de do fa fe ga ge ka ke ki la le li lo ma me mi mo na n
 MALE_ENDS, FEMALE_ENDS, FAMILY_ENDS = "n s r l d rik mon".split(), "a na ra lia nia isa ella".split(), "n r s ng nd rt ler man ton berg".split()
 
 
+def session_key(spark: SparkSession) -> str:
+    """The session's key; without one a new random key, so that nobody can work surrogates out again."""
+    return spark.conf.get(KEY_CONF, None) or secrets.token_hex(16)
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -118,11 +129,15 @@ def _gender(kind: str, m: str, canon: str) -> str:
     return f"CASE WHEN {kind} <> 'name' OR {canon} NOT LIKE '% %' THEN '' WHEN {title} rlike '^(?:{MALE})[. ]' THEN 'm' WHEN {title} rlike '^(?:{FEMALE})[. ]' THEN 'f' ELSE 'n' END"
 
 
-def _drawn(kind: str, canon: str, gender: str, seed: str, key: str) -> str:
-    """Canonical form of an entity's surrogate; Latin names are capitalised."""
-    domain = f"substring_index({canon}, '@', -1)"
-    label = f"regexp_replace({domain}, '[.][^.]*$', '')"
-    email = f"concat({_chars(f'substring_index({canon}, \'@\', 1)', seed)}, '@', {_chars(label, f'sha2(concat({key}, {domain}), 256)')}, '.', substring_index({domain}, '.', -1))"
+def _domain(canon: str) -> str:
+    return f"substring_index({canon}, '@', -1)"
+
+
+def _drawn(kind: str, canon: str, gender: str, seed: str, attempt: str, domain: str | None = None) -> str:
+    """Canonical form of an entity's surrogate; Latin names are capitalised. A mail address has ``domain`` (its own if none is given)."""
+    more = f"repeat('x', greatest(0, {attempt} - {GROW}))"
+    own = f"concat(CASE WHEN {kind} = 'email' THEN substring_index({canon}, '@', 1) ELSE regexp_replace({canon}, '[.][^.]*$', '') END, {more})"
+    email = f"concat({_chars(own, seed)}, CASE WHEN {kind} = 'email' THEN concat('@', {domain or _domain(canon)}) ELSE concat('.', substring_index({canon}, '.', -1)) END)"
     lead = f"regexp_extract({canon}, '^AKIA(?=[0-9A-Z]{{16}}$)', 0)"
     secret = f"concat({lead}, {_chars(f'substr({canon}, length({lead}) + 1)', seed, hexadecimal=True)})"
     ip = f"array_join(transform(split({canon}, '[.]'), (o, i) -> CAST(CASE WHEN i IN (0, 3) THEN 1 + pmod(xxhash64({seed}, i), 223) ELSE pmod(xxhash64({seed}, i), 256) END AS STRING)), '.')"
@@ -138,7 +153,7 @@ def _drawn(kind: str, canon: str, gender: str, seed: str, key: str) -> str:
     # what is drawn character by character: local parts and most types
     plain = _chars(f"CASE WHEN {kind} = 'iban' THEN substr({canon}, 3) ELSE {canon} END", seed)
     return (
-        f"CASE WHEN {kind} = 'email' THEN {email} WHEN {kind} = 'secret' THEN {secret} WHEN {kind} = 'ip' THEN {ip} WHEN {kind} = 'card' THEN {card} "
+        f"CASE WHEN {kind} IN ('email', 'domain') THEN {email} WHEN {kind} = 'secret' THEN {secret} WHEN {kind} = 'ip' THEN {ip} WHEN {kind} = 'card' THEN {card} "
         rf"WHEN {kind} = 'name' AND {canon} rlike '^[\\u0041-\\u024F ’\'-]+$' THEN {latin} WHEN {kind} = 'iban' THEN concat(left({canon}, 2), {plain}) ELSE {plain} END"
     )
 
@@ -172,11 +187,17 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Distinct entities of the corpus as their mentions tell them: ``kind, canon, gender``."""
     found = docs.select(F.explode(_mentions(docs[text_col].cast("string"))).alias("m")).groupBy("m").agg(F.lit(1).alias("one"))
     named = found.select("m", F.expr(_type("m")).alias("kind")).select("m", "kind", F.expr(_canonical("kind", "m")).alias("canon"))
-    return named.select("kind", "canon", F.expr(_gender("kind", "m", "canon")).alias("gender")).distinct()
+    each = named.select("kind", "canon", F.expr(_gender("kind", "m", "canon")).alias("gender"))
+    return each.select(F.explode(F.expr(f"array_compact(array(struct(kind, canon, gender), IF(kind = 'email', struct('domain' AS kind, {_domain('canon')} AS canon, '' AS gender), NULL)))")).alias("e")).select("e.*").distinct()
+
 
+def redrawn(docs: DataFrame, key: str, text_col: str = "text", rounds: int = 50) -> DataFrame:
+    """``kind, canon, gender, as_gender, attempt`` of the entities whose first surrogates collide or whose gender other mentions tell.
 
-def redrawn(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", rounds: int = 50) -> DataFrame:
-    """``kind, canon, gender, as_gender, attempt`` of the entities whose first surrogates collide or whose gender other mentions tell."""
+    Mail addresses are compared within their own domain, domains among each
+    other. A type whose values fill more than about half of their space may
+    still hold equal surrogates after ``rounds`` draws; nothing else can.
+    """
     k = _q(key)
     every = cut(entities(docs, text_col))
     known = every.where("gender in ('m', 'f')").groupBy("kind", "canon").agg(F.min("gender").alias("known"))
@@ -184,20 +205,20 @@ def redrawn(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", rou
     drawn = every.select("kind", "canon", F.col("as_gender").alias("gender")).distinct().withColumn("attempt", F.lit(0))
     for attempt in range(1, rounds + 1):
         seeded = drawn.withColumn("seed", F.expr(_seed("kind", "canon", "gender", "attempt", k)))
-        made = cut(seeded.select("kind", "canon", "gender", "attempt", F.expr(_drawn("kind", "canon", "gender", "seed", k)).alias("s")))  # the long expression is in one plan only
+        made = cut(seeded.select("kind", "canon", "gender", "attempt", F.expr(_drawn("kind", "canon", "gender", "seed", "attempt")).alias("s")))  # the long expression is in one plan only
         made = made.withColumn("s", F.expr("IF(kind = 'name', lower(s), s)"))
         first = made.groupBy("kind", "s").agg(F.min(F.struct("attempt", "canon", "gender")).alias("best"), F.count("*").alias("n")).where("n > 1").select("kind", "s", F.col("best.canon").alias("stays"), F.col("best.gender").alias("as"))
         clash = made.join(first, ["kind", "s"]).where("canon <> stays or gender <> as").select("kind", "canon", "gender")
-        real = made.join(every.select("kind", F.col("canon").alias("s")), ["kind", "s"], "left_semi").select("kind", "canon", "gender")
+        real = made.where(f"attempt < {GROW} or kind in ('email', 'domain')").join(every.select("kind", F.col("canon").alias("s")), ["kind", "s"], "left_semi").select("kind", "canon", "gender")
         again = cut(clash.union(real).distinct())
-        if again.isEmpty():
+        if again.isEmpty() or attempt == rounds:
             last = drawn.withColumnRenamed("gender", "as_gender")
             return every.join(last, ["kind", "canon", "as_gender"]).where("attempt > 0 or gender <> as_gender").select("kind", "canon", "gender", "as_gender", "attempt")
         drawn = cut(drawn.join(again.withColumn("again", F.lit(True)), ["kind", "canon", "gender"], "left").select("kind", "canon", "gender", F.when(F.col("again"), F.lit(attempt)).otherwise(F.col("attempt")).alias("attempt")))
-    raise RuntimeError("surrogates still collide")
+    raise ValueError("rounds must be positive")
 
 
-def replace_personal_data(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text") -> DataFrame:
+def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates in its text, and ``n_entities`` (mentions replaced).
 
     Null and empty texts stay as they are, with 0 mentions. Repeated rows are
@@ -210,26 +231,30 @@ def replace_personal_data(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str
     names = [c for c in docs.columns if c != "n_entities"]
     df = docs.select(*names).withColumn("__t", F.col(text_col).cast("string"))
     df = df.withColumn("__m", _mentions(F.coalesce("__t", F.lit(""))))
-    found = "CAST(NULL AS STRING)"
+    found = lambda name: "CAST(NULL AS STRING)"
     if 0 < len(few) <= LITERAL_ENTITIES:
         pairs = ", ".join(f"{_q(f'{r.kind}|{r.canon}|{r.gender}')}, {_q(f'{r.as_gender}|{r.attempt}')}" for r in few)
-        found = f"element_at(map({pairs}), concat(x.kind, '|', x.canon, '|', x.gender))"
+        found = lambda name: f"element_at(map({pairs}), {name})"
     elif few:
         df = df.withColumns({"__k1": F.xxhash64(F.coalesce("__t", F.lit(""))), "__k2": F.xxhash64(F.lit(3), F.coalesce("__t", F.lit("")))})
         each = df.select("__k1", "__k2", F.explode("__m").alias("m")).distinct().select("__k1", "__k2", "m", F.expr(_type("m")).alias("kind"))
-        each = each.withColumn("canon", F.expr(_canonical("kind", "m"))).withColumn("gender", F.expr(_gender("kind", "m", "canon"))).join(again, ["kind", "canon", "gender"])
+        each = each.withColumn("canon", F.expr(_canonical("kind", "m"))).withColumn("gender", F.expr(_gender("kind", "m", "canon"))).drop("m")
+        each = each.unionByName(each.where("kind = 'email'").select("__k1", "__k2", F.lit("domain").alias("kind"), F.expr(_domain("canon")).alias("canon"), "gender")).distinct().join(again, ["kind", "canon", "gender"])
         per_text = each.groupBy("__k1", "__k2").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "canon", "gender"), F.concat_ws("|", "as_gender", "attempt")))).alias("__again"))
         df = df.join(per_text, ["__k1", "__k2"], "left")
-        found = "element_at(__again, concat(x.kind, '|', x.canon, '|', x.gender))"
-    # mention -> kind -> canon -> gender -> (gender and attempt) -> seed -> drawn: one lambda variable after the other, each worked out once
+        found = lambda name: f"element_at(__again, {name})"
+    # mention -> kind -> canon -> gender -> (gender and attempt) -> seed -> domain -> drawn: one lambda variable after the other, each worked out once
     step = "transform(__m, m -> named_struct('m', m, 'kind', " + _type("m") + "))"
     had = ["m", "kind"]
+    drawn_domain = f"get(transform(array(coalesce({found('concat(\'domain|\', {0}, \'|\')')}, '|0')), n -> get(transform(array({_seed(_q('domain'), '{0}', _q(''), 'substring_index(n, \'|\', -1)', k)}), z -> {_drawn(_q('domain'), '{0}', _q(''), 'z', 'CAST(substring_index(n, \'|\', -1) AS INT)')}), 0)), 0)".replace("{0}", "x.host")
     for name, value in (
         ("canon", _canonical("x.kind", "x.m")),
         ("gender", _gender("x.kind", "x.m", "x.canon")),
-        ("found", f"coalesce({found}, concat(x.gender, '|0'))"),
+        ("found", f"coalesce({found('concat(x.kind, \'|\', x.canon, \'|\', x.gender)')}, concat(x.gender, '|0'))"),
         ("seed", _seed("x.kind", "x.canon", "substring_index(x.found, '|', 1)", "substring_index(x.found, '|', -1)", k)),
-        ("drawn", _drawn("x.kind", "x.canon", "substring_index(x.found, '|', 1)", "x.seed", k)),
+        ("host", _domain("x.canon")),
+        ("domain", f"CASE WHEN x.kind = 'email' THEN {drawn_domain} END"),
+        ("drawn", _drawn("x.kind", "x.canon", "substring_index(x.found, '|', 1)", "x.seed", "CAST(substring_index(x.found, '|', -1) AS INT)", "x.domain")),
     ):
         step = f"transform({step}, x -> named_struct({', '.join(f'{_q(h)}, x.{h}' for h in had)}, {_q(name)}, {value}))"
         had.append(name)
