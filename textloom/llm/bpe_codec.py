@@ -47,7 +47,7 @@ def byte_alphabet() -> list[str]:
 class WordBPE:
     """Encoder and decoder of a word-end BPE vocabulary in the tokenizers library's format."""
 
-    def __init__(self, path: str, memo_limit: int = 1_000_000):
+    def __init__(self, path: str, memo_limit: int = 250_000):
         import regex
 
         with open(path, encoding="utf-8") as f:

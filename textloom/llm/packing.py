@@ -59,8 +59,8 @@ class ByteTokenizer:
         self._plain = lambda text: array("I", bpe.encode_ordinary(text)).tobytes()
         self._piece = lambda text: array("I", bpe._encode_single_piece(text)).tobytes()
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.heads = Memo(lambda w: self._chunk("", w), 1_000_000)
-        self.words = Memo(lambda w: self._chunk(" ", w), 1_000_000)
+        self.heads = Memo(lambda w: self._chunk("", w), 250_000)
+        self.words = Memo(lambda w: self._chunk(" ", w), 250_000)
         self.newline = self._plain("\n")
 
     def _chunk(self, space: str, word: str) -> bytes:
