@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from textloom.llm import line_quality, packing, parity_join, pii, repeats
 from textloom.llm.common import table, written
 
-#: Distinct documents of a host above which a line can be boilerplate, beside the host's share.
-LINE_DOCS = 5
 #: Words from which a passage that occurs elsewhere is cut.
 PASSAGE_WORDS = 51
 
@@ -30,7 +28,7 @@ def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the rules reject; drop boilerplate lines from the others."""
-    judged = line_quality.judge(docs, min_docs=LINE_DOCS).where("kept")
+    judged = line_quality.judge(docs).where("kept")
     return _with_text(judged.drop("text").withColumnRenamed("clean_text", "text"), docs.columns)
 
 
@@ -46,7 +44,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by surrogates."""
-    return _with_text(pii.replace_personal_data(docs), docs.columns)
+    return _with_text(pii.replace_personal_data(docs, pii.session_key(spark)), docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
