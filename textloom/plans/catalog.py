@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import events, files, pipelines, relational, texts  # noqa: F401  (they register their queries)
+from . import corpus, events, files, pipelines, relational, texts  # noqa: F401  (they register their queries)
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -173,7 +173,7 @@ def ground_symbols(t):
 
 
 @query("""
-WITH a AS (SELECT DISTINCT regexp_extract(url, '[^/]*/[^/]*$') AS ask FROM pages WHERE page_id % 5 = 0),
+WITH a AS (SELECT DISTINCT regexp_extract(url, '[^/]*/[^/]*$') AS ask FROM pages),
 p AS (SELECT DISTINCT url, regexp_extract(url, '[^/]*$') AS b FROM pages),
 m AS (SELECT ask, url, ends_with(url, '/' || ask) OR url = ask AS s FROM a JOIN p ON regexp_extract(ask, '[^/]*$') = p.b),
 g AS (SELECT ask, list_sort(list(DISTINCT url) FILTER (WHERE s)) AS s, list_sort(list(DISTINCT url)) AS a FROM m GROUP BY ask)
@@ -181,7 +181,7 @@ SELECT ask, array_to_string((CASE WHEN len(s) > 0 THEN s ELSE a END)[1:3], ',')
 """)
 def suggestion_join(t):
     """Known paths for an asked one: by suffix, else by base name."""
-    asked = t("pages").where("page_id % 5 = 0").select(F.regexp_extract("url", r"[^/]*/[^/]*$", 0).alias("ask")).distinct()
+    asked = t("pages").select(F.regexp_extract("url", r"[^/]*/[^/]*$", 0).alias("ask")).distinct()
     return resolve.suggestions(asked, t("pages").select("url").distinct(), "url")
 
 
@@ -263,14 +263,14 @@ def include_closure(t):
 
 
 @query("""
-WITH e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem),
+WITH e AS (SELECT DISTINCT 'n' || (l_suppkey % 100) AS a, 'n' || (l_partkey % 100) AS b FROM lineitem),
 d AS (SELECT n, count(*) AS c FROM (SELECT a AS n FROM e UNION ALL SELECT b FROM e) GROUP BY n),
 k AS (SELECT n FROM d ORDER BY c DESC, n LIMIT 40)
 SELECT a, b FROM e WHERE a IN (SELECT n FROM k) AND b IN (SELECT n FROM k)
 """)
 def degree_cap(t):
     """Edges among the forty nodes of highest degree."""
-    e = t("lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b")).distinct()
+    e = t("lineitem").select(*(F.concat(F.lit("n"), (F.col(c) % 100).cast("string")).alias(n) for c, n in (("l_suppkey", "a"), ("l_partkey", "b")))).distinct()
     return graph.degree_cap(e, "a", "b", 40).select("a", "b")
 
 
