@@ -47,37 +47,37 @@ def classify_paths(t):
     return _files(t).where(~px.is_vcs(p)).select("path", px.detect_language(p).alias("language"), px.component_for(p).alias("component"), px.is_test(p).alias("is_test"))
 
 
-@query(None)
+@query(_values([("src/db/store.rs", "open", "function", 3, "pub fn open(path: &str) -> Store {"), ("src/db/store.rs", "Store", "class", 5, "struct Store {"), ("src/web/page.ts", "render", "function", 1, "export function render(a) {"), ("src/web/page.ts", "Page", "class", 3, "export class Page {"), ("src/web/page.ts", "Size", "constant", 5, "const Size = 3;"), ("lib/x.c", "add", "function", 3, "int add(int a, int b) {"), ("lib/x.c", "point", "class", 6, "struct point {"), ("vendor/dep/z.go", "Run", "function", 2, "func Run(a int) {"), ("vendor/dep/z.go", "T", "class", 4, "type T struct {")], ["path", "name", "kind", "lineno", "signature"]))
 def symbols_regex(t):
     """Symbols by line patterns of each language."""
     return extract.regex_symbols(_files(t).withColumn("language", px.detect_language(F.col("path"))))
 
 
-@query(None)
+@query(_values([("src/api/app.py", "main", "function", 20, "main(argv)", "", ""), ("src/api/app.py", "App", "class", 8, "App", "", "The app."), ("src/api/app.py", "name", "method", 12, "name(self)", "App", ""), ("src/api/app.py", "LIMIT", "constant", 5, "LIMIT", "", ""), ("tests/test_app.py", "test_main", "function", 1, "test_main()", "", "")], ["path", "name", "kind", "lineno", "signature", "parent", "doc"]))
 def symbols_python_ast(t):
     """Symbols of Python files by their syntax trees."""
     return extract.python_symbols(_files(t).where("path like '%.py'"))
 
 
-@query(None)
+@query(_values([("src/api/app.py", "os", 0), ("src/api/app.py", "db", 2), ("src/api/app.py", "a.b.c", 0)], ["path", "module", "level"]))
 def imports_python(t):
     """Imported modules of Python files."""
     return extract.python_imports(_files(t).where("path like '%.py'"))
 
 
-@query(None)
+@query(_values([("src/db/store.rs", "crate::api::app"), ("src/db/store.rs", "crate::api::other::X"), ("src/db/store.rs", "crate::api::other::Y"), ("src/db/store.rs", "self::inner")], ["path", "module"]))
 def imports_rust(t):
     """Imported paths of Rust files."""
     return extract.rust_imports(_files(t).where("path like '%.rs'"))
 
 
-@query(None)
+@query(_values([("src/api/app.py", "App", 8, "Base,mixin.M")], ["path", "name", "lineno", "bases"]))
 def types_python(t):
     """Classes of Python files with their bases."""
     return extract.python_types(_files(t).where("path like '%.py'"))
 
 
-@query(None)
+@query(_values([("src/api/app.py", 13, "return", "return 1", "return None"), ("src/api/app.py", 21, "eq", "if argv == 2 and LIMIT < 5:", "if argv != 2 and LIMIT < 5:"), ("src/api/app.py", 22, "true", "return True", "return False"), ("src/api/app.py", 23, "plus", "return len(argv) + 1", "return len(argv) - 1"), ("tests/test_app.py", 2, "eq", "assert 1 == 1", "assert 1 != 1")], ["path", "line", "operator", "before", "after"]))
 def mutants(t):
     """One mutant a line of Python files."""
     return extract.mutants(_files(t).where("path like '%.py'"))

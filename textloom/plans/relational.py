@@ -303,7 +303,7 @@ def component_rollup(t):
     return t("pages").groupBy(c.alias("component")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_id"))
 
 
-@query(None)
+@query(r"""SELECT page_id, regexp_replace(html, '("[^"]*"|''[^''<>]*'')|<!--.*?-->|<script\b.*?</script>', '\1', 'gs') AS html FROM pages""")
 def strip_comments_html(t):
     """Pages without comments and scripts."""
     return t("pages").select("page_id", fx.strip_markup_comments(F.col("html")).alias("html"))
