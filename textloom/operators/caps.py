@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def cap_per_key(df: DataFrame, key: str | list[str], order: list[Column], n: int, rank: str = "rn") -> DataFrame:
     """First ``n`` rows of each key by ``order`` (which must break all ties); adds the rank."""
@@ -36,10 +38,25 @@ def clip_in_order(df: DataFrame, key: str, preference: list[Column], position: l
     return chosen.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(*position)))
 
 
+def _placed(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """Adds ``rn`` (place within the key, from 1) and ``size`` without gathering a key in one task.
+
+    Rows are dealt by ranges of (key, order); a place is that within the range
+    plus the sizes of the key's ranges before it, of which there are at most as
+    many as partitions. The ranges are kept, as they come from a sample.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(n, F.asc(key), *order).withColumn("__p", F.spark_partition_id()))
+    w = Window.partitionBy(key)
+    sizes = dealt.groupBy(key, "__p").agg(F.count("*").alias("__n"))
+    sizes = sizes.select(key, "__p", (F.sum("__n").over(w.orderBy("__p")) - F.col("__n")).alias("__before"), F.sum("__n").over(w).alias("size"))
+    joined = dealt.join(sizes.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")) & (dealt["__p"] == sizes["__p"])).drop(sizes["__p"], "__key")
+    return joined.withColumn("rn", F.row_number().over(Window.partitionBy(key, "__p").orderBy(*order)) + F.col("__before")).drop("__p", "__before")
+
+
 def systematic_sample(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     """``n`` evenly spaced rows of each key: places floor(k * size / n); all rows of smaller keys."""
-    w = Window.partitionBy(key)
-    df = df.withColumns({"rn": F.row_number().over(w.orderBy(*order)), "size": F.count("*").over(w)})
+    df = _placed(df, key, order)
     i = F.col("rn") - 1
     # i = floor(k*size/n) for some k exactly if the count of multiples of size/n grows past i
     k = F.ceil(i * n / F.col("size")).cast("long")
@@ -49,9 +66,8 @@ def systematic_sample(df: DataFrame, key: str, order: list[Column], n: int) -> D
 
 def strided_sample(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     """Every step-th row of each key, step = max(1, size div n), at most ``n``."""
-    w = Window.partitionBy(key)
-    df = df.withColumns({"rn": F.row_number().over(w.orderBy(*order)), "step": F.greatest(F.lit(1), F.floor(F.count("*").over(w) / n))})
-    return df.where(((F.col("rn") - 1) % F.col("step") == 0) & (F.floor((F.col("rn") - 1) / F.col("step")) < n)).drop("step")
+    df = _placed(df, key, order).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("size") / n)))
+    return df.where(((F.col("rn") - 1) % F.col("step") == 0) & (F.floor((F.col("rn") - 1) / F.col("step")) < n)).drop("step", "size")
 
 
 def with_rank_cap(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:

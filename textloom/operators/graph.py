@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder that the session names; a local one only where it names none (tests)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
@@ -17,13 +18,13 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def closure(seeds: DataFrame, edges: DataFrame, src: str, dst: str) -> DataFrame:
     """``node``: all that the seeds (``node``) reach, themselves included. Safe on cycles; one round a hop."""
-    seen = frontier = _cut(seeds.select("node").distinct())
+    seen = frontier = cut(seeds.select("node").distinct())
     step = edges.select(F.col(src).alias("node"), F.col(dst).alias("next"))
     while True:
-        frontier = _cut(frontier.join(step, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti"))
+        frontier = cut(frontier.join(step, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = _cut(seen.union(frontier))
+        seen = cut(seen.union(frontier))
 
 
 def degrees(edges: DataFrame, src: str, dst: str) -> DataFrame:
