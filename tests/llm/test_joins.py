@@ -128,6 +128,16 @@ def repeats_brute(texts, n):
     return out
 
 
+def test_repeats_of_a_hot_passage(spark):
+    """A passage in most rows, before and after other words, and rows that are copies: more than one batch's worth."""
+    rng, hot = random.Random(5), " ".join(f"h{i}" for i in range(120))
+    texts = [f"{rng.random()} {hot[rng.randrange(20):]} {rng.random()}" for _ in range(2500)]
+    texts += [" ".join(str(rng.random()) for _ in range(40)) for _ in range(30)] + ["same " * 100] * 2200
+    got = repeats.remove_repeats(docs(spark, texts)).orderBy("doc_id").collect()
+    want = repeats_brute([t.encode() for t in texts], 400)
+    assert [(r.n_removed, r.n_spans) for r in got] == [(n, k) for _, n, k, _ in want]
+
+
 def test_repeats_are_exact(spark):
     rng = random.Random(5)
     passage, other = prose(rng, 120), prose(rng, 70)

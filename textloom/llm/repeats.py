@@ -18,9 +18,10 @@ windows. Two things keep the passes small.
 
 Suffixes whose first digit occurs once (most) fall out in the first pass, before
 anything else is shuffled or kept. Groups are counted and joined back, never
-gathered, however many documents hold a passage; rows of one digit are dealt among
-``SALTS`` tasks. Digits two and three are
-hashes: 128 bits with what they are compared within. Texts travel compressed.
+gathered, however many documents hold a passage: of the rows of one digit in a
+batch the first two meet those of other batches; the others, repeated by these
+two, are dealt at random. Digits two and three are hashes: 128 bits with what
+they are compared within. Texts travel compressed.
 
 Lengths count bytes, or with ``words`` words between ASCII white space, each named
 by a 64-bit hash: a passage then is so many equal words, however short they are
@@ -38,15 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, kgram_hash, partitions, release, sliding_min, text_key
+from .common import arrow_map, cut, kgram_hash, mix64, release, sliding_min, text_key
 
-_ANCHORS = "d1 long, d2 long, k1 long, k2 long, r long, s int"
-_NAMES = ["d1", "d2", "k1", "k2", "r", "s"]
+_ANCHORS = "d1 long, d2 long, k1 long, k2 long, r long, s int, t int"
+_NAMES = ["d1", "d2", "k1", "k2", "r", "s", "t"]
 #: Windows of a block between the anchor's range and the single window.
 BLOCK = 16
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, clean_text string"
-#: Windows of a text that are looked at together, and salts among which rows of one digit are dealt.
-SPAN, SALTS = 1 << 23, 64
+#: Windows of a text that are looked at together.
+SPAN = 1 << 23
 _RANGE = 10  # bits of a range's lengths beside its start
 _LOW = (1 << _RANGE) - 1
 #: Words of an anchor's gram when lengths count words.
@@ -63,9 +64,26 @@ def _long(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64) if a.dtype == np.uint64 else a, pa.int64())
 
 
+def _salts(spread: np.ndarray, *digits: np.ndarray) -> np.ndarray:
+    """0 for the first two rows of equal digits, for the others a number above it by ``spread``."""
+    order = np.lexsort(digits)
+    later = np.ones(max(len(order) - 2, 0), bool)
+    for d in digits:
+        later &= d[order[2:]] == d[order[:-2]]
+    salts, hot = np.zeros(len(order), np.int32), order[2:][later]
+    salts[hot] = spread[hot] % np.uint64(0x7FFFFFFE) + np.uint64(1)
+    return salts
+
+
 def _rows(cols: list[np.ndarray]) -> pa.RecordBatch:
-    """Suffixes as a batch, each with a salt: rows of one digit go to as many tasks."""
-    return pa.RecordBatch.from_arrays([*map(_long, cols), pa.array(np.arange(len(cols[0]), dtype=np.int32) % SALTS)], names=_NAMES)
+    """Suffixes as a batch, with salts by digit one (``s``) and by both digits (``t``).
+
+    A digit that the batch holds twice or more has two rows without a salt, so
+    rows without one show whether a digit is repeated, and rows with one are.
+    """
+    d1, d2, k1, _, r = cols
+    spread = mix64(np.arange(len(d1), dtype=np.uint64) ^ k1.view(np.uint64) ^ r.view(np.uint64))
+    return pa.RecordBatch.from_arrays([*map(_long, cols), pa.array(_salts(spread, d1)), pa.array(_salts(spread, d1, d2))], names=_NAMES)
 
 
 def _symbols(raw: bytes, words: bool) -> np.ndarray:
@@ -202,37 +220,25 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, threshold: int = 400, gr
     return marks.groupBy("k1", "k2").agg(F.collect_set(F.shiftright("r", 2 * _RANGE) * (1 << _RANGE) + F.col("r").bitwiseAND(_LOW) + threshold).alias("marks"))
 
 
-def _counted(rows: DataFrame, digits: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows dealt by digits and salt, and per (digits, salt) a row of the group, its size ``n``, and the size ``every`` of all salts' groups.
-
-    Sizes are sums of at most ``SALTS`` partial ones, so no task sees more of a
-    digit than its share. Counts and rows read one exchange: to that end both ask
-    for all columns (``x``), not null.
-    """
-    dealt = rows.where(" and ".join(f"{c} is not null" for c in [*digits, "s"])).repartition(partitions(rows.sparkSession), *digits, "s")
-    mixed = F.col("d1").bitwiseXOR(F.col("d2")).bitwiseXOR(F.col("k1")).bitwiseXOR(F.col("k2")).bitwiseXOR(F.col("r"))
-    others = [F.first(c).alias(c) for c in ("k1", "k2", "r")]
-    parts = dealt.groupBy(*digits, "s").agg(F.count("*").alias("n"), F.max(mixed).alias("x"), *others).where("x is not null")
-    return dealt, parts.withColumn("every", F.sum("n").over(Window.partitionBy(*digits)))
-
-
-def _with_size(dealt: DataFrame, parts: DataFrame, digits: list[str]) -> DataFrame:
-    """Rows of digits that occur twice or more; the join is no semi join, which would slip below the exchange."""
-    return dealt.join(parts.where("every > 1").select(*digits, "s"), [*digits, "s"]).select(*_NAMES)
+def _sized(rows: DataFrame, digits: list[str]) -> DataFrame:
+    """Rows with the size ``n`` of their group of equal digits and salt; no task sees more of a digit than two rows a batch."""
+    return rows.withColumn("n", F.count("*").over(Window.partitionBy(*digits, "s" if len(digits) == 1 else "t")))
 
 
 def _shared(rows: DataFrame, digits: list[str]) -> DataFrame:
     """Rows whose digits occur twice or more."""
-    return _with_size(*_counted(rows, digits), digits)
+    return _sized(rows, digits).where("n > 1 or s > 0" if len(digits) == 1 else "n > 1 or t > 0").select(*_NAMES)
 
 
 def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ranges that agree in both digits with another one (``k1, k2, r``), and of those that agree
     in digit one but stand alone in digit two, with one of each class they are to be compared with,
     the ranges by text (``k1, k2, rs``)."""
-    dealt, parts = _counted(rows, ["d1", "d2"])
-    whole = _with_size(dealt, parts, ["d1", "d2"]).select("k1", "k2", "r")
-    classes = parts.groupBy("d1", "d2").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "r")))
+    sized = _sized(rows, ["d1", "d2"])
+    whole = sized.where("n > 1 or t > 0").select("k1", "k2", "r")
+    # a filter on t alone would slip below the exchange, which both are to read
+    plain = sized.where("case when t = 0 then n else 0 end > 0")
+    classes = plain.groupBy("d1", "d2", "t").agg(F.max("n").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "r")))
     unsure = classes.groupBy("d1").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("d1")
     return whole, classes.join(unsure, "d1", "left_semi").groupBy("k1", "k2").agg(F.collect_list("r").alias("rs"))
 
