@@ -102,3 +102,24 @@ def glob_regex(globs: list[str]) -> str:
             body = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in form.removesuffix("/*").rstrip("/"))
             out.append(f"{body}(?:/.*)?")
     return "^(?:" + "|".join(out) + ")$" if out else "(?!)"
+
+
+#: Endings of generated C# files; headers of the C standard library.
+GENERATED_CSHARP = (".designer.cs", ".g.cs", ".g.i.cs", ".generated.cs", "assemblyinfo.cs")
+STANDARD_HEADERS = (
+    "assert.h", "complex.h", "ctype.h", "errno.h", "fenv.h", "float.h", "inttypes.h",
+    "iso646.h", "limits.h", "locale.h", "math.h", "setjmp.h", "signal.h", "stdalign.h",
+    "stdarg.h", "stdatomic.h", "stdbool.h", "stddef.h", "stdint.h", "stdio.h",
+    "stdlib.h", "stdnoreturn.h", "string.h", "tgmath.h", "threads.h", "time.h",
+    "uchar.h", "wchar.h", "wctype.h",
+)
+
+
+def is_generated_csharp(path: Column) -> Column:
+    """C# files that tools wrote."""
+    return F.lower(path).rlike("(?:" + "|".join(e.replace(".", r"\.") for e in GENERATED_CSHARP) + ")$")
+
+
+def is_system_header(name: Column) -> Column:
+    """Headers of the C library by file name, and those of C++, which have no ending and no directory."""
+    return basename(name).isin(*STANDARD_HEADERS) | ~name.rlike("[/.]")

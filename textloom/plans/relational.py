@@ -148,14 +148,14 @@ def longest_prefix_resolve(t):
 
 
 @query("""
-WITH k AS (SELECT DISTINCT regexp_extract(url, '[^/]*$') AS base FROM pages WHERE page_id % 2 = 0),
+WITH k AS (SELECT DISTINCT regexp_extract(url, '[^/]*$') AS base FROM pages WHERE starts_with(url, 'https:')),
 c AS (SELECT page_id, regexp_extract(url, '[^/]*$') AS base FROM pages)
 SELECT page_id, c.base, k.base IS NOT NULL AS verified FROM c LEFT JOIN k ON c.base = k.base
 """)
 def ground_paths(t):
-    """Paths are known if their base name is."""
+    """Paths of all pages are known if a page behind TLS has their base name."""
     base = px.basename(F.col("url"))
-    return resolve.grounded(t("pages").select("page_id", base.alias("base")), t("pages").where("page_id % 2 = 0").select(base.alias("base")), "base").select("page_id", "base", "verified")
+    return resolve.grounded(t("pages").select("page_id", base.alias("base")), t("pages").where("startswith(url, 'https:')").select(base.alias("base")), "base").select("page_id", "base", "verified")
 
 
 _W = r"regexp_extract_all(lower(text), '[\p{L}]+')"
