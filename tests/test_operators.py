@@ -124,6 +124,22 @@ def test_seen_set_marks_only_what_succeeded(spark, tmp_path):
     assert sorted(r.iid for r in spark.read.parquet(state).collect()) == [1, 2, 3]
 
 
+def test_failed_items_come_back_with_the_next_batch(spark, tmp_path):
+    src, state, handled = str(tmp_path / "in"), str(tmp_path / "seen"), []
+
+    def handle(df):
+        keys = sorted(r.iid for r in df.collect())
+        handled.append(keys)
+        return df.where("iid <> 1" if len(handled) < 3 else "true")
+
+    for n in (1, 2, 3, 4):
+        spark.createDataFrame([(n, "s")], "iid int, s string").write.mode("append").parquet(src)
+        stream = spark.readStream.schema("iid int, s string").parquet(src)
+        seen.poll_with_seen_set(stream, "iid", handle, state, str(tmp_path / "ck")).awaitTermination()
+    assert handled == [[1], [1, 2], [1, 3], [4]]
+    assert sorted(r.iid for r in spark.read.parquet(state).collect()) == [1, 2, 3, 4]
+
+
 def test_dispatch(spark):
     rows = [
         ('{"object_kind":"merge_request","object_attributes":{"action":"open"}}', "review", ""),

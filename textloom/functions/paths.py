@@ -76,6 +76,23 @@ def module_name(path: Column) -> Column:
     return F.replace(F.regexp_replace(bare, r"^src/", ""), F.lit("/"), F.lit("."))
 
 
+def rust_module_name(path: Column) -> Column:
+    """Module of a Rust file below its crate's directory (``crate`` at the top), null for other files."""
+    p = parts(path)
+    at = F.array_position(p, "src").cast("int")
+    above = F.when(at > 1, F.array_join(F.slice(p, F.lit(1), F.greatest(at - 1, F.lit(0))), "::")).otherwise("crate")
+    inside = F.slice(p, at + 1, F.size(p))
+    stem = F.regexp_replace(F.element_at(p, -1), r"\.rs$", "")
+    names = F.concat(F.array(above), F.slice(inside, F.lit(1), F.greatest(F.size(inside) - 1, F.lit(0))), F.when(stem.isin("lib", "main", "mod"), F.array().cast("array<string>")).otherwise(F.array(stem)))
+    return F.when(path.endswith(".rs"), F.array_join(names, "::"))
+
+
+def safe_name(name: Column) -> Column:
+    """A name of ASCII letters, digits and single underscores; ``component`` if nothing is left."""
+    cleaned = F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
+    return F.when(cleaned == "", "component").otherwise(cleaned)
+
+
 def detect_language(path: Column, head: Column | None = None) -> Column:
     """Language by file name, extension, and for headers by content."""
     name = basename(path)

@@ -89,3 +89,13 @@ def strip_markup_comments(text: Column) -> Column:
 def strip_code_comments(text: Column) -> Column:
     """Without //, # and block comments; strings are stepped over whole, a block's line feeds go with it."""
     return F.regexp_replace(text, r"""(?s)("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|//[^\n]*|#[^\n]*|/\*.*?\*/""", "$1")
+
+
+def rst_escaped(text: Column) -> Column:
+    """Inline markup of reStructuredText made literal by backslashes."""
+    return F.regexp_replace(text, r"([\\*`|_])", r"\\$1")
+
+
+def rst_literal(text: Column) -> Column:
+    """An inline literal, which no backtick inside ends early."""
+    return F.concat(F.lit("``"), F.replace(text, F.lit("`"), F.lit("'")), F.lit("``"))

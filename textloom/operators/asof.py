@@ -29,3 +29,11 @@ def innermost_interval(points: DataFrame, spans: DataFrame, key: str, at: str, p
     s = spans.select(F.col(key), F.col("start"), F.col("end"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("__b"))
     hit = p.join(s, [key, "__b"], "left").withColumn("__s", F.when(F.col(at).between(F.col("start"), F.col("end")), F.col("start")))
     return hit.groupBy(point_id).agg(F.max("__s").alias("inner_start"))
+
+
+def enclosing_or_preceding(points: DataFrame, spans: DataFrame, key: str, at: str, point_id: str, width: int) -> DataFrame:
+    """Each point with the start of its innermost span, else of the nearest span that starts no later; null before all spans."""
+    inner = innermost_interval(points, spans, key, at, point_id, width)
+    starts = spans.select(key, F.col("start").alias(at), F.col("start").alias("__start"))
+    before = asof_backward(points.select(key, at, point_id), starts, key, at, "__start", "__before").select(point_id, "__before")
+    return inner.join(before, point_id).select(point_id, F.coalesce("inner_start", "__before").alias("start"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths as px
+
 
 def prefixes(parts: Column) -> Column:
     """All non-empty prefixes of an array, as structs (depth, joined)."""
@@ -45,3 +47,25 @@ def suggestions(asked: DataFrame, paths: DataFrame, path: str, n: int = 3) -> Da
     both = both.withColumn("suffix", F.col(path).endswith(F.concat(F.lit("/"), F.col("ask"))) | (F.col(path) == F.col("ask")))
     got = both.groupBy("ask").agg(F.array_sort(F.collect_set(F.when(F.col("suffix"), F.col(path)))).alias("s"), F.array_sort(F.collect_set(path)).alias("a"))
     return got.select("ask", F.array_join(F.slice(F.when(F.size("s") > 0, F.col("s")).otherwise(F.col("a")), 1, n), ",").alias("found"))
+
+
+def rust_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """Rust imports with the file that they name: ``path, import, target``; paths of other crates give no row.
+
+    ``imports(path, import)``, ``files(path, ord)``. ``crate`` stands for the first
+    part of the importer's module, each ``super`` for a step up from it, and the
+    longest prefix that is a module counts; of two files of one module the last.
+    Prefixes are joined by equality.
+    """
+    index = files.select(px.rust_module_name(F.col("path")).alias("module"), "path", "ord").where("module IS NOT NULL").groupBy("module").agg(F.max_by("path", "ord").alias("target"))
+    name = F.trim("import")
+    segments = F.split(name, "::")
+    own = F.split(F.coalesce(px.rust_module_name(F.col("path")), F.lit("crate")), "::")
+    lead = F.filter(F.split(F.regexp_extract(name, r"^(?:(?:self|super)(?:::|$))+", 0), "::"), lambda p: p != "")
+    ups = F.size(F.filter(lead, lambda p: p == "super"))
+    rest = lambda n: F.slice(segments, n + 1, F.size(segments))
+    base = F.when(F.size(own) > ups, F.slice(own, F.lit(1), F.greatest(F.size(own) - ups, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    full = F.when(F.get(segments, 0) == "crate", F.concat(F.slice(own, 1, 1), rest(F.lit(1)))).when(F.size(lead) > 0, F.concat(base, rest(F.size(lead))))
+    asked = imports.select("path", "import").distinct().withColumn("full", full).where("size(full) > 0")
+    tried = asked.select("path", "import", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("full")), lambda n: F.array_join(F.slice("full", F.lit(1), n), "::"))).alias("n", "module"))
+    return tried.join(index, "module").groupBy("path", "import").agg(F.max_by("target", "n").alias("target"))

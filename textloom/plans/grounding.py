@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as px
 from ..functions import text as fx
-from ..operators import grounding, outline
+from ..operators import asof, grounding, outline, resolve
 from .files import _values
 from .registry import query
 
@@ -109,3 +109,41 @@ def generated_csharp(t):
 def system_headers(t):
     """FL-15: headers of the standard libraries."""
     return _rows(t, [(h,) for h, _ in HEADERS], "name string").select("name", px.is_system_header(F.col("name")).alias("system"))
+
+
+CRATES = [("a/src/lib.rs", 1), ("a/src/foo/mod.rs", 2), ("a/src/foo/bar.rs", 3), ("src/main.rs", 4), ("src/util.rs", 5), ("src/util/deep.rs", 6), ("notes.txt", 7)]
+USES = [("a/src/foo/bar.rs", "crate::foo::Thing"), ("a/src/foo/bar.rs", "super::bar::x"), ("a/src/foo/bar.rs", "super::super::nope"), ("a/src/foo/bar.rs", "std::fmt"), ("a/src/foo/mod.rs", "self::bar"), ("src/util/deep.rs", " crate::util::deep::f"), ("src/util/deep.rs", "super"), ("src/main.rs", "super::super::x"), ("src/main.rs", "supermarket::x")]
+SPANS = [("f", 10, 20), ("f", 12, 14), ("f", 30, 31), ("g", 5, 6)]
+LINES = [(1, "f", 13), (2, "f", 16), (3, "f", 25), (4, "f", 9), (5, "g", 300), (6, "h", 1)]
+UNITS = [("src/api.v2", "src_api_v2", r"src/api.v2", "``src/api.v2``"), ("--", "component", "--", "``--``"), ("a_b|*c`\\", "a_b_c", "a\\_b\\|\\*c\\`\\\\", "``a_b|*c'\\``")]
+
+
+@query(_values([
+    ("a/src/foo/bar.rs", "crate::foo::Thing", "a/src/foo/mod.rs"), ("a/src/foo/bar.rs", "super::bar::x", "a/src/foo/bar.rs"), ("a/src/foo/bar.rs", "super::super::nope", "a/src/lib.rs"),
+    ("a/src/foo/mod.rs", "self::bar", "a/src/foo/bar.rs"), ("src/util/deep.rs", " crate::util::deep::f", "src/util/deep.rs"), ("src/util/deep.rs", "super", "src/util.rs"),
+], ["path", "import", "target"]))
+def rust_import_resolution(t):
+    """JN-2: files that Rust imports name."""
+    return resolve.rust_imports(_rows(t, USES, "path string, import string"), _rows(t, CRATES, "path string, ord int"))
+
+
+@query(_values(list(zip([p for p, _ in CRATES], ["a", "a::foo", "a::foo::bar", "crate", "crate::util", "crate::util::deep", None], strict=True)), ["path", "module"]))
+def rust_modules(t):
+    """SF-4: modules of Rust files."""
+    return _rows(t, CRATES, "path string, ord int").select("path", px.rust_module_name(F.col("path")).alias("module"))
+
+
+@query(f"""
+SELECT id, coalesce(max(start) FILTER (WHERE line BETWEEN start AND "end"), max(start) FILTER (WHERE start <= line)) AS start
+FROM ({_values(LINES, ['id', 'file', 'line'])}) l LEFT JOIN ({_values(SPANS, ['file', 'start', '"end"'])}) s USING (file) GROUP BY id
+""")
+def enclosing_definition(t):
+    """JN-6: the definition around a line, else the nearest before it."""
+    return asof.enclosing_or_preceding(_rows(t, LINES, "id int, file string, line int"), _rows(t, SPANS, "file string, start int, end int"), "file", "line", "id", 100)
+
+
+@query(_values(UNITS, ["name", "safe", "escaped", "literal"]))
+def report_names(t):
+    """SF-25, SF-26: names made safe for files and for reStructuredText."""
+    n = F.col("name")
+    return _rows(t, [(u[0],) for u in UNITS], "name string").select("name", px.safe_name(n).alias("safe"), fx.rst_escaped(n).alias("escaped"), fx.rst_literal(n).alias("literal"))

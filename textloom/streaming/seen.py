@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 MERGE_REQUEST = (
     "object_kind string, object_attributes struct<action:string,iid:int,note:string,noteable_type:string,discussion_id:string>, "
@@ -22,21 +23,32 @@ def first_seen(stream: DataFrame, keys: list[str], at: str, delay: str = "30 day
 def poll_with_seen_set(stream: DataFrame, key: str, handle: Callable[[DataFrame], DataFrame], seen_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """At-least-once handling of each key: marked as seen only once ``handle`` reports success.
 
-    ``handle`` takes new rows and returns those it succeeded with; the others
-    are offered again when their key comes with a later batch. The seen-set is
-    a Parquet table of keys, appended to in the batch function.
+    ``handle`` takes rows of keys not seen yet and returns those it succeeded
+    with; the others are kept and offered again with the next batch, whether or
+    not their key comes again. The seen-set is a Parquet table of keys, what is
+    kept lies in ``pending`` beside it. Each batch writes folders of its own
+    number over, so a batch that is replayed leaves no row twice.
     """
+    folder = seen_path.rstrip("/")
 
-    def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        fresh = df.dropDuplicates([key])
+    def earlier(spark: SparkSession, path: str, schema: StructType, number: int) -> DataFrame:
+        """Rows of ``path`` that batches before ``number`` wrote; none if there is no table yet."""
         try:
-            fresh = fresh.join(spark.read.schema(df.select(key).schema).parquet(seen_path), key, "left_anti")
-        except Exception as e:  # no seen-set yet
+            found = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
+        except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        done = handle(fresh).select(key).distinct()
-        done.write.mode("append").parquet(seen_path)
+            return spark.createDataFrame([], StructType([*schema.fields, StructField("batch", LongType())]))
+        return found.where(F.col("batch") < number)
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark, schema = df.sparkSession, df.schema
+        kept = earlier(spark, folder + ".pending", schema, number).where(F.col("batch") == number - 1).drop("batch")
+        seen = earlier(spark, folder, df.select(key).schema, number).select(key)
+        fresh = df.unionByName(kept).dropDuplicates([key]).join(seen, key, "left_anti")
+        handle(fresh).select(key).distinct().write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        done = spark.read.schema(df.select(key).schema).parquet(f"{folder}/batch={number}")
+        fresh.join(done, key, "left_anti").select(*df.columns).write.mode("overwrite").parquet(f"{folder}.pending/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
