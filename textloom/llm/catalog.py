@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, chat_collapse, line_quality, packing, parity_join, pii, repeats, token_counts, toxicity, winnow
+from . import bpe_codec, chat_collapse, chat_repair, exact_dedup, lexical_search, line_quality, packing, parity_join, pii, repeats, token_counts, toxicity, winnow
 from .common import table
 
 
@@ -50,7 +50,24 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return chat_repair.reports(chat_repair.damaged(turns), turns)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_surrogates, op2_line_frequency, op3_parity_join, op4_bpe_codec, op5_chat_collapse, op6_token_counts, op7_toxicity, op8_winnowing, op9_repeats, op10_harmonic_packing)
+    f.__name__: f
+    for f in (
+        op1_pii_surrogates, op2_line_frequency, op3_parity_join, op4_bpe_codec, op5_chat_collapse, op6_token_counts, op7_toxicity, op8_winnowing, op9_repeats, op10_harmonic_packing,
+        op11_conversation_repair, op12_exact_dedup, op13_ranked_search,
+    )
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_frequency": line_quality.ORACLE_SQL, "op5_chat_collapse": chat_collapse.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_frequency": line_quality.ORACLE_SQL, "op5_chat_collapse": chat_collapse.ORACLE_SQL, "op12_exact_dedup": exact_dedup.ORACLE_SQL, "op13_ranked_search": lexical_search.ORACLE_SQL}
