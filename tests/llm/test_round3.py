@@ -13,7 +13,7 @@ import pytest
 from conftest import SF
 from test_catalog import rows_of
 
-from textloom.llm import catalog, chat_repair, exact_dedup, lexical_search
+from textloom.llm import catalog, chat_repair, exact_dedup, lexical_search, pii
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -31,7 +31,7 @@ def test_against_sql(spark, duck, name):
 def first_faults(rows):
     seen, out = set(), []
     for role, text in rows:
-        shown = re.sub(r"[ \t\n\v\f\r]+$", "", text)
+        shown = text.rstrip(" \t\n\v\f\r")
         out.append("blank" if not shown else "duplicate" if (role, text) in seen else None if shown[-1] in ".!?" else "truncated")
         seen.add((role, text))
     return out
@@ -202,3 +202,43 @@ def test_odd_texts_ties_and_blocks(spark, monkeypatch):
         monkeypatch.setattr(lexical_search, "BLOCK_QUERIES", most)
         assert sorted((tuple(r) for r in lexical_search.search(d, q).collect()), key=repr) == ref
     assert lexical_search.search(d.limit(0), q).count() == 0 and lexical_search.search(d, q.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- surrogates for personal data
+
+
+def replaced(spark, texts, key="k"):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in pii.replace_personal_data(df, key).orderBy("doc_id").collect()]
+
+
+def test_surrogates_survive_runs_of_any_length(spark):
+    many = 10**6
+    hostile = ["a@" + "b." * 10**5 + "com", "x" * many, "7" * many, "a@" * 10**5, "a." * 10**5 + "@b.com", "token=" + "Ab1/" * 50_000, "Mr " + "A" * many, "+1" * 10**5, ("ab1" * 30 + " ") * 3_000, "a@b." + "c" * many, "1.2." * 10**5, "Mr X" * 10**5, "-" * many + "@", "\n" * many]
+    got = replaced(spark, hostile + ["mail me: jo@mail.example.org."])
+    assert "jo@" not in got[-1] and got[-1].endswith(".org.") and got[1] == hostile[1] and hostile[5][6:50] not in got[5]
+    assert len(got[5]) == len(hostile[5])
+
+
+def test_distinct_entities_stay_distinct_and_each_has_one_surrogate(spark, monkeypatch):
+    rng = random.Random(8)
+    names = [f"{a}{b}{c}" for a in ("Ab", "Cer", "Dov", "Eln") for b in ("an", "ok", "ir", "um", "es") for c in ("sen", "ti", "ra", "lov", "det")]
+    mails = [f"{n.lower()}{i}@host{i % 7}.example.com" for i, n in enumerate(names)] + [f"{c}@x.org" for c in "abcdefghijklmnopqrst"]
+    phones = [f"{rng.randrange(200, 999)}-{rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}" for _ in range(80)]
+    entities = [("Mr " + n, "Dr " + n) for n in names] + [(m, m.upper()) for m in mails] + [(p, f"({p[:3]}) {p[4:]}") for p in sorted(set(phones))]
+    for small in (False, True):  # with four family names, a first draw can't hold the hundred
+        if small:
+            monkeypatch.setattr(pii, "SYLLABLES", ["ba", "do"])
+            monkeypatch.setattr(pii, "FAMILY_ENDS", ["n"])
+        got = replaced(spark, [f"{a} and {b}" for a, b in entities])
+        plain = [re.sub(r"\W", "", re.sub(r"^(Mr|Dr) ", "", side)).lower() for text in got for side in text.split(" and ")]
+        assert plain[::2] == plain[1::2]
+        assert len(set(plain[::2])) == len(entities)
+        assert not {re.sub(r"\W", "", re.sub("^Mr ", "", a)).lower() for a, _ in entities} & set(plain)
+
+
+def test_account_numbers_keep_their_check_number(spark):
+    remainder = lambda t: int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97
+    valid, broken = "DE89370400440532013000", "GB82WEST12345698765433"
+    a, b, c = replaced(spark, [valid, "DE89 3704 0044 0532 0130 00", broken])
+    assert a != valid and a[:2] == "DE" and remainder(a) == 1 and b.replace(" ", "") == a and remainder(broken) != 1 and c != broken
