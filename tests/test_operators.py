@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from textloom.functions import comments
 from textloom.functions import paths as px
 from textloom.functions import text as fx
 from textloom.operators import asof, caps, chain, coverage, dedupe, graph, resolve, snapshot
@@ -91,7 +92,7 @@ def test_text_functions(spark):
     assert one(spark, fx.token_estimate(F.lit("été foo_1, b!"))) == 6
     assert one(spark, fx.redact_url(F.lit("https://u:p@h/x"))) == "https://h/x"
     assert one(spark, fx.extract_code(F.lit("x\n```py\na = 1\n"))) == "a = 1\n"
-    assert one(spark, fx.strip_code_comments(F.lit('a = "#no" # yes\nb // c'))) == 'a = "#no" \nb '
+    assert one(spark, comments.strip_comments(F.lit('a = "#no" # yes\nb // c'))) == 'a = "#no" \nb '
     assert one(spark, fx.diagnostic(F.lit("x\nfoo: error: bad\ny"))) == "foo: error: bad"
 
 

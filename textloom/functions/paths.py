@@ -100,7 +100,7 @@ def detect_language(path: Column, head: Column | None = None) -> Column:
     known = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
     by_ext = F.coalesce(F.element_at(known, ext), F.lit("Other"))
     if head is not None:
-        bare = F.regexp_replace(head, r"""(?s)//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'""", " ")
+        bare = F.regexp_replace(head, r"""(?s)//[^\n]*+|/\*.*?\*/|"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'""", " ")
         by_ext = F.when((ext == "h") & bare.rlike(r"\b(?:class|template|namespace)\b"), F.lit("C++")).otherwise(by_ext)
     return F.when(name.isin(*BUILD_FILES), F.lit("Build")).otherwise(by_ext)
 

@@ -86,11 +86,6 @@ def strip_markup_comments(text: Column) -> Column:
     return F.regexp_replace(text, r"""(?s)("[^"]*"|'[^'<>]*')|<!--.*?-->|<script\b.*?</script>""", "$1")
 
 
-def strip_code_comments(text: Column) -> Column:
-    """Without //, # and block comments; strings are stepped over whole, a block's line feeds go with it."""
-    return F.regexp_replace(text, r"""(?s)("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|//[^\n]*|#[^\n]*|/\*.*?\*/""", "$1")
-
-
 def rst_escaped(text: Column) -> Column:
     """Inline markup of reStructuredText made literal by backslashes."""
     return F.regexp_replace(text, r"([\\*`|_])", r"\\$1")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as px
+from ..functions.comments import CLOSED_STRING
 from . import dedupe, snapshot
 
 CALLABLE = ("function", "method")
@@ -153,7 +154,7 @@ def header_companion(sources: DataFrame, headers: DataFrame, includes: DataFrame
     h = headers.select(F.col("path").alias("header"))
     own = sources.join(h, (stem(F.col("path")) == stem(F.col("header"))) & (folder(F.col("path")) == folder(F.col("header")))).select("path", "header", F.lit(-1).alias("o"))
     other = includes.select("path", "pos", F.concat(folder(F.col("path")), F.col("include")).alias("header")).join(h, "header").select("path", "header", F.col("pos").alias("o"))
-    return own.unionByName(other).groupBy("path").agg(F.min_by("header", "o").alias("header"))
+    return own.unionByName(other).groupBy("path").agg(F.min_by("header", F.struct("o", "header")).alias("header"))
 
 
 def missing_headers(diagnostics: DataFrame, most: int = 5) -> DataFrame:
@@ -163,7 +164,7 @@ def missing_headers(diagnostics: DataFrame, most: int = 5) -> DataFrame:
 
 def assertions(text: Column) -> Column:
     """Lines that assert something, strings blanked."""
-    bare = F.regexp_replace(text, r"""("(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')""", "")
+    bare = F.regexp_replace(text, CLOSED_STRING, "")
     return F.size(F.filter(F.split(bare, "\n"), lambda line: line.rlike(r"\b(?:assert\w*|ASSERT_\w+|EXPECT_\w+)\b")))
 
 

@@ -1,4 +1,4 @@
-"""Queries over a small literal corpus store; the oracle is SQL over the same literal rows."""
+"""The corpus store's queries, over the file model that the given tables stand for."""
 
 from __future__ import annotations
 
@@ -8,73 +8,27 @@ from pyspark.sql import functions as F
 from ..functions import paths as px
 from ..functions import text as fx
 from ..operators import pack, snapshot, store
+from .derived import reading, with_derived
 from .registry import query
 
-TABLES = {
-    "symbols": ("path string, name string, kind string, lineno int, signature string, doc string", [
-        ("src/api/app.py", "main", "function", 20, "main(argv)", "Starts."), ("src/api/app.py", "App", "class", 8, "App", "The app."), ("src/api/app.py", "name", "method", 12, "", ""), ("src/api/app.py", "LIMIT", "constant", 5, "LIMIT", ""),
-        ("src/db/store.py", "open", "function", 3, "open(path)", "Opens."), ("src/db/store.py", "close", "function", 9, "close()", ""), ("tests/test_app.py", "testMain", "function", 1, "testMain()", ""), ("lib/io.cpp", "read", "function", 4, "int read()", "Reads."), ("lib/io.cpp", "read", "function", 9, "int read(int)", ""),
-    ]),
-    "calls": ("src_file string, dst_file string, caller string, callee string, line int", [
-        ("src/api/app.py", "src/db/store.py", "main", "open", 22), ("src/api/app.py", "src/db/store.py", "main", "open", 0), ("src/api/app.py", "src/db/store.py", "name", "close", 0), ("tests/test_app.py", "src/api/app.py", "testMain", "main", 2), ("src/db/store.py", "src/db/store.py", "close", "open", 11), ("lib/io.cpp", "src/db/store.py", "read", "open", 5),
-    ]),
-    "types": ("qualified_name string, kind string, file string, bases string", [("api.App", "class", "src/api/app.py", "Base"), ("io::Reader", "struct", "lib/io.cpp", ""), ("io::FileReader", "class", "lib/io.cpp", "io::Reader"), ("Écran", "class", "src/ui.py", "")]),
-    "summaries": ("path string, purpose string, source string", [("src/api/app.py", "Serves requests.", "model"), ("src/db/store.py", "Keeps rows.", "heuristic"), ("lib/io.cpp", "C++ file (120 bytes).", "heuristic"), ("tests/test_app.py", "Tests.", "heuristic")]),
-    "files": ("path string, language string, n_symbols int", [("src/api/app.py", "Python", 4), ("src/db/store.py", "Python", 2), ("tests/test_app.py", "Python", 1), ("lib/io.cpp", "C++", 2), ("vendor/x/main.go", "Go", 0), ("docs/a.md", "Markdown", 0)]),
-    "io_edges": ("src string, dst string, kind string, detail string", [("api", "redis", "datastore", "cache"), ("api", "redis", "datastore", "cache"), ("api", "db", "import", ""), ("web", "api", "http", "GET /"), ("db", "kafka", "messaging", "t"), ("web", "kafka", "messaging", "t"), ("api", "kafka", "messaging", "u")]),
-    "functions": ("qualified_name string, file string, ord int", [("a::f", "a.rs", 1), ("a::f", "a2.rs", 2), ("b::g", "b.rs", 3)]),
-    "report": ("caller_qualified string, callee_qualified string, file string, callee_file string, line int", [("a::f", "b::g", "", "", 4), ("a::f", "c::h", "a.rs", "", 5), ("x::y", "b::g", "x.rs", "", 6), ("b::g", "a::f", "b.rs", "a.rs", 7)]),
-    "items": ("rule_id string, file string, line int, severity string, category string", [("R1", "src/a.c", 9, "low", None), ("R2", "vendor/b/c.c", 3, None, None), ("R9", "src/d.c", 1, None, "style"), ("R1", "examples/e.c", 2, "info", None), ("R3", "src/a.c", 2, "critical", "x")]),
-    "rules": ("rule_id string, severity string, category string", [("R1", "high", "memory"), ("R2", None, "style")]),
-    "listing": ("l string", [("M\tsrc/a.py",), ("R087\told.py\tnew.py",), ("C100\tsrc/a.py\tsrc/b.py",), ("D\tgone.py",), ("A\t.git/hooks/x",), ("T\tbuild/out.o",), ("A\tlogo.png",)]),
-    "owned": ("component string, path string", [("src", "src/a.py"), ("src", "src/b.py"), ("lib", "lib/z.py"), ("root", "new.py")]),
-    "imports": ("path string, module string", [("tests/test_app.py", "src.api.app"), ("tests/test_db.py", "db.store"), ("tests/test_db.py", "os")]),
-    "edges": ("src string, dst string", [("src/api/app.py", "src/db/store.py"), ("src/api/app.py", "src/api/util.py"), ("src/api/util.py", "src/db/store.py"), ("lib/io.cpp", "src/db/store.py")]),
-    "headers": ("path string", [("lib/io.h",), ("lib/util.h",), ("inc/x.h",), ("lib/base.h",)]),
-    "includes": ("path string, pos int, include string", [("lib/x.c", 0, "none.h"), ("lib/x.c", 1, "util.h"), ("lib/x.c", 2, "base.h"), ("lib/io.c", 0, "util.h"), ("src/y.c", 0, "y.h")]),
-    "diags": ("header string, ord int", [("b.h", 1), ("a.h", 2), ("a.h", 3), ("c.h", 4), ("b.h", 5), ("d.h", 6), ("e.h", 7), ("f.h", 8)]),
-    "cache": ("key string, value string, age_days int", [("k1", '{"purpose": "p"}', 3), ("k2", '{"doc": "d"}', 40), ("k3", "broken", 1), ("k4", '{"é": 1}', 90)]),
-    "tests": ("path string, text string", [("t1.py", 'assert a == 1\nx = "assert not"\nassertEqual(a, b)\n'), ("t2.cpp", "EXPECT_EQ(1, f());\nASSERT_TRUE(x);\nint assertx;\n"), ("t3.py", "pass")]),
-    "sites": ("file string, name string", [("src/api/app.py", "App"), ("lib/io.cpp", "Reader"), ("lib/io.cpp", "none")]),
-    "diffs": ("path string, ord int, tokens long", [("a", 1, 900), ("b", 2, 700), ("c", 3, 500), ("d", 4, 10)]),
-}
-
-
-def _sql_value(v) -> str:
-    return "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''").replace("\n", "'||chr(10)||'").replace("\t", "'||chr(9)||'") + "'"
-
-
-def _with(body: str, *names: str) -> str:
-    """SQL with the literal tables it names."""
-    tables = []
-    for name in names:
-        ddl, rows = TABLES[name]
-        cols = [c.split()[0] for c in ddl.split(", ")]
-        kinds = [{"string": "VARCHAR", "int": "INT", "long": "BIGINT"}[c.split()[1]] for c in ddl.split(", ")]
-        picked = ", ".join(f"CAST({c} AS {k}) AS {c}" for c, k in zip(cols, kinds, strict=True))
-        tables.append(f"{name} AS (SELECT {picked} FROM (VALUES {', '.join('(' + ', '.join(map(_sql_value, r)) + ')' for r in rows)}) v({', '.join(cols)}))")
-    return f"WITH {', '.join(tables)} {body}"
-
-
 def corpus(body: str, *names: str):
-    """Register a query ``(table by name) -> DataFrame`` over literal tables with its SQL."""
+    """Register a query ``(table by name) -> DataFrame`` over derived tables with its SQL."""
 
     def register(fn):
         def run(t):
-            spark = t("region").sparkSession
-            return fn(lambda name: spark.createDataFrame(TABLES[name][1], TABLES[name][0]))
+            return fn(reading(t))
 
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
-        query(_with(body, *names) if names else body)(run)
+        query(f"{with_derived(*names)} {body}")(run)
         return fn
 
     return register
 
 
-@corpus("SELECT * FROM summaries WHERE path = 'src/db/store.py'", "summaries")
+@corpus("SELECT * FROM summaries WHERE path = 'src/db/f1.py'", "summaries")
 def point_lookup(t):
     """FL-1: one file's summary."""
-    return t("summaries").where("path = 'src/db/store.py'")
+    return t("summaries").where("path = 'src/db/f1.py'")
 
 
 @corpus("SELECT path AS file, name, lineno AS line FROM symbols WHERE kind IN ('function', 'method') AND starts_with(path, 'src/') ORDER BY path, lineno, name LIMIT 200", "symbols")
@@ -83,25 +37,25 @@ def functions_of_component(t):
     return store.kind_filter(t("symbols"), prefix="src/")
 
 
-@corpus("SELECT qualified_name, kind, file AS path, bases FROM types WHERE contains(lower(qualified_name), 'reader')", "types")
+@corpus("SELECT qualified_name, kind, file AS path, bases FROM types WHERE contains(lower(qualified_name), 'ring')", "types")
 def type_search(t):
     """FL-4, GR-6: types by part of their name, with bases."""
-    return store.find_types(t("types"), "Reader")
+    return store.find_types(t("types"), "Ring")
 
 
-@corpus("SELECT src_file AS path, caller, min(nullif(line, 0)) AS line FROM calls WHERE callee = 'open' AND src_file <> dst_file GROUP BY ALL", "calls")
+@corpus("SELECT src_file AS path, caller, min(nullif(line, 0)) AS line FROM calls WHERE callee = 'c3' AND src_file <> dst_file GROUP BY ALL", "calls")
 def callers_of(t):
     """FL-6, FL-8, GR-2: callers from other files."""
-    return store.callers(t("calls"), "open")
+    return store.callers(t("calls"), "c3")
 
 
 @corpus("""
-, e AS (SELECT *, src_file = 'src/db/store.py' AS o FROM calls WHERE src_file <> dst_file AND 'src/db/store.py' IN (src_file, dst_file))
+, e AS (SELECT *, src_file = 'src/db/f1.py' AS o FROM calls WHERE src_file <> dst_file AND 'src/db/f1.py' IN (src_file, dst_file))
 SELECT CASE WHEN o THEN 'calls' ELSE 'called by' END AS direction, CASE WHEN o THEN dst_file ELSE src_file END AS path, count(DISTINCT callee) AS callees FROM e GROUP BY 1, 2
 """, "calls")
 def file_call_graph(t):
     """FL-7, GR-2: a file's neighbours in the call graph."""
-    return store.file_graph(t("calls"), "src/db/store.py")
+    return store.file_graph(t("calls"), "src/db/f1.py")
 
 
 @corpus("SELECT path, ends_with(purpose, ' bytes).') AS placeholder FROM summaries", "summaries")
@@ -179,9 +133,11 @@ def heavy_call_files(t):
 
 
 @corpus("""
-, h AS (SELECT coalesce(nullif(r.file, ''), 'a2.rs') AS src_file, 'b.rs' AS dst_file, 'f' AS caller, 'g' AS callee, line FROM report r WHERE line = 4)
-SELECT * FROM h UNION ALL SELECT * FROM calls
-""", "report", "calls")
+, d AS (SELECT qualified_name, arg_max(file, ord) AS f FROM functions GROUP BY 1),
+h AS (SELECT coalesce(nullif(r.file, ''), a.f) AS src_file, coalesce(nullif(callee_file, ''), b.f) AS dst_file, string_split(caller_qualified, '::')[-1] AS caller, string_split(callee_qualified, '::')[-1] AS callee, line
+FROM report r LEFT JOIN d a ON a.qualified_name = caller_qualified LEFT JOIN d b ON b.qualified_name = callee_qualified WHERE line = 4 AND src_file IS NOT NULL AND dst_file IS NOT NULL)
+SELECT * FROM h UNION ALL SELECT * FROM calls ANTI JOIN h USING (src_file, dst_file, caller, callee)
+""", "functions", "report", "calls")
 def heavy_ingest(t):
     """SK-5, SO-4, PL-8: a report's calls of one caller replace the light ones of their edges."""
     heavy = store.heavy_calls(t("report").where("line = 4"), t("functions"))
@@ -202,10 +158,10 @@ def type_bases(t):
 
 
 @corpus("""
-, s AS (SELECT unnest(['lib/io.c', 'lib/x.c', 'src/y.c']) AS path),
+, s AS (SELECT DISTINCT path FROM includes),
 c AS (SELECT s.path, h.path AS header, -1 AS o FROM s JOIN headers h ON regexp_replace(s.path, '\\.c$', '.h') = h.path
 UNION ALL SELECT i.path, h.path, pos FROM includes i JOIN headers h ON h.path = regexp_replace(i.path, '[^/]*$', '') || include)
-SELECT path, arg_min(header, o) AS header FROM c GROUP BY path
+SELECT path, header FROM c QUALIFY row_number() OVER (PARTITION BY path ORDER BY o, header) = 1
 """, "headers", "includes")
 def header_companions(t):
     """JN-21: the header of each source."""
@@ -266,7 +222,9 @@ def cache_put_prune(t):
     return store.cache_pruned(store.cache_put(t("cache"), new), 30)
 
 
-@corpus("SELECT path, CASE path WHEN 't1.py' THEN 2 WHEN 't2.cpp' THEN 3 ELSE 0 END AS n FROM tests", "tests")
+@corpus(r"""
+SELECT path, len(list_filter(string_split(regexp_replace(text, '"(?:\\.|[^"\\\n])*"|''(?:\\.|[^''\\\n])*''', '', 'g'), chr(10)), lambda l: regexp_matches(l, '\b(assert\w*|ASSERT_\w+|EXPECT_\w+)\b'))) AS n FROM tests
+""", "tests")
 def assertion_counts(t):
     """AG-22: lines that assert."""
     return t("tests").select("path", store.assertions(F.col("text")).alias("n"))
@@ -278,16 +236,16 @@ def summary_manifest(t):
     return store.manifest(t("symbols"), t("summaries"))
 
 
-@corpus("SELECT * REPLACE (CASE WHEN path = 'lib/io.cpp' AND name = 'read' THEN 'Both.' ELSE doc END AS doc) FROM symbols", "symbols")
+@corpus("SELECT * REPLACE (CASE WHEN name = 'main' THEN 'Both.' ELSE doc END AS doc) FROM symbols", "symbols")
 def symbol_doc_update(t):
     """SK-3: new docs for all symbols of a name."""
-    return store.set_symbol_doc(t("symbols"), t("symbols").where("name = 'read'").select("path", "name", F.lit("Both.").alias("doc")).distinct())
+    return store.set_symbol_doc(t("symbols"), t("symbols").where("name = 'main'").select("path", "name", F.lit("Both.").alias("doc")).distinct())
 
 
-@corpus("SELECT path, language, CASE path WHEN 'lib/io.cpp' THEN 1 ELSE n_symbols END::BIGINT AS n_symbols FROM files", "files")
+@corpus("SELECT path, language, (SELECT count(*) FROM symbols s WHERE s.path = f.path AND (s.path <> 'lib/f2.go' OR kind = 'function'))::BIGINT AS n_symbols FROM files f", "files", "symbols")
 def symbols_replaced(t):
     """SK-2: one file's symbols replaced, its count with them."""
-    files, _ = store.set_symbols(t("files"), t("symbols"), t("symbols").where("lineno = 4"), "lib/io.cpp")
+    files, _ = store.set_symbols(t("files"), t("symbols"), t("symbols").where("kind = 'function'"), "lib/f2.go")
     return files.withColumn("n_symbols", F.col("n_symbols").cast("long"))
 
 
@@ -298,7 +256,7 @@ def entrypoint_union(t):
 
 
 @corpus("""
-, c AS (SELECT CASE WHEN starts_with(src, 'src/') THEN split_part(src, '/', 2) ELSE split_part(src, '/', 1) END AS src, CASE WHEN starts_with(dst, 'src/') THEN split_part(dst, '/', 2) ELSE split_part(dst, '/', 1) END AS dst FROM edges)
+, c AS (SELECT CASE WHEN starts_with(src, 'src/') THEN split_part(src, '/', 2) WHEN starts_with(src, 'vendor/') THEN 'vendor/x' ELSE split_part(src, '/', 1) END AS src, CASE WHEN starts_with(dst, 'src/') THEN split_part(dst, '/', 2) WHEN starts_with(dst, 'vendor/') THEN 'vendor/x' ELSE split_part(dst, '/', 1) END AS dst FROM edges)
 SELECT src, dst, count(*) AS n FROM c WHERE src <> dst GROUP BY ALL
 """, "edges")
 def component_imports(t):
@@ -320,20 +278,20 @@ def max_files_cap(t):
 
 @corpus("""
 , r AS (SELECT *, sum(tokens) OVER (ORDER BY ord)::BIGINT AS running FROM diffs)
-SELECT path, running, running <= 1700 AS fits, running > 1700 AND 1700 - (running - tokens) > 80 AS cut FROM r WHERE running - tokens <= 1700
+SELECT path, running, running <= 20000 AS fits, running > 20000 AND 20000 - (running - tokens) > 80 AS cut FROM r WHERE running - tokens <= 20000
 """, "diffs")
 def budgeted_diff(t):
     """RK-8: diffs within a budget, and the one that is cut."""
-    return pack.budget_pack(t("diffs"), [F.asc("ord")], "tokens", 1700, room=80).select("path", "running", "fits", "cut")
+    return pack.budget_pack(t("diffs"), [F.asc("ord")], "tokens", 20_000, room=80).select("path", "running", "fits", "cut")
 
 
 @query(r"""
 SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS words
-FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+')[1:50] AS w FROM documents)
+FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents)
 """)
 def first_seen_words(t):
-    """WN-4: distinct words of a text's first fifty, in the order of their first use."""
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), 1, 50)
+    """WN-4: distinct words of a text, in the order of their first use."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
     return t("documents").select("doc_id", F.array_join(F.array_distinct(words), " ").alias("words"))
 
 
@@ -343,7 +301,9 @@ def redacted_urls(t):
     return t("pages").select("page_id", fx.redact_url(F.col("url")).alias("url"), F.concat(F.lit("<"), fx.host_of(F.col("url")), F.lit(">")).alias("host"))
 
 
-@corpus("SELECT 'src' AS component, 'Serves requests.' AS purpose UNION ALL SELECT 'tests', 'Tests.'")
+@corpus("""
+SELECT component, purpose FROM (SELECT split_part(path, '/', 1) AS component, purpose, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY source <> 'model', length(path), path) AS rn FROM summaries WHERE NOT ends_with(purpose, ' bytes).')) WHERE rn = 1
+""", "summaries")
 def representative_purpose(t):
     """RK-14: a component's purpose from its best file; placeholders don't count."""
     s = t("summaries").where(~store.is_placeholder(F.col("purpose"))).withColumn("component", F.substring_index("path", "/", 1))
