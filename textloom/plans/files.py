@@ -1,105 +1,126 @@
-"""Queries over a small literal repository: extractors, paths, SARIF, rules."""
+"""Extractors and sources over files that are rendered from the given tables' rows; the oracles tell what those rows must give."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from ..functions import paths as px
 from ..operators import extract
 from ..sources import readers
+from .derived import reading, with_derived
 from .registry import query
 
-#: A repository in miniature.
-FILES = [
-    ("src/api/app.py", 'import os\nfrom ..db import store as s\nimport a.b.c\n\nLIMIT = 3\n\n\nclass App(Base, mixin.M):\n    """The app."""\n\n    @property\n    def name(self):\n        return 1\n\n    @name.setter\n    def name(self, v):\n        pass\n\n\ndef main(argv):\n    if argv == 2 and LIMIT < 5:\n        return True\n    return len(argv) + 1\n'),
-    ("src/db/store.rs", "use crate::api::{app, other::{X, Y}};\nmod inner;\npub fn open(path: &str) -> Store {\n}\nstruct Store {\n}\n"),
-    ("src/web/page.ts", "export function render(a) {\n}\nexport class Page {\n}\nconst Size = 3;\n"),
-    ("lib/x.c", "/* c */\n#include <stdio.h>\nint add(int a, int b) {\n  return a + b;\n}\nstruct point {\n};\n"),
-    ("tests/test_app.py", "def test_main():\n    assert 1 == 1\n"),
-    ("vendor/dep/z.go", "package z\nfunc Run(a int) {\n}\ntype T struct {\n}\n"),
-    (".git/config", "x"),
-    ("Makefile", "all:\n"),
-    ("bad.py", "def broken(:\n"),
-]
-
-
-def _files(t):
-    spark = t("region").sparkSession
-    return spark.createDataFrame(FILES, "path string, text string").withColumn("ord", F.row_number().over(_by_path()))
 
+def over(body: str, *names: str):
+    """Register a query ``(table by name) -> DataFrame`` that may read derived tables."""
 
-def _by_path():
-    from pyspark.sql import Window
+    def register(fn):
+        def run(t):
+            return fn(reading(t))
 
-    return Window.orderBy("path")
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        query(f"{with_derived(*names)}{', ' if body.startswith('+') else ' '}{body.removeprefix('+')}" if names else body)(run)
+        return fn
 
+    return register
 
-def _values(rows, cols):
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows) + ") v(" + ", ".join(cols) + ")"
 
-
-@query(_values([("src/api/app.py", "Python", "api", False), ("src/db/store.rs", "Rust", "db", False), ("src/web/page.ts", "TypeScript", "web", False), ("lib/x.c", "C", "lib", False), ("tests/test_app.py", "Python", "tests", True), ("vendor/dep/z.go", "Go", "vendor/dep", False), ("Makefile", "Build", "(root)", False), ("bad.py", "Python", "(root)", False)], ["path", "language", "component", "is_test"]))
+@over("""SELECT path, language, CASE WHEN starts_with(path, 'src/') THEN split_part(path, '/', 2) WHEN starts_with(path, 'vendor/') THEN 'vendor/x' ELSE split_part(path, '/', 1) END AS component, starts_with(path, 'tests/') AS is_test FROM files""", "files")
 def classify_paths(t):
-    """Language, component and test predicate of files outside version control."""
+    """SF-1, SF-3, FL-9, FL-12: language, component and test predicate of files outside version control."""
     p = F.col("path")
-    return _files(t).where(~px.is_vcs(p)).select("path", px.detect_language(p).alias("language"), px.component_for(p).alias("component"), px.is_test(p).alias("is_test"))
+    return t("files").where(~px.is_vcs(p)).select("path", px.detect_language(p).alias("language"), px.component_for(p).alias("component"), px.is_test(p).alias("is_test"))
 
 
-@query(_values([("src/db/store.rs", "open", "function", 3, "pub fn open(path: &str) -> Store {"), ("src/db/store.rs", "Store", "class", 5, "struct Store {"), ("src/web/page.ts", "render", "function", 1, "export function render(a) {"), ("src/web/page.ts", "Page", "class", 3, "export class Page {"), ("src/web/page.ts", "Size", "constant", 5, "const Size = 3;"), ("lib/x.c", "add", "function", 3, "int add(int a, int b) {"), ("lib/x.c", "point", "class", 6, "struct point {"), ("vendor/dep/z.go", "Run", "function", 2, "func Run(a int) {"), ("vendor/dep/z.go", "T", "class", 4, "type T struct {")], ["path", "name", "kind", "lineno", "signature"]))
+@over("""
+SELECT path, 'open' || p_size AS name, 'function' AS kind, 1 AS lineno, string_split(text, chr(10))[1] AS signature FROM code_files
+UNION ALL SELECT path, 'S' || p_size, 'class', 3, string_split(text, chr(10))[3] FROM code_files
+""", "code_files")
 def symbols_regex(t):
-    """Symbols by line patterns of each language."""
-    return extract.regex_symbols(_files(t).withColumn("language", px.detect_language(F.col("path"))))
+    """EX-2: symbols by line patterns of each language."""
+    return extract.regex_symbols(t("code_files").select("path", "text", px.detect_language(F.col("path")).alias("language")))
+
+
+_PARTS = "SELECT 'src/p' || p_partkey || '.py' AS path, p_partkey AS k, p_size AS n, p_name FROM part WHERE p_size <> 13"
 
 
-@query(_values([("src/api/app.py", "main", "function", 20, "main(argv)", "", ""), ("src/api/app.py", "App", "class", 8, "App", "", "The app."), ("src/api/app.py", "name", "method", 12, "name(self)", "App", ""), ("src/api/app.py", "LIMIT", "constant", 5, "LIMIT", "", ""), ("tests/test_app.py", "test_main", "function", 1, "test_main()", "", "")], ["path", "name", "kind", "lineno", "signature", "parent", "doc"]))
+@over(f"""
+WITH p AS ({_PARTS})
+SELECT path, 'LIMIT' || k AS name, 'constant' AS kind, 4 AS lineno, 'LIMIT' || k AS signature, '' AS parent, '' AS doc FROM p
+UNION ALL SELECT path, 'C' || k, 'class', 5, 'C' || k, '', 'Keeps ' || p_name || '.' FROM p
+UNION ALL SELECT path, 'get', 'method', 7, 'get(self, n)', 'C' || k, '' FROM p
+UNION ALL SELECT path, 'f' || k, 'function', 10, 'f' || k || '(a, b)', '', '' FROM p
+""")
 def symbols_python_ast(t):
-    """Symbols of Python files by their syntax trees."""
-    return extract.python_symbols(_files(t).where("path like '%.py'"))
+    """EX-1: symbols of Python files by their syntax trees; files that don't parse give none."""
+    return extract.python_symbols(t("python_files").withColumn("ord", F.lit(1)))
 
 
-@query(_values([("src/api/app.py", "os", 0), ("src/api/app.py", "db", 2), ("src/api/app.py", "a.b.c", 0)], ["path", "module", "level"]))
+@over(f"""
+WITH p AS ({_PARTS})
+SELECT path, 'os' AS module, 0 AS level FROM p UNION ALL SELECT path, 'a.b' || n, 0 FROM p
+UNION ALL SELECT path, CASE n % 3 WHEN 0 THEN 'db' ELSE 'x.y' END, CASE n % 3 WHEN 0 THEN 2 ELSE 0 END FROM p WHERE n % 3 < 2
+""")
 def imports_python(t):
-    """Imported modules of Python files."""
-    return extract.python_imports(_files(t).where("path like '%.py'"))
+    """EX-3: imported modules of Python files."""
+    return extract.python_imports(t("python_files").withColumn("ord", F.lit(1)))
 
 
-@query(_values([("src/db/store.rs", "crate::api::app"), ("src/db/store.rs", "crate::api::other::X"), ("src/db/store.rs", "crate::api::other::Y"), ("src/db/store.rs", "self::inner")], ["path", "module"]))
+@over("""
+SELECT path, unnest(['crate::api::app' || n, 'crate::api::other::X', 'crate::api::other::Y', CASE n % 2 WHEN 0 THEN 'self::inner' || n ELSE 'std::fmt' END]) AS module
+FROM (SELECT 'src/r' || p_partkey || '.rs' AS path, p_size AS n FROM part)
+""")
 def imports_rust(t):
-    """Imported paths of Rust files."""
-    return extract.rust_imports(_files(t).where("path like '%.rs'"))
+    """EX-4: imported paths of Rust files."""
+    return extract.rust_imports(t("rust_files").withColumn("ord", F.lit(1)))
 
 
-@query(_values([("src/api/app.py", "App", 8, "Base,mixin.M")], ["path", "name", "lineno", "bases"]))
+@over(f"WITH p AS ({_PARTS}) SELECT path, 'C' || k AS name, 5 AS lineno, 'Base,m.M' || n AS bases FROM p")
 def types_python(t):
-    """Classes of Python files with their bases."""
-    return extract.python_types(_files(t).where("path like '%.py'"))
+    """EX-5: classes of Python files with their bases."""
+    return extract.python_types(t("python_files").withColumn("ord", F.lit(1)))
 
 
-@query(_values([("src/api/app.py", 13, "return", "return 1", "return None"), ("src/api/app.py", 21, "eq", "if argv == 2 and LIMIT < 5:", "if argv != 2 and LIMIT < 5:"), ("src/api/app.py", 22, "true", "return True", "return False"), ("src/api/app.py", 23, "plus", "return len(argv) + 1", "return len(argv) - 1"), ("tests/test_app.py", 2, "eq", "assert 1 == 1", "assert 1 != 1")], ["path", "line", "operator", "before", "after"]))
+@over("""
+WITH p AS (SELECT 'src/p' || p_partkey || '.py' AS path, p_size AS n FROM part WHERE p_size <> 13)
+SELECT path, 8 AS line, 'return' AS operator, 'return n' AS before, 'return None' AS after FROM p
+UNION ALL SELECT path, 11, 'eq', 'if a == ' || n || ':', 'if a != ' || n || ':' FROM p
+UNION ALL SELECT path, 12, 'true', 'return True', 'return False' FROM p
+""")
 def mutants(t):
-    """One mutant a line of Python files."""
-    return extract.mutants(_files(t).where("path like '%.py'"))
+    """EX-12: one mutant a line of Python files."""
+    return extract.mutants(t("python_files").withColumn("ord", F.lit(1)))
 
 
-SARIF = json.dumps({"runs": [{"results": [
-    {"ruleId": "boa", "level": "error", "message": {"text": "overflow"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "lib/x.c"}, "region": {"startLine": 4, "startColumn": 3}}}], "stacks": [{"frames": [{"location": {"message": {"text": "Call from main"}}}]}]},
-    {"ruleId": "dbz", "level": "ok", "message": {"text": "safe"}, "locations": []},
-    {"ruleId": "nul", "message": {"text": "null"}, "locations": []},
-]}]})
-
-
-@query(_values([("boa", "error", "lib/x.c", 4, 3, "overflow", "main"), ("nul", "warning", None, None, None, "null", "")], ["checker", "status", "file", "line", '"column"', "message", "called_from"]))
+@query("""
+SELECT 'r' || (l_suppkey % 10) AS checker, CASE l_linenumber WHEN 1 THEN 'error' WHEN 3 THEN 'warning' ELSE 'note' END AS status, CASE WHEN l_linenumber <> 4 THEN 'f' || l_partkey || '.c' END AS file,
+CASE WHEN l_linenumber <> 4 THEN l_suppkey END::INT AS line, CASE WHEN l_linenumber <> 4 THEN l_linenumber END::INT AS "column", 'm' || l_orderkey AS message, CASE WHEN l_linenumber % 2 = 1 THEN 'c' || l_suppkey ELSE '' END AS called_from
+FROM lineitem WHERE l_linenumber <> 2
+""")
 def sarif_source(t):
-    """Findings of a SARIF text."""
-    return readers.sarif_findings(t("region").sparkSession.createDataFrame([(SARIF,)], "json string"))
-
-
-FINDINGS = json.dumps({"results": [{"check": "a", "result": "error", "path": "x.c", "lineno": 3, "msg": "m"}, {"id": "b", "status": "ok"}, {"rule": "c", "file": "y.c", "line": "7", "text": "t"}]})
-
-
-@query(_values([("a", "error", "x.c", 3, "m"), ("c", None, "y.c", 7, "t")], ["checker", "status", "file", "line", "message"]))
+    """SC-9: findings of SARIF texts, one a order; second lines are proven safe, third ones have no level, fourth ones no place."""
+    n = F.col("l_linenumber")
+    place = F.struct(F.struct(F.struct(F.concat(F.lit("f"), F.col("l_partkey"), F.lit(".c")).alias("uri")).alias("artifactLocation"), F.struct(F.col("l_suppkey").alias("startLine"), n.alias("startColumn")).alias("region")).alias("physicalLocation"))
+    frame = F.struct(F.struct(F.struct(F.concat(F.lit("Call from c"), F.col("l_suppkey")).alias("text")).alias("message")).alias("location"))
+    result = F.struct(
+        F.concat(F.lit("r"), F.col("l_suppkey") % 10).alias("ruleId"), F.when(n == 1, "error").when(n == 2, "ok").when(n != 3, "note").alias("level"), F.struct(F.concat(F.lit("m"), F.col("l_orderkey")).alias("text")).alias("message"),
+        F.when(n != 4, F.array(place)).alias("locations"), F.when(n % 2 == 1, F.array(F.struct(F.array(frame).alias("frames")))).alias("stacks"),
+    )
+    texts = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(result).alias("results")).select(F.to_json(F.struct(F.array(F.struct("results")).alias("runs"))).alias("json"))
+    return readers.sarif_findings(texts)
+
+
+@query("""
+SELECT CASE event_id % 3 WHEN 0 THEN 'a' || user_id ELSE 'c' || user_id END AS checker, CASE event_id % 3 WHEN 0 THEN event_type END AS status, CASE event_id % 3 WHEN 0 THEN 'x' ELSE 'y' END || event_id || '.c' AS file,
+json_extract_string(props, '$.k')::INT AS line, 'm ' || event_type AS message FROM events WHERE event_id % 3 <> 1
+""")
 def tolerant_findings(t):
-    """Findings of loosely shaped JSON."""
-    return readers.tolerant_findings(t("region").sparkSession.createDataFrame([(FINDINGS,)], "json string"))
+    """SC-10: findings of loosely shaped JSON, of which each text has three kinds of names; safe ones don't count."""
+    at = lambda col: F.concat(F.lit('"'), col, F.lit('"'))
+    k, u, e, kind = F.get_json_object("props", "$.k"), F.col("user_id"), F.col("event_id"), F.col("event_type")
+    first = F.concat(F.lit('{"check": "a'), u, F.lit('", "result": '), at(kind), F.lit(', "path": "x'), e, F.lit('.c", "lineno": '), k, F.lit(', "msg": "m '), kind, F.lit('"}'))
+    third = F.concat(F.lit('{"rule": "c'), u, F.lit('", "file": "y'), e, F.lit('.c", "line": "'), k, F.lit('", "text": "m '), kind, F.lit('"}'))
+    item = F.when(e % 3 == 0, first).when(e % 3 == 1, F.concat(F.lit('{"id": "b'), u, F.lit('", "status": "ok"}'))).otherwise(third)
+    listed = t("events").groupBy(F.floor(e / 50).alias("g")).agg(F.array_join(F.collect_list(item), ",").alias("i"))
+    whole = F.when(F.col("g") % 2 == 0, F.concat(F.lit('{"results": ['), F.col("i"), F.lit("]}"))).otherwise(F.concat(F.lit("["), F.col("i"), F.lit("]")))
+    return readers.tolerant_findings(listed.select(whole.alias("json")))

@@ -1,4 +1,4 @@
-"""Grounding, rule groups, layouts and predicates over literal rows; their oracles are the rows to be found."""
+"""Grounding, rule groups, layouts and predicates over tables that the given ones stand for."""
 
 from __future__ import annotations
 
@@ -7,143 +7,143 @@ from pyspark.sql import functions as F
 from ..functions import paths as px
 from ..functions import text as fx
 from ..operators import asof, grounding, outline, resolve
-from .files import _values
+from .files import over
 from .registry import query
 
-TEXTS = [
-    (1, "See `src/db/store.py` and lib/io.h, or www.site.com and notes.md; `Reader::read` with `Reader::fake`, `x.y` `io.Base::go` `main`."),
-    (2, '#include <gtest/gtest.h>\n#include "Store.hpp"\nReader::read(1); Reader :: gone(2); Other::thing(3); p->close(); q.open();'),
-    (3, ""),
-    (4, None),
-    (5, "./src/api/app.py ../x/app.py src/api/none.py a/b.xyz `Box` `unknown_name`"),
-]
-PATHS = [("src/db/store.py",), ("src/api/app.py",), ("lib/io.h",), ("lib/deep/io.h",)]
-NAMES = [("Reader",), ("read",), ("main",), ("go",), ("Box",)]
-RULES = [("small", f"S-{i}", "memory" if i % 2 else "style") for i in range(8)] + [("wide", f"W-{i}", ("memory", "style", None)[i % 3]) for i in range(9)] + [("flat", f"F-{i}", "only") for i in range(10)]
-NODES = [("d1", "a", "component", 1), ("d1", "b", "component", 2), ("d1", "c", "external", 3), ("d1", "e", "odd", 4), ("d1", "f", "env", 5), ("d2", "a", "datastore", 1), ("d2", "b", "endpoint", 2)]
-FILES = [("src/api/app.py",), ("src/api/v2/b.py",), ("src/db/store.py",), ("README",), ("lib/io.h",)]
-DBS = [("r1", "build/a.json", 1, 3), ("r1", "out/b.json", 2, 7), ("r1", "z/c.json", 3, 7), ("r2", "bad.json", 1, None), ("r2", "one.json", 2, 0), ("r3", "none.json", 1, None)]
-URLS = [("https://api.example.com/v1",), ("http://api.example.com/v1",), ("http://localhost:8000",), ("http://127.0.0.1/x",), ("https://other.example.com",), ("",), (None,)]
-CSHARP = [("a/Form.Designer.cs", True), ("a/Form.cs", False), ("x.g.i.cs", True), ("Properties/AssemblyInfo.cs", True), ("y.generated.CS", True), ("g.cs", False)]
-HEADERS = [("stdio.h", True), ("sys/time.h", True), ("vector", True), ("gtest/gtest.h", False), ("bits/move", False), ("io.h", False)]
-
-
-def _rows(t, rows, schema):
-    return t("region").sparkSession.createDataFrame(rows, schema)
-
 
 def _joined(df):
     """Lists as text, so that both sides compare alike."""
     return df.select(*(F.array_join(n, ",").alias(n) if k.startswith("array") else n for n, k in df.dtypes))
 
 
-def _known(t):
-    return _rows(t, PATHS, "path string"), _rows(t, NAMES, "name string")
+_FOUND = r"""+b AS (SELECT DISTINCT string_split(path, '/')[-1] AS f FROM files),
+p AS (SELECT id, 'path' AS kind, unnest([regexp_extract(text, '`(src/[^`]+)`', 1), regexp_extract(text, '(lib/f[0-9]+[.]go)', 1)]) AS ref FROM claims),
+s AS (SELECT id, regexp_extract(text, '`(ring::s[0-9]+)`', 1) AS s, regexp_extract(text, ' (ring::s[0-9]+)[(]', 1) AS c FROM claims),
+r AS (SELECT id, kind, ref, string_split(ref, '/')[-1] IN (SELECT f FROM b) AS verified FROM p
+UNION ALL SELECT id, 'symbol', s, s[7:] IN (SELECT name FROM names) FROM s
+UNION ALL SELECT id, 'call', c, c[7:] IN (SELECT name FROM names) FROM s WHERE c <> s AND 'ring' IN (SELECT name FROM names))
+"""
 
 
-@query(_values([
-    (1, "path", "src/db/store.py", True), (1, "path", "lib/io.h", True), (1, "symbol", "Reader::read", True), (1, "symbol", "Reader::fake", False), (1, "symbol", "io.Base::go", True), (1, "symbol", "main", True),
-    (2, "path", "Store.hpp", False), (2, "call", "Reader::read", True), (2, "call", "Reader::gone", False),
-    (5, "path", "./src/api/app.py", True), (5, "path", "../x/app.py", True), (5, "path", "src/api/none.py", False), (5, "symbol", "Box", True), (5, "symbol", "unknown_name", False),
-], ["id", "kind", "ref", "verified"]))
+@over(_FOUND + "SELECT id, kind, ref, verified FROM r", "claims", "files", "names")
 def grounded_references(t):
     """SF-20, JN-12: what texts name, and whether the corpus holds it."""
-    return grounding.grounded_references(grounding.references(_rows(t, TEXTS, "id int, text string")), *_known(t))
+    return grounding.grounded_references(grounding.references(t("claims")), t("files"), t("names"))
 
 
-@query(_values([
-    (1, "", 0, "lib/io.h,src/db/store.py", "", "Reader::read,io.Base::go,main", "Reader::fake"),
-    (2, "gtest/gtest.h", 2, "", "Store.hpp", "Reader::read", "Reader::gone"), (3, "", 0, "", "", "", ""), (4, "", 0, "", "", "", ""),
-    (5, "", 0, "../x/app.py,./src/api/app.py", "src/api/none.py", "Box", "unknown_name"),
-], ["id", "external", "unchecked", "verified_paths", "unverified_paths", "verified_symbols", "unverified_symbols"]))
+@over(_FOUND + """
+SELECT id, '' AS external, 1 AS unchecked, coalesce(string_agg(DISTINCT ref, ',' ORDER BY ref) FILTER (WHERE verified AND kind = 'path'), '') AS verified_paths, coalesce(string_agg(DISTINCT ref, ',' ORDER BY ref) FILTER (WHERE NOT verified AND kind = 'path'), '') AS unverified_paths,
+coalesce(string_agg(DISTINCT ref, ',' ORDER BY ref) FILTER (WHERE verified AND kind <> 'path'), '') AS verified_symbols, coalesce(string_agg(DISTINCT ref, ',' ORDER BY ref) FILTER (WHERE NOT verified AND kind <> 'path'), '') AS unverified_symbols FROM r GROUP BY id
+""", "claims", "files", "names")
 def grounding_report(t):
     """PL-11, SO-8: per text, verified and unverified references."""
-    return _joined(grounding.grounding(_rows(t, TEXTS, "id int, text string"), *_known(t)))
+    return _joined(grounding.grounding(t("claims"), t("files"), t("names")))
 
 
-@query(f"""
-WITH r AS (SELECT *, coalesce(category, string_split(rule_id, '-')[1]) AS c FROM ({_values(RULES, ['rule_set', 'rule_id', 'category'])})),
+@over("""+r AS (SELECT *, coalesce(category, string_split(rule_id, '-')[1]) AS c FROM rule_rows),
 s AS (SELECT rule_set, count(*) AS n, count(DISTINCT c) AS k FROM r GROUP BY 1)
 SELECT rule_set, rule_id, CASE WHEN n <= 8 OR k < 2 THEN '' ELSE c END AS part FROM r JOIN s USING (rule_set)
-""")
+""", "rule_rows")
 def rule_groups(t):
     """EX-16: the parts in which the rules of a set are asked."""
-    return outline.rule_groups(_rows(t, RULES, "rule_set string, rule_id string, category string"))
+    return outline.rule_groups(t("rule_rows"))
 
 
-@query(f"""
+@over("""
 SELECT diagram, id, 40 + 240 * CASE kind WHEN 'component' THEN 1 WHEN 'endpoint' THEN 2 WHEN 'datastore' THEN 3 WHEN 'external' THEN 4 ELSE 0 END AS x,
-40 + 90 * (row_number() OVER (PARTITION BY diagram, kind ORDER BY ord) - 1) AS y FROM ({_values(NODES, ['diagram', 'id', 'kind', 'ord'])})
-""")
+40 + 90 * (row_number() OVER (PARTITION BY diagram, kind ORDER BY ord) - 1) AS y FROM nodes
+""", "nodes")
 def column_layout(t):
     """RK-12: places of diagram nodes."""
-    return outline.column_layout(_rows(t, NODES, "diagram string, id string, kind string, ord int"))
+    return outline.column_layout(t("nodes"))
 
 
-@query(_values([("", "lib,src", "README"), ("src", "api,db", ""), ("src/api", "v2", "app.py"), ("src/api/v2", "", "b.py"), ("src/db", "", "store.py"), ("lib", "", "io.h")], ["dir", "dirs", "files"]))
+@over("""+f AS (SELECT string_split(path, '/') AS a FROM files ORDER BY path LIMIT 400),
+e AS (SELECT a, unnest(range(1, len(a) + 1)) AS i FROM f),
+s AS (SELECT DISTINCT array_to_string(a[:i - 1], '/') AS dir, a[i] AS name, i = len(a) AS leaf FROM e)
+SELECT dir, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE NOT leaf), '') AS dirs, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE leaf), '') AS files FROM s GROUP BY dir
+""", "files")
 def tree_outline(t):
     """EX-15: directories with what they hold."""
-    return outline.tree_outline(_rows(t, FILES, "path string"))
+    return outline.tree_outline(t("files"))
 
 
-@query(f"SELECT repo, arg_max(path, n * 1000 - ord) AS path, max(n) AS n FROM ({_values(DBS, ['repo', 'path', 'ord', 'n'])}) WHERE n IS NOT NULL GROUP BY repo")
+@over("SELECT repo, arg_max(path, n * 100000000 - ord) AS path, max(n) AS n FROM dbs WHERE n IS NOT NULL GROUP BY repo", "dbs")
 def largest_compile_db(t):
     """AG-23: the compile database of each repository."""
-    return outline.largest_compile_db(_rows(t, DBS, "repo string, path string, ord int, n int"))
+    return outline.largest_compile_db(t("dbs"))
+
+
+_ALLOWED = ("therin.example.net", "therha.example.com")
 
 
-@query(_values(list(zip([u for u, in URLS], ["ok", "plaintext", "ok", "ok", "host", "empty", "empty"], strict=True)), ["url", "verdict"]))
+@query(f"""
+SELECT page_id, CASE WHEN NOT starts_with(lower(url), 'https:') THEN 'plaintext' WHEN lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)', 1)) IN {_ALLOWED} THEN 'ok' ELSE 'host' END AS verdict FROM pages
+""")
 def endpoint_policy(t):
     """FL-22: endpoints under a network policy."""
     u = F.col("url")
-    return _rows(t, URLS, "url string").select("url", outline.endpoint_policy(u, fx.host_of(u), True, ("api.example.com",)).alias("verdict"))
+    return t("pages").select("page_id", outline.endpoint_policy(u, fx.host_of(u), True, _ALLOWED).alias("verdict"))
 
 
-@query(_values(CSHARP, ["path", "generated"]))
+@over("SELECT path, regexp_matches(lower(path), '([.]designer|[.]g|[.]g[.]i|[.]generated|assemblyinfo)[.]cs$') AS generated FROM sources", "sources")
 def generated_csharp(t):
     """FL-14: generated C# files."""
-    return _rows(t, [(p,) for p, _ in CSHARP], "path string").select("path", px.is_generated_csharp(F.col("path")).alias("generated"))
+    return t("sources").select("path", px.is_generated_csharp(F.col("path")).alias("generated"))
 
 
-@query(_values(HEADERS, ["name", "system"]))
+@over("SELECT id, name, name IN ('stdio.h', 'sys/time.h', 'vector') AS system FROM included", "included")
 def system_headers(t):
     """FL-15: headers of the standard libraries."""
-    return _rows(t, [(h,) for h, _ in HEADERS], "name string").select("name", px.is_system_header(F.col("name")).alias("system"))
+    return t("included").select("id", "name", px.is_system_header(F.col("name")).alias("system"))
 
 
-CRATES = [("a/src/lib.rs", 1), ("a/src/foo/mod.rs", 2), ("a/src/foo/bar.rs", 3), ("src/main.rs", 4), ("src/util.rs", 5), ("src/util/deep.rs", 6), ("notes.txt", 7)]
-USES = [("a/src/foo/bar.rs", "crate::foo::Thing"), ("a/src/foo/bar.rs", "super::bar::x"), ("a/src/foo/bar.rs", "super::super::nope"), ("a/src/foo/bar.rs", "std::fmt"), ("a/src/foo/mod.rs", "self::bar"), ("src/util/deep.rs", " crate::util::deep::f"), ("src/util/deep.rs", "super"), ("src/main.rs", "super::super::x"), ("src/main.rs", "supermarket::x")]
-SPANS = [("f", 10, 20), ("f", 12, 14), ("f", 30, 31), ("g", 5, 6)]
-LINES = [(1, "f", 13), (2, "f", 16), (3, "f", 25), (4, "f", 9), (5, "g", 300), (6, "h", 1)]
-UNITS = [("src/api.v2", "src_api_v2", r"src/api.v2", "``src/api.v2``"), ("--", "component", "--", "``--``"), ("a_b|*c`\\", "a_b_c", "a\\_b\\|\\*c\\`\\\\", "``a_b|*c'\\``")]
+_MODULES = r"""+modules AS (SELECT path, ord, CASE WHEN ends_with(path, '.rs') THEN CASE WHEN starts_with(path, 'src/') THEN 'crate' ELSE split_part(path, '/', 1) END || '::' || replace(regexp_replace(regexp_replace(path, '^.*src/', ''), '(/mod)?[.]rs$', ''), '/', '::') END AS module FROM crates)
+"""
 
 
-@query(_values([
-    ("a/src/foo/bar.rs", "crate::foo::Thing", "a/src/foo/mod.rs"), ("a/src/foo/bar.rs", "super::bar::x", "a/src/foo/bar.rs"), ("a/src/foo/bar.rs", "super::super::nope", "a/src/lib.rs"),
-    ("a/src/foo/mod.rs", "self::bar", "a/src/foo/bar.rs"), ("src/util/deep.rs", " crate::util::deep::f", "src/util/deep.rs"), ("src/util/deep.rs", "super", "src/util.rs"),
-], ["path", "import", "target"]))
-def rust_import_resolution(t):
-    """JN-2: files that Rust imports name."""
-    return resolve.rust_imports(_rows(t, USES, "path string, import string"), _rows(t, CRATES, "path string, ord int"))
-
-
-@query(_values(list(zip([p for p, _ in CRATES], ["a", "a::foo", "a::foo::bar", "crate", "crate::util", "crate::util::deep", None], strict=True)), ["path", "module"]))
+@over(_MODULES + "SELECT path, module FROM modules", "crates")
 def rust_modules(t):
     """SF-4: modules of Rust files."""
-    return _rows(t, CRATES, "path string, ord int").select("path", px.rust_module_name(F.col("path")).alias("module"))
+    return t("crates").select("path", px.rust_module_name(F.col("path")).alias("module"))
 
 
-@query(f"""
-SELECT id, coalesce(max(start) FILTER (WHERE line BETWEEN start AND "end"), max(start) FILTER (WHERE start <= line)) AS start
-FROM ({_values(LINES, ['id', 'file', 'line'])}) l LEFT JOIN ({_values(SPANS, ['file', 'start', '"end"'])}) s USING (file) GROUP BY id
+def _uses(t):
+    """Each file names a module of its crate, or one of another."""
+    k = F.col("ord")
+    named = F.concat(F.lit("crate::m"), k % 50, F.lit("::f"), k + F.when(k % 3 == 0, 60).otherwise(0), F.lit("::Thing"))
+    return t("crates").select("path", F.when(k % 7 == 0, "std::fmt").when(k % 7 == 1, F.concat(F.lit("crate::f"), k + 12, F.lit("::x"))).otherwise(named).alias("import"))
+
+
+@over(_MODULES.rstrip() + """,
+u AS (SELECT path, CASE WHEN starts_with(path, 'src/') THEN 'crate' ELSE split_part(path, '/', 1) END AS c, CASE WHEN ord % 7 = 0 THEN 'std::fmt' WHEN ord % 7 = 1 THEN 'crate::f' || (ord + 12) || '::x' ELSE 'crate::m' || (ord % 50) || '::f' || (ord + CASE WHEN ord % 3 = 0 THEN 60 ELSE 0 END) || '::Thing' END AS import FROM crates),
+i AS (SELECT module, arg_max(path, ord) AS target FROM modules WHERE module IS NOT NULL GROUP BY module),
+w AS (SELECT path, import, string_split(c || import[6:], '::') AS a FROM u WHERE starts_with(import, 'crate') AND ends_with(path, '.rs')),
+e AS (SELECT path, import, a, unnest(range(1, len(a) + 1)) AS n FROM w)
+SELECT path, import, arg_max(target, n) AS target FROM e JOIN i ON module = array_to_string(a[:n], '::') GROUP BY path, import
+""", "crates")
+def rust_import_resolution(t):
+    """JN-2: files that Rust imports name."""
+    return resolve.rust_imports(_uses(t), t("crates"))
+
+
+@query("""
+WITH l AS (SELECT o_orderkey AS id, o_custkey % 100 AS file, (epoch(o_orderdate) // 86400)::BIGINT AS line FROM orders),
+s AS (SELECT DISTINCT l_suppkey % 100 AS file, (epoch(l_shipdate) // 86400)::BIGINT AS start, (epoch(l_shipdate) // 86400)::BIGINT + 10 * l_linenumber AS "end" FROM lineitem)
+SELECT id, coalesce(max(start) FILTER (WHERE line BETWEEN start AND "end"), max(start) FILTER (WHERE start <= line)) AS start FROM l LEFT JOIN s USING (file) GROUP BY id
 """)
 def enclosing_definition(t):
-    """JN-6: the definition around a line, else the nearest before it."""
-    return asof.enclosing_or_preceding(_rows(t, LINES, "id int, file string, line int"), _rows(t, SPANS, "file string, start int, end int"), "file", "line", "id", 100)
+    """JN-6: the shipping span around an order's day, else the nearest before it."""
+    day = lambda c: F.unix_date(F.to_date(c)).cast("long")
+    lines = t("orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 100).alias("file"), day("o_orderdate").alias("line"))
+    spans = t("lineitem").select((F.col("l_suppkey") % 100).alias("file"), day("l_shipdate").alias("start"), (day("l_shipdate") + 10 * F.col("l_linenumber")).alias("end")).distinct()
+    return asof.enclosing_or_preceding(lines, spans, "file", "line", "id", 100)
 
 
-@query(_values(UNITS, ["name", "safe", "escaped", "literal"]))
+@over(r"""
+SELECT id, coalesce(nullif(trim(regexp_replace(name, '[^A-Za-z0-9]+', '_', 'g'), '_'), ''), 'component') AS safe, regexp_replace(name, '([\\*`|_])', '\\\1', 'g') AS escaped, '``' || replace(name, '`', '''') || '``' AS literal FROM headings
+""", "headings")
 def report_names(t):
     """SF-25, SF-26: names made safe for files and for reStructuredText."""
     n = F.col("name")
-    return _rows(t, [(u[0],) for u in UNITS], "name string").select("name", px.safe_name(n).alias("safe"), fx.rst_escaped(n).alias("escaped"), fx.rst_literal(n).alias("literal"))
+    return t("headings").select("id", px.safe_name(n).alias("safe"), fx.rst_escaped(n).alias("escaped"), fx.rst_literal(n).alias("literal"))

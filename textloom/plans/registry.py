@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,11 +12,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package where it isn't installed on them."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def query(sql: str | None = None):
     """Register a function ``(tables) -> DataFrame`` under its name; ``tables`` reads a table by name."""
 
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
             return fn(lambda name: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__

@@ -1,57 +1,55 @@
-"""Signals and summaries of files: queries over literal files with their expected rows, and over all pages and documents."""
+"""Signals and summaries of files that are rendered from the parts, and of all documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import comments
 from ..functions import paths as px
 from ..functions import signals as sg
-from .files import _values
+from .files import over
 from .registry import query
 
-#: path, text, then what must be found: endpoints, hosts, stores, brokers, sockets, variables, sentences.
-CASES = [
-    ("api/app.py", '@app.get("/a")\n@app.post("/b")\nr.get("/a")\nos.environ["KEY"]\nos.getenv("URL")\nrequests.get("https://worker:9000/x")\nimport sqlalchemy, psycopg2\n', "/a,/b", "worker:9000", "PostgreSQL,SQLAlchemy", "", "", "KEY,URL", "exposes 2 HTTP endpoint(s)|makes outbound network calls|accesses PostgreSQL, SQLAlchemy|reads 2 env var(s)"),
-    ("lic.c", "/* see \"https://www.apache.org/licenses\" */\nint x;\n", "", "", "", "", "", "", ""),
-    ("dyn.js", "fetch(url)\nname.delete('CFS-')\nprocess.env.HOME\n", "", "(dynamic http client)", "", "", "", "HOME", "makes outbound network calls|reads 1 env var(s)"),
-    ("net.c", "socket(AF_INET, SOCK_DGRAM, 0);\n", "", "", "", "", "UDP socket", "", "uses sockets: UDP socket"),
-    ("any.py", "socket.socket(x)\n", "", "", "", "", "Socket (generic)", "", "uses sockets: Socket (generic)"),
-    ("names.json", '{"cacheRedis": "redis-", "bus": "kafka_"}', "", "", "", "", "", "", ""),
-    ("bus.go", 'import "github.com/segmentio/kafka"\nhttp.HandleFunc("/go", h)\nhttp.Get("http://b.internal/x")\nhttp.Get("http://a.w3.org/x")\n', "/go", "b.internal", "", "Kafka", "", "", "exposes 1 HTTP endpoint(s)|makes outbound network calls|uses messaging: Kafka"),
-    ("conf.cs", 'var c = builder.Configuration["A:B"];\nrecord.Configuration["theme"];\n[HttpGet("/c")]\nxmlns="http://q.internal" new HttpClient();\n', "/c", "(dynamic http client)", "", "", "", "A:B,theme", "exposes 1 HTTP endpoint(s)|makes outbound network calls|reads 2 env var(s)"),
-    ("empty.py", "", "", "", "", "", "", "", ""),
-]
 COLUMNS = ("endpoints", "outbound_calls", "datastores", "messaging", "sockets", "env_vars")
-
-
-def _files(t):
-    return t("region").sparkSession.createDataFrame([c[:2] for c in CASES], "path string, text string")
+#: Languages of prose, which no signals are taken from (fixed values).
+PROSE = ("Markdown", "reStructuredText")
 
 
 def _summaries(files):
-    """EX-8: a file's summary row: language, lines, signals, sentences."""
-    found = files.withColumns(sg.io_signals(F.col("text")))
+    """EX-8: a file's summary row: signals of its text without comments, and sentences; prose has none."""
+    code = F.when(px.detect_language(F.col("path")).isin(*PROSE), "").otherwise(comments.strip_comments(F.col("text")))
+    found = files.withColumns(sg.io_signals(code))
     return found.withColumn("side_effects", sg.side_effects({c: F.col(c) for c in COLUMNS}))
 
 
-@query(_values([(c[0], *c[2:8]) for c in CASES], ["path", *COLUMNS]))
+_EFFECTS = "CASE k WHEN 0 THEN 'exposes 1 HTTP endpoint(s)|makes outbound network calls|accesses PostgreSQL|reads 1 env var(s)' WHEN 1 THEN 'uses sockets: UDP socket' WHEN 2 THEN 'makes outbound network calls|uses messaging: Kafka' ELSE '' END"
+
+
+@over("""
+SELECT path, CASE k WHEN 0 THEN '/a' || p_size ELSE '' END AS endpoints, CASE k WHEN 0 THEN 'h' || p_size || ':9000' WHEN 2 THEN 'b' || p_size || '.internal' ELSE '' END AS outbound_calls, CASE k WHEN 0 THEN 'PostgreSQL' ELSE '' END AS datastores,
+CASE k WHEN 2 THEN 'Kafka' ELSE '' END AS messaging, CASE k WHEN 1 THEN 'UDP socket' ELSE '' END AS sockets, CASE k WHEN 0 THEN 'K' || p_size ELSE '' END AS env_vars FROM signal_files
+""", "signal_files")
 def io_signals(t):
-    """SF-5 to SF-10, EX-7: signals of files."""
-    return _summaries(_files(t)).select("path", *(F.array_join(c, ",").alias(c) for c in COLUMNS))
+    """SF-5 to SF-10, EX-7: signals of files, some of which are comments only in part."""
+    noisy = F.concat(F.lit('/* @app.get("/no") */ // os.getenv("NO")\n'), F.col("text"), F.lit('# requests.get("https://no:1/x")'))
+    return _summaries(t("signal_files").withColumn("text", noisy)).select("path", *(F.array_join(c, ",").alias(c) for c in COLUMNS))
 
 
-@query(_values([(c[0], c[8]) for c in CASES], ["path", "effects"]))
+@over(f"SELECT path, {_EFFECTS} AS effects FROM signal_files", "signal_files")
 def side_effect_sentences(t):
     """PJ-3: sentences on what files do."""
-    return _summaries(_files(t)).select("path", F.array_join("side_effects", "|").alias("effects"))
+    return _summaries(t("signal_files")).select("path", F.array_join("side_effects", "|").alias("effects"))
 
 
-@query(_values([(c[0], {"py": "Python", "c": "C", "js": "JavaScript", "json": "JSON", "go": "Go", "cs": "C#"}[c[0].rsplit(".")[-1]], "api" if "/" in c[0] else "(root)", c[1].count("\n"), len(c[8].split("|")) if c[8] else 0) for c in CASES], ["path", "language", "component", "loc", "effects"]))
+@over(f"""
+SELECT path, CASE k WHEN 1 THEN 'C' WHEN 2 THEN 'Go' ELSE 'Python' END AS language, CASE k WHEN 0 THEN 'api' ELSE '(root)' END AS component, CASE k WHEN 0 THEN 4 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS loc,
+CASE WHEN k = 3 THEN 0 ELSE len(string_split({_EFFECTS}, '|')) END AS effects FROM signal_files
+""", "signal_files")
 def file_summaries(t):
     """EX-8, PL-1: the index's row of each file."""
     p = F.col("path")
     lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("int")
-    return _summaries(_files(t)).select("path", px.detect_language(p).alias("language"), px.component_for(p).alias("component"), lines.alias("loc"), F.size("side_effects").alias("effects"))
+    return _summaries(t("signal_files")).select("path", px.detect_language(p).alias("language"), px.component_for(p).alias("component"), lines.alias("loc"), F.size("side_effects").alias("effects"))
 
 
 @query(r"""

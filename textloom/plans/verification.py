@@ -1,46 +1,27 @@
-"""Checks of generated tests: queries over literal rows, with SQL of their own."""
+"""Checks of generated tests over tables that the given ones stand for."""
 
 from __future__ import annotations
 
 from ..operators import verify
-from .files import _values
-from .registry import query
+from .files import over
 
-CALLS = [("t1", "load", 1), ("t1", "load", 4), ("t1", "load", 5), ("t1", "load", 1), ("t1", "gone", 0), ("t1", "print", 9), ("t1", "dumps", 3), ("t2", "load", 2), ("t2", "Store", 7), ("t2", "Box", 0), ("t2", "Box", None), ("t3", "twice", 1)]
-ORIGINS = [("t1", "load", "app.io", 1), ("t1", "gone", "app.io", 2), ("t1", "dumps", "json", 3), ("t2", "load", "app.io", 1), ("t2", "Store", "app.db", 2), ("t2", "Box", "app.db", 3), ("t3", "twice", "json", 1), ("t3", "twice", "app.db", 2)]
-MODULES = [("app.io",), ("app.db",), ("app.db",)]
-SIGNATURES = [("app.io", "load", 3, 1, 3, False), ("app.db", "Store", 4, 0, 0, True), ("app.db", "Box", 1, 0, 0, False), ("app.db", "Box", 9, 1, 2, False), ("app.db", "twice", 20, 1, 1, False)]
-LISTINGS = [("a.o", "0000 T main\n0010 t helper\n     U printf\n0020 D table\n\nW\n0030 W _ZN1AC2Ev\n"), ("b.o", ""), ("c.o", None), ("d.o", "  w   soft  \n0000 T main")]
-TABLES = {
-    "calls": (CALLS, "test string, name string, n_args int"),
-    "origins": (ORIGINS, "test string, name string, module string, lineno int"),
-    "modules": (MODULES, "module string"),
-    "signatures": (SIGNATURES, "module string, name string, lineno int, required int, total int, flexible boolean"),
-    "listings": (LISTINGS, "path string, text string"),
-}
 
-
-def _table(t, name):
-    return t("region").sparkSession.createDataFrame(*TABLES[name])
-
-
-def _with(*names):
-    return "WITH " + ", ".join(f"{n} AS ({_values(TABLES[n][0], [c.split()[0] for c in TABLES[n][1].split(', ')])})" for n in names)
-
-
-@query(_with("calls", "origins", "modules", "signatures") + """,
+@over("""+calls AS (SELECT * FROM test_calls),
 o AS (SELECT test, name, arg_max(module, lineno) AS module FROM origins GROUP BY 1, 2),
 s AS (SELECT * FROM signatures QUALIFY row_number() OVER (PARTITION BY module, name ORDER BY lineno DESC) = 1),
 j AS (SELECT c.test, c.name, o.module, c.n_args, s.required, s.total, s.flexible, s.name IS NULL AS missing FROM calls c JOIN o ON c.test = o.test AND c.name = o.name LEFT JOIN s ON s.module = o.module AND s.name = o.name WHERE o.module IN (SELECT module FROM modules))
 SELECT test, name, module, CASE WHEN missing THEN 'missing' ELSE 'arity' END AS kind, CASE WHEN NOT missing THEN min(n_args) END AS n_args, required, total
 FROM j WHERE missing OR (NOT flexible AND (n_args < required OR n_args > total)) GROUP BY test, name, module, missing, required, total
-""")
+""", "test_calls", "origins", "modules", "signatures")
 def call_arity(t):
-    """Calls of imported names that their module lacks or that pass a wrong number of arguments."""
-    return verify.arity_issues(*(_table(t, n) for n in ("calls", "origins", "modules", "signatures")))
+    """JN-19: calls of imported names that their module lacks or that pass a wrong number of arguments."""
+    return verify.arity_issues(*(t(n) for n in ("test_calls", "origins", "modules", "signatures")))
 
 
-@query(_values([("a.o", 0, "main", "T"), ("a.o", 1, "helper", "t"), ("a.o", 6, "_ZN1AC2Ev", "W"), ("d.o", 0, "soft", "w"), ("d.o", 1, "main", "T")], ["path", "ord", "symbol", "class"]))
+@over("""
+SELECT 'o' || o_orderkey || '.o' AS path, 0::BIGINT AS ord, 'main' AS symbol, 'T' AS class FROM orders UNION ALL SELECT 'o' || o_orderkey || '.o', 1, 'f' || o_custkey, 't' FROM orders
+UNION ALL SELECT 'o' || o_orderkey || '.o', 5, 'g' || o_orderkey, 'W' FROM orders WHERE o_orderkey % 2 = 0
+""")
 def listed_symbols(t):
-    """Functions in symbol listings of object files."""
-    return verify.text_symbols(_table(t, "listings"))
+    """EX-11: functions in symbol listings of object files."""
+    return verify.text_symbols(t("objects"))
