@@ -210,6 +210,8 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, threshold: int = 400, gr
     for step in (BLOCK, 1):
         # every pass reads the same exchange of packed texts
         with_ranges = packed.join(open_ranges, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "z", "rs")
+        # in the order of names, so that a task that runs again makes the same batches and salts
+        with_ranges = with_ranges.sortWithinPartitions("k1", "k2")
         found = _shared(arrow_map(with_ranges, split(step), _ANCHORS), ["d1", "d2"] if step == 1 else ["d1"])
         if step > 1:
             found = cut(found)
@@ -238,9 +240,9 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = sized.where("n > 1 or t > 0").select("k1", "k2", "r")
     # a filter on t alone would slip below the exchange, which both are to read
     plain = sized.where("case when t = 0 then n else 0 end > 0")
-    classes = plain.groupBy("d1", "d2", "t").agg(F.max("n").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "r")))
+    classes = plain.groupBy("d1", "d2", "t").agg(F.max("n").alias("n"), F.min(F.struct("k1", "k2", "r")).alias("x")).select("d1", "d2", "t", "n", "x.k1", "x.k2", "x.r")
     unsure = classes.groupBy("d1").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("d1")
-    return whole, classes.join(unsure, "d1", "left_semi").groupBy("k1", "k2").agg(F.collect_list("r").alias("rs"))
+    return whole, classes.join(unsure, "d1", "left_semi").groupBy("k1", "k2").agg(F.sort_array(F.collect_list("r")).alias("rs"))
 
 
 def _cleaned(raw: bytes, marks: list | None, words: bool = False) -> tuple[bytes, list[tuple[int, int]]]:
