@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import corpus, events, files, grounding, outputs, pipelines, relational, scopes, signals, streams, texts, verification  # noqa: F401  (they register their queries)
+from . import checks, corpus, events, files, grounding, outputs, pipelines, relational, scopes, signals, streams, texts, verification  # noqa: F401  (they register their queries)
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
