@@ -151,3 +151,12 @@ def test_dispatch(spark):
     to, why = seen.dispatch(F.col("p"), "bot")
     got = spark.createDataFrame([(r[0],) for r in rows], "p string").select(to, why).collect()
     assert [tuple(r) for r in got] == [r[1:] for r in rows]
+
+
+def test_languages_and_secret_names(spark):
+    names = ["a/setup.py", "x.PYI", "b.kt", "c.html", "d", "e.vbproj", "Makefile", "CMakeLists.txt", "k/.ENV.local", "server.PEM", "my_rsa", "id_rsa.pub", "credentials", "credentials.txt", "key", "a.key/b"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, p string").select("i", px.detect_language(F.col("p")).alias("l"), px.is_secret(F.col("p")).alias("s")).orderBy("i")
+    rows = df.collect()
+    assert [r.l for r in rows[:8]] == ["Build", "Python", "Kotlin", "Other", "Other", "MSBuild", "Build", "Other"]
+    assert [r.s for r in rows[8:]] == [True, True, True, False, True, False, False, False]
+    assert [bool(spark.range(1).select(px.is_code(F.lit(x))).first()[0]) for x in ("Kotlin", "Shell", "Markdown")] == [True, False, False]

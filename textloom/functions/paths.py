@@ -9,15 +9,23 @@ from pyspark.sql import functions as F
 VCS = (".git", ".hg", ".svn", ".bzr")
 VENDORED = ("vendor", "third_party", "thirdparty", "node_modules", "external", "deps")
 DEMO = ("examples", "example", "demo", "demos", "samples", "sample")
-#: Language by extension and by file name (fixed values).
+#: Language by extension, files of build and configuration, languages that count as code.
 LANGUAGES = {
-    "py": "Python", "rs": "Rust", "go": "Go", "java": "Java", "js": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript", "c": "C", "h": "C", "cc": "C++", "cpp": "C++",
-    "hpp": "C++", "cs": "C#", "rb": "Ruby", "sh": "Shell", "md": "Markdown", "rst": "reStructuredText", "json": "JSON", "yaml": "YAML", "yml": "YAML", "toml": "TOML", "html": "HTML",
+    "py": "Python", "pyi": "Python", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript", "go": "Go", "rs": "Rust",
+    "java": "Java", "kt": "Kotlin", "rb": "Ruby", "php": "PHP", "c": "C", "h": "C", "cpp": "C++", "cc": "C++", "hpp": "C++", "cs": "C#", "scala": "Scala", "sh": "Shell",
+    "sql": "SQL", "yaml": "YAML", "yml": "YAML", "toml": "TOML", "json": "JSON", "md": "Markdown", "rst": "reStructuredText", "proto": "Protobuf",
+    "csproj": "MSBuild", "fsproj": "MSBuild", "vbproj": "MSBuild", "sln": "MSBuild", "props": "MSBuild", "targets": "MSBuild",
 }
-BUILD_FILES = ("Makefile", "CMakeLists.txt", "Dockerfile", "pyproject.toml", "Cargo.toml", "package.json", "go.mod", "pom.xml")
-CODE = ("Python", "Rust", "Go", "Java", "JavaScript", "TypeScript", "C", "C++", "C#", "Ruby", "Shell")
-#: Names of files that hold secrets (fixed values).
-SECRETS = r"(?i)^(?:\.env.*|.*\.(?:pem|key|p12|pfx|jks|keystore)|id_(?:rsa|dsa|ecdsa|ed25519).*|credentials.*|secrets?\..*|\.npmrc|\.netrc|\.pypirc)$"
+BUILD_FILES = (
+    "pyproject.toml", "setup.py", "setup.cfg", "requirements.txt", "Pipfile", "package.json", "go.mod", "Cargo.toml", "pom.xml", "build.gradle", "Dockerfile",
+    "docker-compose.yml", "docker-compose.yaml", "Makefile", ".gitlab-ci.yml", "Gemfile", "composer.json",
+)
+CODE = ("Python", "JavaScript", "TypeScript", "Go", "Rust", "Java", "Kotlin", "Ruby", "PHP", "C", "C++", "C#", "Scala")
+#: Names of files that hold secrets, as globs over lower-case names.
+SECRET_GLOBS = (
+    ".env", ".env.*", "*.pem", "*.key", "*.pfx", "*.p12", "*.pkcs12", "*.der", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", "*.keystore", "*.jks",
+    ".npmrc", ".pypirc", ".netrc", "credentials", "*.pgpass", "*_rsa", "*_ed25519",
+)
 
 
 def parts(path: Column) -> Column:
@@ -55,7 +63,9 @@ def is_test(path: Column) -> Column:
 
 
 def is_secret(path: Column) -> Column:
-    return basename(path).rlike(SECRETS)
+    """Files that are never shown, by their names in any case."""
+    forms = "|".join(g.replace(".", r"\.").replace("*", ".*") for g in SECRET_GLOBS)
+    return F.lower(basename(path)).rlike(rf"(?s)\A(?:{forms})\z")
 
 
 def path_rank(path: Column) -> list[Column]:
