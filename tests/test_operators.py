@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from textloom.functions import comments
 from textloom.functions import paths as px
 from textloom.functions import text as fx
-from textloom.operators import asof, caps, chain, coverage, dedupe, graph, resolve, snapshot
+from textloom.operators import asof, caps, chain, coverage, dedupe, graph, pack, resolve, snapshot
 from textloom.streaming import seen
 
 
@@ -160,3 +160,56 @@ def test_languages_and_secret_names(spark):
     assert [r.l for r in rows[:8]] == ["Build", "Python", "Kotlin", "Other", "Other", "MSBuild", "Build", "Other"]
     assert [r.s for r in rows[8:]] == [True, True, True, False, True, False, False, False]
     assert [bool(spark.range(1).select(px.is_code(F.lit(x))).first()[0]) for x in ("Kotlin", "Shell", "Markdown")] == [True, False, False]
+
+
+def test_folds_are_linear_in_a_hot_key(spark):
+    n = 100_000
+    df = spark.range(n).select(F.lit(None).cast("string").alias("k"), F.col("id").alias("at"), F.col("id").alias("id"))
+    kept = dedupe.anchored_collapse(df, ["k"], "at", 9, "id")
+    assert kept.agg(F.count("*").alias("n"), F.sum("at").alias("s")).first()[:] == (n // 10, sum(range(0, n, 10)))
+    built = chain.build(df, "k", "id", F.col("at").cast("string"))
+    assert built.agg(F.count("*"), F.max("seq")).first()[:] == (n, n - 1)
+    assert chain.verify(built, "k").first().broken_at is None
+
+
+def test_folds_take_null_payloads_repeats_and_no_rows(spark):
+    df = spark.createDataFrame([("u", 1, None), ("u", 1, "a"), ("u", 1, "a"), (None, 2, "b")], "u string, i long, p string")
+    built = {(r.u, r.seq): r for r in chain.build(df, "u", "i", F.col("p")).collect()}
+    assert len(built) == 4 and built["u", 0].payload is None
+    assert built["u", 0].hash == one(spark, F.sha2(F.lit(chain.GENESIS), 256)) and built["u", 2].prev_hash == built["u", 1].hash
+    assert chain.build(df.limit(0), "u", "i", F.col("p")).count() == 0
+    places = spark.createDataFrame([("a", None, 1), ("a", 5, 2), ("a", 5, 2)], "k string, at long, id long")
+    assert [r[:] for r in dedupe.anchored_collapse(places, ["k"], "at", 0, "id").collect()] == [("a", 5, 2)]
+
+
+def test_asof_over_ranges_equals_one_range(spark):
+    import random
+
+    rng = random.Random(3)
+    left = spark.createDataFrame([(rng.choice(["h", "h", "x", None]), rng.randrange(200), i) for i in range(400)], "k string, at int, id int")
+    right = spark.createDataFrame([(rng.choice(["h", "h", "y", None]), rng.randrange(200), i if i % 9 else None) for i in range(60)], "k string, at int, v int")
+    got = lambda n: {r.id: r.hit for r in asof.asof_backward(left, right, "k", "at", "v", "hit", ranges=n).collect()}
+    assert got(16) == got(1) and len(got(1)) == 400 and any(v is None for v in got(1).values())
+    assert set(v for v in {r.hit for r in asof.asof_backward(left, right.limit(0), "k", "at", "v", "hit").collect()}) == {None}
+
+
+def test_suggestions_keep_the_first_of_many(spark):
+    paths = spark.range(5000).select(F.format_string("d%04d/index.html", "id").alias("p"))
+    asked = spark.createDataFrame([("index.html",), ("zz/index.html",), ("d0007/index.html",), ("none",), (None,)], "ask string")
+    got = dict(resolve.suggestions(asked, paths.union(paths), "p").collect())
+    first = "d0000/index.html,d0001/index.html,d0002/index.html"
+    assert got == {"index.html": first, "zz/index.html": first, "d0007/index.html": "d0007/index.html"}
+
+
+def test_keyed_packing_keeps_rows_that_cost_nothing(spark):
+    df = spark.createDataFrame([("a", i, 0 if i < 20 else 2) for i in range(40)] + [("b", 0, 9)], "k string, i int, c int")
+    got = pack.budget_pack(df, [F.asc("i")], "c", 5, key="k", room=0).collect()
+    assert sorted((r.k, r.i, r.fits, r.cut) for r in got) == [("a", i, True, False) for i in range(22)] + [("a", 22, False, True), ("b", 0, False, True)]
+
+
+def test_lines_are_cut_within_the_room(spark):
+    text = "one\r\ntwo\nthree\n"
+    at = lambda room: one(spark, pack.cut_lines(F.lit(text), F.lit(room), "…"))
+    costs = [one(spark, fx.token_estimate(F.lit(w)) + 1) for w in ("one", "two", "three")]
+    assert [at(0), at(costs[0]), at(sum(costs) - 1), at(sum(costs))] == ["…", "one\n…", "one\ntwo\n…", "one\ntwo\nthree"]
+    assert one(spark, pack.cut_lines(F.lit(""), F.lit(9), "…")) == ""

@@ -4,19 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 
-def asof_backward(left: DataFrame, right: DataFrame, key: str, at: str, value: str, out: str) -> DataFrame:
+#: Types of places that quantiles are known of.
+_RANGED = (NumericType, DateType, TimestampType, TimestampNTZType)
+
+
+def asof_backward(left: DataFrame, right: DataFrame, key: str, at: str, value: str, out: str, ranges: int = 64) -> DataFrame:
     """Each left row with the greatest (at, value) of the right not after it, per key.
 
-    One union and one window on the key: no candidate pairs. ``left`` and
-    ``right`` need ``key`` and ``at``; rows without a match get null.
+    One union, no candidate pairs: windows on (key, range of places), so that a
+    hot key is spread over ``ranges`` tasks. A range's last value is carried into
+    those after it, by a window over at most ``ranges`` rows a key and a join on
+    (key, range). Ranges are cut at quantiles of the places; how good they are
+    changes no result. ``left`` and ``right`` need ``key`` and ``at``; rows
+    without a match get null.
     """
     cols = [c for c in left.columns if c not in (key, at)]
     a = left.select(key, at, F.lit(1).alias("__side"), F.lit(None).cast(right.schema[value].dataType).alias("__v"), *cols)
     b = right.select(F.col(key), F.col(at), F.lit(0).alias("__side"), F.col(value).alias("__v"), *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols))
-    w = Window.partitionBy(key).orderBy(at, "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
-    return a.union(b).withColumn(out, F.last("__v", ignorenulls=True).over(w)).where("__side = 1").drop("__side", "__v")
+    both = a.union(b)
+    if not isinstance(left.schema[at].dataType, _RANGED):
+        ranges = 1
+    bounds = right.agg(F.percentile_approx(at, [i / ranges for i in range(1, ranges)], 1000).alias("b")).first()["b"] if ranges > 1 else None
+    both = both.withColumn("__r", F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda x: x < F.col(at))) if bounds else F.lit(0))
+    within = Window.partitionBy(key, "__r").orderBy(at, "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn(out, F.last("__v", ignorenulls=True).over(within)).where("__side = 1").drop("__side", "__v")
+    if not bounds:
+        return found.drop("__r")
+    known = both.where("__side = 0 AND __v IS NOT NULL").groupBy(key, "__r").agg(F.max_by("__v", F.struct(at, "__v")).alias("__last"))
+    empty = both.where("__side = 1").select(key, "__r", F.lit(None).cast(right.schema[value].dataType).alias("__last"))
+    each = known.union(empty).groupBy(key, "__r").agg(F.max("__last").alias("__last"))
+    before = Window.partitionBy(key).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    carried = each.select(F.col(key).alias("__key"), F.col("__r").alias("__in"), F.last("__last", ignorenulls=True).over(before).alias("__carried"))
+    joined = found.join(carried, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__r") == F.col("__in")), "left")
+    return joined.select(key, at, *cols, F.coalesce(out, "__carried").alias(out))
 
 
 def innermost_interval(points: DataFrame, spans: DataFrame, key: str, at: str, point_id: str, width: int) -> DataFrame:

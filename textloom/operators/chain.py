@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import ordered_fold
+
 GENESIS = "0" * 64
 
 
 def build(df: DataFrame, chain: str, order: str, payload: Column) -> DataFrame:
-    """Per chain ``seq, payload, prev_hash, hash``; each hash covers the one before. A fold: the chain is sequential."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), payload.alias("p"))))
-    empty = F.array().cast("array<struct<o:bigint,p:string,prev:string,hash:string>>")
+    """Per chain ``seq, payload, prev_hash, hash``; each hash covers the one before.
+
+    The chain is sequential: its rows pass in order (ties by payload, nulls
+    first) through one task with one hash as state. A null payload is hashed as
+    if there were none.
+    """
 
-    def link(s, x):
-        h = F.sha2(F.concat_ws("|", s["last"], x["p"]), 256)
-        return F.struct(h.alias("last"), F.array_append(s["out"], F.struct(x["o"].cast("long").alias("o"), x["p"].alias("p"), s["last"].alias("prev"), h.alias("hash"))).alias("out"))
+    def link(state, _, text):
+        seq, last = state or (0, GENESIS)
+        new = hashlib.sha256((last if text is None else f"{last}|{text}").encode()).hexdigest()
+        return (seq + 1, new), [(seq, text, last, new)]
 
-    folded = F.aggregate("items", F.struct(F.lit(GENESIS).alias("last"), empty.alias("out")), link, lambda s: s["out"])
-    return df.groupBy(chain).agg(items.alias("items")).select(chain, F.posexplode(folded).alias("seq", "r")).select(chain, F.col("seq").cast("long").alias("seq"), F.col("r.p").alias("payload"), F.col("r.prev").alias("prev_hash"), F.col("r.hash").alias("hash"))
+    rows = df.select(F.col(chain), F.col(order).alias("__o"), payload.cast("string").alias("__p"))
+    return ordered_fold(rows, [chain], ["__o", "__p"], "seq bigint, payload string, prev_hash string, hash string", link)
 
 
 def verify(df: DataFrame, chain: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .fold import ordered_fold
+
 
 def keep_min_known(df: DataFrame, keys: list[str], line: str) -> DataFrame:
     """One row a key with its smallest non-zero line; null where none is known."""
@@ -25,15 +27,16 @@ def definitions(df: DataFrame, name: str, is_double: Column, ord_col: str, where
 def anchored_collapse(df: DataFrame, keys: list[str], at: str, tolerance: int, carried: str) -> DataFrame:
     """Per key, drop rows within ``tolerance`` of the last *kept* one; anchors don't move with dropped rows.
 
-    A fold over the key's sorted places: the anchor depends on all before it.
-    Keys are small groups by contract; places are (at, carried) pairs only.
+    The anchor depends on all before it: a key's rows pass in order (ties by
+    ``carried``) through one task, whose state is the last anchor. Rows without
+    a place are never kept.
     """
-    places = F.array_sort(F.collect_list(F.struct(F.col(at).alias("a"), F.col(carried).alias("c"))))
-    fold = F.aggregate(
-        "p",
-        F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<a:bigint,c:bigint>>").alias("kept")),
-        lambda s, x: F.when(s["last"].isNull() | (x["a"] - s["last"] > tolerance), F.struct(x["a"].alias("last"), F.array_append(s["kept"], x).alias("kept"))).otherwise(s),
-        lambda s: s["kept"],
-    )
-    grouped = df.select(*keys, F.col(at).cast("long").alias(at), F.col(carried).cast("long").alias(carried)).groupBy(*keys).agg(places.alias("p"))
-    return grouped.select(*keys, F.explode(fold).alias("__kept")).select(*keys, F.col("__kept.a").alias(at), F.col("__kept.c").alias(carried))
+
+    def keep(anchor, place, value):
+        if anchor is not None and place - anchor <= tolerance:
+            return anchor, []
+        return place, [(place, value)]
+
+    rows = df.where(F.col(at).isNotNull()).select(*keys, F.col(at).cast("long").alias("__at"), F.col(carried).cast("long").alias("__c"))
+    kept = ordered_fold(rows, keys, ["__at", "__c"], "__at bigint, __c bigint", keep)
+    return kept.select(*keys, F.col("__at").alias(at), F.col("__c").alias(carried))

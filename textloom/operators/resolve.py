@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as px
@@ -40,13 +40,23 @@ def grounded(claims: DataFrame, known: DataFrame, on: str) -> DataFrame:
 def suggestions(asked: DataFrame, paths: DataFrame, path: str, n: int = 3) -> DataFrame:
     """Known paths for an asked one (``ask``): those that end with it, else those of its base name; first ``n`` sorted.
 
-    Ending alike implies the same base name, so both are one equi-join.
+    Both are joins on equality, with a known path's endings and with its base
+    name. Of each base name, and of each ask's endings, only the first ``n``
+    paths go on; tasks cut to ``n`` before they shuffle. Asks without any are left out.
     """
-    base = lambda c: F.element_at(F.split(c, "/"), -1)
-    both = asked.withColumn("__b", base(F.col("ask"))).join(paths.select(path, base(F.col(path)).alias("__b")), "__b")
-    both = both.withColumn("suffix", F.col(path).endswith(F.concat(F.lit("/"), F.col("ask"))) | (F.col(path) == F.col("ask")))
-    got = both.groupBy("ask").agg(F.array_sort(F.collect_set(F.when(F.col("suffix"), F.col(path)))).alias("s"), F.array_sort(F.collect_set(path)).alias("a"))
-    return got.select("ask", F.array_join(F.slice(F.when(F.size("s") > 0, F.col("s")).otherwise(F.col("a")), 1, n), ",").alias("found"))
+    known = paths.select(F.col(path).alias("__p")).where("__p IS NOT NULL").distinct().withColumn("__parts", F.split("__p", "/"))
+    asks = asked.select("ask").distinct()
+
+    def first(df: DataFrame, key: str, out: str) -> DataFrame:
+        ranked = df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("__p"))).where(F.col("__n") <= n)
+        return ranked.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("__p")), ",").alias(out))
+
+    parts = F.col("__parts")
+    endings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    ending = first(known.select("__p", F.explode(endings).alias("ask")).join(asks, "ask"), "ask", "__s")
+    named = first(known.select("__p", F.element_at(parts, -1).alias("__b")), "__b", "__a")
+    got = asks.withColumn("__b", F.element_at(F.split("ask", "/"), -1)).join(named, "__b").join(ending, "ask", "left")
+    return got.select("ask", F.coalesce("__s", "__a").alias("found"))
 
 
 def rust_imports(imports: DataFrame, files: DataFrame) -> DataFrame:

@@ -80,6 +80,42 @@ def budget_pack_per_source(t):
     return pack.budget_pack(_ranked_blocks(t), [F.desc("q"), F.asc("doc_id")], "tokens", 20_000, key="source").select("doc_id", "source", "tokens", "running", "fits", "cut")
 
 
+_LINES = r"regexp_split_to_array(regexp_replace(x.text, '(\r\n|\n|\r)$', ''), '\r\n|\n|\r')"
+_CUT = f"""
+WITH d AS (SELECT doc_id, source, text, {{cost}} AS tokens FROM documents),
+r AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM d),
+x AS (SELECT *, running - tokens AS before FROM r WHERE running - tokens <= {{budget}}),
+l AS (SELECT doc_id, before, i, line, sum(t + 1) OVER (PARTITION BY doc_id ORDER BY i) AS used FROM (SELECT *, {{line}} AS t FROM (SELECT doc_id, before, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS i FROM x WHERE running > {{budget}} AND {{budget}} - before > {{room}}))),
+c AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE used <= {{budget}} - before), '') AS head, count(*) FILTER (WHERE used <= {{budget}} - before) AS kept, count(*) AS n FROM l GROUP BY doc_id),
+b AS (SELECT x.doc_id, source, running, x.text, running <= {{budget}} AS fits, c.doc_id IS NOT NULL AS cut, CASE WHEN kept = n THEN head WHEN kept = 0 THEN '{{mark}}' ELSE head || chr(10) || '{{mark}}' END AS clipped FROM x LEFT JOIN c USING (doc_id))
+"""
+
+
+@query(_CUT.format(line=_TOK.format(t="line"), cost=_TOK.format(t="text"), budget=3000, room=50, mark="… (truncated)") + "SELECT doc_id, source, running, cut, sha256(CASE WHEN fits THEN text ELSE clipped END) AS block_sha FROM b")
+def packed_blocks(t):
+    """RK-7: each source's texts within 3,000 tokens; the one that overflows is cut by lines."""
+    d = t("documents").select("doc_id", "source", fx.token_estimate(F.col("text")).alias("tokens"))
+    packed = pack.budget_pack(d, [F.asc("doc_id")], "tokens", 3000, key="source")
+    return pack.packed_texts(packed, t("documents"), "doc_id", "text", "tokens", 3000).select("doc_id", "source", "running", "cut", F.sha2("block", 256).alias("block_sha"))
+
+
+_WRAPPED = "chr(10) || '### f' || doc_id || chr(10) || '```diff' || chr(10) || text || chr(10) || '```' || chr(10)"
+_OMITTED = "_(remaining diffs omitted to fit context budget)_"  # fixed, with the frame and both marks
+
+
+@query(_CUT.format(line=_TOK.format(t="line"), cost=_TOK.format(t=f"({_WRAPPED})"), budget=4000, room=80, mark="... (truncated)") + f"""
+SELECT doc_id, source, running, sha256(CASE WHEN fits THEN {_WRAPPED} ELSE CASE WHEN cut THEN chr(10) || '### f' || doc_id || chr(10) || '```diff' || chr(10) || clipped || chr(10) || '```' ELSE '' END || chr(10) || '{_OMITTED}' END) AS block_sha FROM b
+""")
+def review_diffs(t):
+    """RK-8: each source's diffs within 4,000 tokens, framed; the one that overflows is cut by lines, and a note says that more was left out."""
+    head = F.concat(F.lit("\n### f"), F.col("doc_id").cast("string"), F.lit("\n```diff\n"))
+    d = t("documents").select("doc_id", "source", fx.token_estimate(F.concat(head, F.col("text"), F.lit("\n```\n"))).alias("tokens"))
+    packed = pack.budget_pack(d, [F.asc("doc_id")], "tokens", 4000, key="source", room=80)
+    blocks = pack.packed_texts(packed, t("documents"), "doc_id", "text", "tokens", 4000, "... (truncated)")
+    left_out = F.concat(F.coalesce(F.concat(head, F.col("block"), F.lit("\n```")), F.lit("")), F.lit("\n" + _OMITTED))
+    return blocks.select("doc_id", "source", "running", F.sha2(F.when(F.col("fits"), F.concat(head, F.col("block"), F.lit("\n```\n"))).otherwise(left_out), 256).alias("block_sha"))
+
+
 @query("""
 WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents)
 SELECT doc_id, source, rn, row_number() OVER (ORDER BY rn, source) AS pick FROM r ORDER BY rn, source LIMIT 300

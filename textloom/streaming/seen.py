@@ -25,9 +25,10 @@ def poll_with_seen_set(stream: DataFrame, key: str, handle: Callable[[DataFrame]
 
     ``handle`` takes rows of keys not seen yet and returns those it succeeded
     with; the others are kept and offered again with the next batch, whether or
-    not their key comes again. The seen-set is a Parquet table of keys, what is
-    kept lies in ``pending`` beside it. Each batch writes folders of its own
-    number over, so a batch that is replayed leaves no row twice.
+    not their key comes again. The seen-set is a Parquet table of keys; what each
+    batch offers lies in ``offered`` beside it, written before it is handled, so
+    that what is handled, marked and kept are the same rows. Each batch writes
+    folders of its own number over, so a batch that is replayed leaves no row twice.
     """
     folder = seen_path.rstrip("/")
 
@@ -43,12 +44,11 @@ def poll_with_seen_set(stream: DataFrame, key: str, handle: Callable[[DataFrame]
 
     def batch(df: DataFrame, number: int) -> None:
         spark, schema = df.sparkSession, df.schema
-        kept = earlier(spark, folder + ".pending", schema, number).where(F.col("batch") == number - 1).drop("batch")
+        last = earlier(spark, folder + ".offered", schema, number).where(F.col("batch") == number - 1).drop("batch")
         seen = earlier(spark, folder, df.select(key).schema, number).select(key)
-        fresh = df.unionByName(kept).dropDuplicates([key]).join(seen, key, "left_anti")
-        handle(fresh).select(key).distinct().write.mode("overwrite").parquet(f"{folder}/batch={number}")
-        done = spark.read.schema(df.select(key).schema).parquet(f"{folder}/batch={number}")
-        fresh.join(done, key, "left_anti").select(*df.columns).write.mode("overwrite").parquet(f"{folder}.pending/batch={number}")
+        offered = f"{folder}.offered/batch={number}"
+        df.unionByName(last).dropDuplicates([key]).join(seen, key, "left_anti").select(*df.columns).write.mode("overwrite").parquet(offered)
+        handle(spark.read.schema(schema).parquet(offered)).select(key).distinct().write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
