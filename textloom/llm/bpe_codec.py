@@ -15,6 +15,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -85,21 +86,33 @@ class WordBPE:
     # -- exact merging
 
     def merge(self, parts: list[str]) -> list[str]:
-        """Merge the best-ranked pair, leftmost first, until no pair has a rank."""
-        get, none = self.rank.get, 1 << 60
-        ranks = [get(p, none) for p in zip(parts, parts[1:], strict=False)]
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            at = ranks.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del ranks[at]
-            if at:
-                ranks[at - 1] = get((parts[at - 1], parts[at]), none)
-            if at < len(ranks):
-                ranks[at] = get((parts[at], parts[at + 1]), none)
-        return parts
+        """Merge the best-ranked pair, leftmost first, until no pair has a rank.
+
+        A heap of (rank, place) over a linked list: a word of n symbols takes
+        n log n steps. Entries of pairs that have changed since are skipped.
+        """
+        get, n = self.rank.get, len(parts)
+        parts = list(parts)
+        heap = [(r, i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if (r := get(p)) is not None]
+        if not heap:
+            return parts
+        heapify(heap)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        while heap:
+            rank, at = heappop(heap)
+            right = after[at]
+            if parts[at] is None or right < 0 or get((parts[at], parts[right])) != rank:
+                continue
+            parts[at] += parts[right]
+            parts[right] = None
+            after[at] = follows = after[right]
+            if follows >= 0:
+                before[follows] = at
+                if (r := get((parts[at], parts[follows]))) is not None:
+                    heappush(heap, (r, at))
+            if (left := before[at]) >= 0 and (r := get((parts[left], parts[at]))) is not None:
+                heappush(heap, (r, left))
+        return [p for p in parts if p is not None]
 
     def exact(self, symbols: str) -> list[int]:
         return [self.vocab[p] for p in self.merge([*symbols[:-1], symbols[-1] + END])]
