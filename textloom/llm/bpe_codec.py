@@ -25,6 +25,7 @@ from .common import arrow_map, tokenizer_path
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 END = "</w>"
+SCANNED = 64
 #: How the vocabulary splits normalised text; what it doesn't match is dropped (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
@@ -88,11 +89,27 @@ class WordBPE:
     def merge(self, parts: list[str]) -> list[str]:
         """Merge the best-ranked pair, leftmost first, until no pair has a rank.
 
-        A heap of (rank, place) over a linked list: a word of n symbols takes
-        n log n steps. Entries of pairs that have changed since are skipped.
+        Short words are scanned for each merge, which is faster there. Beyond
+        ``SCANNED`` symbols a heap of (rank, place) over a linked list takes
+        n log n steps; its entries of pairs that have changed since are skipped.
         """
+        return self._scanned(list(parts)) if len(parts) <= SCANNED else self._heaped(list(parts))
+
+    def _scanned(self, parts: list[str]) -> list[str]:
+        get, none = self.rank.get, 1 << 60
+        ranks = [get(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) != none:
+            at = ranks.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get((parts[at - 1], parts[at]), none)
+            if at < len(ranks):
+                ranks[at] = get((parts[at], parts[at + 1]), none)
+        return parts
+
+    def _heaped(self, parts: list[str]) -> list[str]:
         get, n = self.rank.get, len(parts)
-        parts = list(parts)
         heap = [(r, i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if (r := get(p)) is not None]
         if not heap:
             return parts
