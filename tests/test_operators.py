@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from textloom.functions import comments
 from textloom.functions import paths as px
 from textloom.functions import text as fx
-from textloom.operators import asof, caps, chain, coverage, dedupe, graph, pack, resolve, snapshot
+from textloom.operators import asof, caps, chain, coverage, dedupe, frameworks, graph, pack, resolve, snapshot
 from textloom.streaming import seen
 
 
@@ -213,3 +213,15 @@ def test_lines_are_cut_within_the_room(spark):
     costs = [one(spark, fx.token_estimate(F.lit(w)) + 1) for w in ("one", "two", "three")]
     assert [at(0), at(costs[0]), at(sum(costs) - 1), at(sum(costs))] == ["…", "one\n…", "one\ntwo\n…", "one\ntwo\nthree"]
     assert one(spark, pack.cut_lines(F.lit(""), F.lit(9), "…")) == ""
+
+
+def test_frameworks_by_evidence(spark):
+    rows = [("a", "x/Makefile", "LIBS=-lgmock"), ("a", "x/Makefile", "LIBS=-lgmock"), ("a", "b/one.csproj", '<packagereference include="NUnit3"/>'), ("a", "a/two.csproj", '<PackageReference Include="Moq"/>'), ("a", "setup.cfg", "[tool:pytest]"), (None, "build/Makefile", "gtest"), (None, "node_modules/conftest.py", None), (None, "src/io-test.c", '#include "assert.h"\nvoid main() {')]
+    df = spark.createDataFrame(rows, "repo string, path string, text string")
+    got = {(r.repo, r.language): (r.framework, r.detected) for r in frameworks.frameworks(df, "repo", {"C": "Unity", "C++": "d", "Python": "d", "Rust": "d", "C#": "d", "Go": "d"}).collect()}
+    plain = ("plain assert()/main()", True)
+    assert got == {
+        ("a", "C"): ("Unity", False), ("a", "C++"): ("GoogleTest", True), ("a", "Python"): ("pytest", True), ("a", "Rust"): ("d", False), ("a", "C#"): ("NUnit", True), ("a", "Go"): ("d", False),
+        (None, "C"): plain, (None, "C++"): plain, (None, "Python"): ("pytest", True), (None, "Rust"): ("d", False), (None, "C#"): ("d", False), (None, "Go"): ("d", False),
+    }
+    assert frameworks.frameworks(df.limit(0), "repo", {"C": "Unity"}).count() == 0

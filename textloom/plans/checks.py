@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import analysis, testing
+from ..operators import analysis, frameworks, testing
 from .derived import path
 from .files import over
 
@@ -86,3 +86,22 @@ def analysis_coverage(t):
     """PL-4, AG-7, ST-5: accounts of the analysed files by component, under a cap."""
     units = t("files").select(F.col("path").alias("file"), F.when(F.col("n_symbols") % 10 == 0, "error: no").otherwise("").alias("error"))
     return analysis.unit_coverage(units, _findings(t)[0], 30)
+
+
+DEFAULTS = {"C": "Unity", "C++": "GoogleTest", "Python": "pytest", "Rust": "cargo test", "C#": "xUnit", "Go": "go test"}
+
+
+@over(r"""
+, f AS (SELECT repo, path, coalesce(text, '') AS text FROM repo_files),
+p AS (SELECT repo, path, text, path SIMILAR TO '(.*/)?[Tt]est_[^/]*[.](c|cpp)' AND contains(text, '#include <cassert>') AND contains(text, 'int main(') AND NOT contains(text, 'doctest') AS plain FROM f),
+c AS (SELECT repo, CASE lower(regexp_extract(text, 'Include="([A-Za-z]+)', 1)) WHEN 'xunit' THEN 'xUnit' WHEN 'nunit' THEN 'NUnit' WHEN 'mstest' THEN 'MSTest' END AS package, path FROM f WHERE ends_with(path, '.csproj')),
+k AS (SELECT repo, arg_min(package, path) AS cs FROM c WHERE package IS NOT NULL GROUP BY repo),
+e AS (SELECT repo, bool_or(path LIKE '%/unity.h') AS unity, bool_or(plain AND ends_with(path, '.c')) AS pc, bool_or(plain) AS pcpp, bool_or(path LIKE '%/GoogleTest/%' OR path = 'CMakeLists.txt' AND contains(text, 'GTest')) AS gtest,
+  bool_or(path LIKE '%conftest.py' OR starts_with(path, 'requirements') AND regexp_matches(text, 'pytest([^s]|$)')) AS py, bool_or(path = 'Cargo.toml') AS rs FROM p GROUP BY repo),
+r AS (SELECT repo, unnest(['C', 'C++', 'Python', 'Rust', 'C#', 'Go']) AS language, unnest(['Unity', 'GoogleTest', 'pytest', 'cargo test', 'xUnit', 'go test']) AS d,
+  unnest([CASE WHEN unity THEN 'Unity' WHEN pc THEN 'plain assert()/main()' END, CASE WHEN gtest THEN 'GoogleTest' WHEN pcpp THEN 'plain assert()/main()' END, CASE WHEN py THEN 'pytest' END, CASE WHEN rs THEN 'cargo test' END, cs, NULL]) AS f FROM e LEFT JOIN k USING (repo))
+SELECT repo, language, coalesce(f, d) AS framework, f IS NOT NULL AS detected FROM r
+""", "repo_files")
+def framework_detection(t):
+    """EX-14: each repository's test framework by language, seen or assumed."""
+    return frameworks.frameworks(t("repo_files"), "repo", DEFAULTS)

@@ -68,6 +68,9 @@ SQL = {
     "WHEN 2 THEN 'int open' || p_size || '(int a, int b) {{' || chr(10) || '}}' || chr(10) || 'struct S' || p_size || ' {{' ELSE 'func open' || p_size || '(a int) {{' || chr(10) || '}}' || chr(10) || 'type S' || p_size || ' struct {{' END || chr(10) || '}}' || chr(10) AS text, p_partkey, p_size FROM {part}",
     "signal_files": "SELECT CASE p_partkey % 4 WHEN 0 THEN 'api/a' || p_partkey || '.py' WHEN 1 THEN 'n' || p_partkey || '.c' WHEN 2 THEN 'b' || p_partkey || '.go' ELSE 'e' || p_partkey || '.py' END AS path, CASE p_partkey % 4 WHEN 0 THEN '@app.get(\"/a' || p_size || '\")' || chr(10) || 'os.getenv(\"K' || p_size || '\")' || chr(10) || 'requests.get(\"https://h' || p_size || ':9000/x\")' || chr(10) || 'import psycopg2' || chr(10) "
     "WHEN 1 THEN 'socket(AF_INET, SOCK_DGRAM, 0);' || chr(10) WHEN 2 THEN 'import \"github.com/segmentio/kafka\"' || chr(10) || 'http.Get(\"http://b' || p_size || '.internal/x\")' || chr(10) ELSE '' END AS text, p_partkey % 4 AS k, p_size FROM {part}",
+    "repo_files": "SELECT 'r' || (p_partkey % 300) AS repo, CASE p_size % 10 WHEN 0 THEN 'CMakeLists.txt' WHEN 1 THEN 'a/conftest.py' WHEN 2 THEN 'requirements-dev.txt' WHEN 3 THEN 'Cargo.toml' WHEN 4 THEN 'n' || p_partkey || '/app.csproj' WHEN 5 THEN 'tests/test_' || p_partkey || CASE p_partkey % 2 WHEN 0 THEN '.c' ELSE '.cpp' END WHEN 6 THEN 'Unity/src/unity.h' WHEN 7 THEN 'third/GoogleTest/README' WHEN 8 THEN 'build/gtest/x.cc' ELSE 'src/main.cpp' END AS path, "
+    "CASE p_size % 10 WHEN 0 THEN CASE p_partkey % 3 WHEN 0 THEN 'find_package(GTest)' ELSE 'project(x)' END WHEN 2 THEN CASE p_partkey % 2 WHEN 0 THEN 'pytest==7' ELSE 'pytests==7' END WHEN 4 THEN '<PackageReference Include=\"' || CASE p_partkey % 4 WHEN 0 THEN 'xunit.runner' WHEN 1 THEN 'NUnit' WHEN 2 THEN 'MSTest.Sdk' ELSE 'Moq' END || '\" />' "
+    "WHEN 5 THEN '#include <cassert>' || chr(10) || 'int main() {{' || CASE p_partkey % 5 WHEN 0 THEN '// doctest' ELSE '' END END AS text FROM {part}",
 }
 _GIVEN = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
