@@ -182,17 +182,6 @@ def test_folds_take_null_payloads_repeats_and_no_rows(spark):
     assert [r[:] for r in dedupe.anchored_collapse(places, ["k"], "at", 0, "id").collect()] == [("a", 5, 2)]
 
 
-def test_asof_over_ranges_equals_one_range(spark):
-    import random
-
-    rng = random.Random(3)
-    left = spark.createDataFrame([(rng.choice(["h", "h", "x", None]), rng.randrange(200), i) for i in range(400)], "k string, at int, id int")
-    right = spark.createDataFrame([(rng.choice(["h", "h", "y", None]), rng.randrange(200), i if i % 9 else None) for i in range(60)], "k string, at int, v int")
-    got = lambda n: {r.id: r.hit for r in asof.asof_backward(left, right, "k", "at", "v", "hit", ranges=n).collect()}
-    assert got(16) == got(1) and len(got(1)) == 400 and any(v is None for v in got(1).values())
-    assert set(v for v in {r.hit for r in asof.asof_backward(left, right.limit(0), "k", "at", "v", "hit").collect()}) == {None}
-
-
 def test_suggestions_keep_the_first_of_many(spark):
     paths = spark.range(5000).select(F.format_string("d%04d/index.html", "id").alias("p"))
     asked = spark.createDataFrame([("index.html",), ("zz/index.html",), ("d0007/index.html",), ("none",), (None,)], "ask string")
