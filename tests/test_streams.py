@@ -3,6 +3,7 @@
 import json
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +31,55 @@ def test_items_come_back_without_new_rows(spark, tmp_path):
     assert got == [{(2, 1, "done", 0)}, {(1, 3, "done", 3), (4, 1, "done", 5)}, {(3, 5, "expired", 21), (5, 1, "done", 30), (None, 1, "done", 30)}]
 
 
+class Kept:
+    """A value state and a timer service, counted."""
+
+    def __init__(self, log):
+        self.log, self.value = log, None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.log.append("update")
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+def test_keys_of_a_shard_share_one_call_and_one_timer():
+    log, timers = [], []
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Kept(log)
+
+        def registerTimer(self, at):
+            timers.append(at)
+
+    class Clock:
+        def __init__(self, now):
+            self.getCurrentWatermarkInMs = lambda: now
+
+    p = retry.Retries(lambda payload, tries: tries > int(payload), 20_000)
+    p.init(Handle())
+    n, big = 500, 2**60 + 1
+    rows = pd.DataFrame({"name": [*map(str, range(n)), str(big), None], "at_ms": [0] * n + [5, 7], "payload": [str(k % 3) for k in range(n)] + ["0", "9"]})
+    tuples = lambda parts: [(None if pd.isna(r.key) else int(r.key), r.tries, r.outcome, r.at_ms) for part in parts for r in part.itertuples()]
+    got = set(tuples(p.handleInputRows((0,), iter([rows[:200], rows[200:]]), Clock(0))))
+    assert got == {(k, 1, "done", 0) for k in range(0, n, 3)} | {(big, 1, "done", 5)}
+    assert timers == [1000] and len(log) == 2
+    got = set(tuples(p.handleExpiredTimer((0,), Clock(1000), None)))
+    assert got == {(k, 2, "done", 1000) for k in range(1, n, 3)} and timers == [1000, 1007]
+    assert not tuples(p.handleInputRows((0,), iter([rows]), Clock(1000)))
+    got = set(tuples(p.handleExpiredTimer((0,), Clock(30_000), None)))
+    assert got == {(k, 3, "done", 3000) for k in range(2, n, 3)} | {(None, 5, "expired", 20_007)}
+
+
 @pytest.mark.parametrize("budget", [1, 2, 7, 8, 20, 60])
 def test_batch_and_waits_agree(spark, budget):
     want = []

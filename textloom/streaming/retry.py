@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Longest wait between two tries, in seconds (fixed value); waits double up to it.
 LONGEST_WAIT = 8
+#: Shards of the keys, each with one state and one timer; fixed for a stream's life, as its state lies by shard.
+SHARDS = 1024
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
@@ -20,13 +22,16 @@ def wait_ms(tries: int, now: int, deadline: int) -> int:
 
 
 class Retries(StatefulProcessor):
-    """One item a key: tried at its own time, then again by timers until it succeeds or its deadline comes.
+    """The items of one shard: each tried at its own time, then again by timers until it succeeds or its deadline comes.
 
     The first row of a key is the item, later ones are dropped, also once the
-    item is done (the state is the seen-set). A timer that fires tries again
-    without any new row; tries that the clock has passed already are made up in
-    one go, each at its own time. At the deadline no try is made: the item
-    expires.
+    item is done (the state holds the seen-set). The shard's timer stands at the
+    next try of any of its items; when it fires it tries again without any new
+    row, and tries that the clock has passed already are made up in one go, each
+    at its own time. At the deadline no try is made: the item expires.
+
+    State is read and written a shard at a time, as arrays: a call and a round
+    trip for every key would cost far more than the tries.
     """
 
     def __init__(self, handle: Callable[[str, int], bool], budget_ms: int):
@@ -34,44 +39,77 @@ class Retries(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.timers = handle
-        self.item = handle.getValueState("item", "payload string, deadline bigint, tries int, next bigint, over boolean")
-
-    def _go_on(self, key: tuple, payload: str, deadline: int, tries: int, at: int, clock: int) -> Iterator[pd.DataFrame]:
-        while at <= clock:
-            outcome = None
-            if at >= deadline:
-                outcome = "expired"
+        self.seen = handle.getValueState("seen", "keys array<bigint>")
+        self.open = handle.getValueState("open", "keys array<bigint>, payloads array<string>, deadlines array<bigint>, tries array<int>, nexts array<bigint>")
+
+    def _go_on(self, items: list[tuple], watermark: int) -> tuple[list[tuple], list[tuple]]:
+        """Tries of items ``key, payload, deadline, tries, next`` that are due: what is over, and what stays open."""
+        over, left = [], []
+        for key, payload, deadline, tries, at in items:
+            clock, outcome = max(at, watermark), None
+            while at <= clock:
+                if at >= deadline:
+                    outcome = "expired"
+                else:
+                    tries += 1
+                    if self.handle(payload, tries):
+                        outcome = "done"
+                if outcome:
+                    over.append((key, tries, outcome, at))
+                    break
+                at += wait_ms(tries, at, deadline)
             else:
-                tries += 1
-                if self.handle(payload, tries):
-                    outcome = "done"
-            if outcome:
-                self.item.update((payload, deadline, tries, at, True))
-                yield pd.DataFrame({"key": [key[0]], "tries": [tries], "outcome": [outcome], "at_ms": [at]})
-                return
-            at += wait_ms(tries, at, deadline)
-        self.item.update((payload, deadline, tries, at, False))
-        self.timers.registerTimer(at)
+                left.append((key, payload, deadline, tries, at))
+        return over, left
+
+    def _held(self) -> list[tuple]:
+        return list(zip(*self.open.get(), strict=True)) if self.open.exists() else []
+
+    def _keep(self, items: list[tuple]) -> None:
+        """Items that stay open, and the timer of the earliest of them; an older timer that still stands finds nothing due."""
+        if items:
+            self.open.update(tuple(map(list, zip(*items, strict=True))))
+            self.timers.registerTimer(min(item[4] for item in items))
+        else:
+            self.open.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        known = list(self.seen.get()[0]) if self.seen.exists() else []
+        met, first = set(known), {}
         for part in rows:
-            least = part.sort_values(["at_ms", "payload"]).iloc[0]
-            if first is None or (least["at_ms"], least["payload"]) < (first["at_ms"], first["payload"]):
-                first = least
-        if first is not None and not self.item.exists():
-            at = int(first["at_ms"])
-            yield from self._go_on(key, first["payload"], at + self.budget_ms, 0, at, max(at, timerValues.getCurrentWatermarkInMs()))
+            for k, at, payload in zip(part["name"], part["at_ms"], part["payload"], strict=True):
+                k, row = None if k is None else int(k), (int(at), payload)
+                # nulls come after all payloads of their time
+                if k not in met and (k not in first or _place(row) < _place(first[k])):
+                    first[k] = row
+        if first:
+            self.seen.update((known + list(first),))
+            over, left = self._go_on([(k, payload, at + self.budget_ms, 0, at) for k, (at, payload) in first.items()], timerValues.getCurrentWatermarkInMs())
+            if left:
+                self._keep(self._held() + left)
+            yield _rows(over)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        payload, deadline, tries, at, over = self.item.get()
-        if not over:
-            yield from self._go_on(key, payload, deadline, tries, at, max(at, timerValues.getCurrentWatermarkInMs()))
+        watermark, held = timerValues.getCurrentWatermarkInMs(), self._held()
+        due = [item for item in held if item[4] <= watermark]
+        if due:
+            over, left = self._go_on(due, watermark)
+            self._keep([item for item in held if item[4] > watermark] + left)
+            yield _rows(over)
 
     def close(self) -> None:
         pass
 
 
+def _place(row: tuple) -> tuple:
+    return row[0], row[1] is None, row[1] or ""
+
+
+def _rows(over: list[tuple]) -> pd.DataFrame:
+    key, tries, outcome, at = zip(*over, strict=True) if over else ((), (), (), ())
+    return pd.DataFrame({"key": pd.array(key, "Int64"), "tries": pd.array(tries, "int32"), "outcome": pd.Series(outcome, dtype="object"), "at_ms": pd.array(at, "int64")})
+
+
 def with_retries(stream: DataFrame, key: str, at: str, payload: str, handle: Callable[[str, int], bool], budget_s: int, delay: str = "0 seconds") -> DataFrame:
     """``key, tries, outcome (done, expired), at_ms`` of each item of a stream, once it is known.
 
@@ -80,9 +118,10 @@ def with_retries(stream: DataFrame, key: str, at: str, payload: str, handle: Cal
     on, with or without rows. ``key`` is a long, ``at`` a timestamp.
     """
     stream.sparkSession.conf.set(*STATE_STORE)
-    rows = stream.select(F.col(key).cast("long").alias("key"), F.col(at).cast("timestamp").alias("at"), F.col(payload).cast("string").alias("payload"))
-    items = rows.withWatermark("at", delay).withColumn("at_ms", F.unix_millis("at"))
-    return items.groupBy("key").transformWithStateInPandas(statefulProcessor=Retries(handle, budget_s * 1000), outputStructType="key long, tries int, outcome string, at_ms long", outputMode="Append", timeMode="EventTime")
+    # a key's digits, as pandas would make floats of longs with a null among them
+    rows = stream.select(F.col(key).cast("long").cast("string").alias("name"), F.col(at).cast("timestamp").alias("at"), F.col(payload).cast("string").alias("payload"))
+    items = rows.withWatermark("at", delay).withColumns({"at_ms": F.unix_millis("at"), "shard": F.pmod(F.xxhash64("name"), F.lit(SHARDS))})
+    return items.groupBy("shard").transformWithStateInPandas(statefulProcessor=Retries(handle, budget_s * 1000), outputStructType="key long, tries int, outcome string, at_ms long", outputMode="Append", timeMode="EventTime")
 
 
 def retried(items: DataFrame, key: str, at_ms: str, failures: Column, budget_s: int) -> DataFrame:
