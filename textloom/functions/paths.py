@@ -42,7 +42,8 @@ def directories(path: Column) -> Column:
 
 
 def in_directory(path: Column, names: tuple[str, ...]) -> Column:
-    return F.arrays_overlap(directories(path), F.array(*map(F.lit, names)))
+    """Whether one of the path's directories (of the given spelling) has one of the names; a pattern, as arrays would be built for every row."""
+    return path.rlike(r"(?:^|/)(?:" + "|".join(n.replace(".", r"\.") for n in names) + ")/+[^/]")
 
 
 def is_vcs(path: Column) -> Column:

@@ -38,6 +38,12 @@ def clip_in_order(df: DataFrame, key: str, preference: list[Column], position: l
     return chosen.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(*position)))
 
 
+def keyed(df: DataFrame, order: list[Column]) -> tuple[DataFrame, list[str]]:
+    """``df`` with the (ascending) order's expressions as columns, and their names: a sort or a top-n works out expressions at every comparison, columns once a row."""
+    names = [f"__o{i}" for i in range(len(order))]
+    return df.withColumns(dict(zip(names, order, strict=True))), names
+
+
 def _placed(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """Adds ``rn`` (place within the key, from 1) and ``size`` without gathering a key in one task.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as px
 from ..functions.comments import CLOSED_STRING
-from . import dedupe, snapshot
+from . import caps, dedupe, snapshot
 
 CALLABLE = ("function", "method")
 #: Kinds of edges in the order in which they are shown (fixed values).
@@ -199,7 +199,8 @@ def capped_files(files: DataFrame, order: list[Column], most: int) -> DataFrame:
 
     Only the paths of the first ``most`` are ranked in one place (a top-n).
     """
-    top = files.orderBy(*order).limit(most).select("path").withColumn("kept", F.lit(True))
+    ranked, names = caps.keyed(files, order)
+    top = ranked.orderBy(*names).limit(most).select("path").withColumn("kept", F.lit(True))
     return files.join(top, "path", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as px
 from ..functions import text as fx
-from ..operators import pack, snapshot, store
+from ..operators import caps, pack, snapshot, store
 from .derived import reading, with_derived
 from .registry import query
 
@@ -117,8 +117,8 @@ SELECT rule_id, file, line, row_number() OVER (ORDER BY list_position(['critical
 """, "items", "rules")
 def triage_order(t):
     """RK-3, ST-2: the four findings to look at first."""
-    order = store.triage_order()
-    top = store.with_rules(t("items"), t("rules")).orderBy(*order).limit(4)
+    ranked, order = caps.keyed(store.with_rules(t("items"), t("rules")), store.triage_order())
+    top = ranked.orderBy(*order).limit(4)
     return top.select("rule_id", "file", "line", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
 
 

@@ -316,4 +316,5 @@ SELECT page_id, url FROM d ORDER BY list_has_any(d, ['vendor', 'third_party', 't
 """)
 def path_rank_topk(t):
     """First fifty paths, own code first."""
-    return t("pages").orderBy(*px.path_rank(F.col("url")), "page_id").limit(50).select("page_id", "url")
+    ranked, order = caps.keyed(t("pages"), px.path_rank(F.col("url")))
+    return ranked.orderBy(*order, "page_id").limit(50).select("page_id", "url")
