@@ -6,7 +6,9 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from textloom.functions import paths as px
+from textloom.operators import graph
 from textloom.plans import catalog
+from textloom.plans.derived import derived
 
 
 def plan(df):
@@ -26,3 +28,14 @@ def test_directories_by_pattern(spark):
     by_parts = F.arrays_overlap(px.directories(low), F.array(*map(F.lit, px.VENDORED)))
     assert df.where(~by_parts.eqNullSafe(px.is_vendored(F.col("p")))).collect() == []
     assert df.where(px.is_vendored(F.col("p"))).count() == 5
+
+
+def test_a_hop_sends_the_frontier_not_the_edges(spark):
+    edges = spark.range(2_000).selectExpr("id AS node", "id div 2 AS next")
+    few = graph.cut(spark.range(5).withColumnRenamed("id", "node"))
+    hop = edges.join(graph.sided(few, 5), "node")
+    assert "BuildRight" in plan(hop)
+    assert "SortMergeJoin" in plan(edges.join(graph.sided(few, graph.SMALL + 1), "node"))
+    for seeds, want in (([3], [0, 1, 3]), (range(graph.SMALL + 1), range(graph.SMALL + 1))):
+        ids = spark.createDataFrame([(i,) for i in seeds], "node long")
+        assert [r.node for r in graph.closure(ids, edges, "node", "next").orderBy("node").collect()] == list(want)

@@ -25,25 +25,40 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which one side of a hop is sent to all tasks; above, both sides are sorted.
+SMALL = 10_000
+
+
+def sided(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of ``n`` rows as a side of a join: what is small is sent around, never the edges for want of statistics."""
+    return F.broadcast(df) if n <= SMALL else df.hint("merge")
+
+
 def closure(seeds: DataFrame, edges: DataFrame, src: str, dst: str) -> DataFrame:
     """``node``: all that the seeds (``node``) reach, themselves included. Safe on cycles; one round a hop."""
     seen = frontier = cut(seeds.select("node").distinct())
+    new = known = seen.count()
     step = edges.select(F.col(src).alias("node"), F.col(dst).alias("next"))
     while True:
-        frontier = cut(frontier.join(step, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti"))
-        if frontier.isEmpty():
+        frontier = cut(step.join(sided(frontier, new), "node").select(F.col("next").alias("node")).distinct().join(sided(seen, known), "node", "left_anti"))
+        new = frontier.count()
+        if new == 0:
             return seen
+        known += new
         seen = cut(seen.union(frontier))
 
 
 def closure_by(seeds: DataFrame, edges: DataFrame, src: str, dst: str) -> DataFrame:
     """``seed, node``: all that each seed's nodes reach, themselves included. Safe on cycles; one round a hop for all seeds at once."""
     seen = frontier = cut(seeds.select("seed", "node").distinct())
+    new = known = seen.count()
     step, rounds = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")), 0
     while True:
-        frontier = cut(frontier.join(step, "node").select("seed", F.col("next").alias("node")).distinct().join(seen, ["seed", "node"], "left_anti"))
-        if frontier.isEmpty():
+        frontier = cut(step.join(sided(frontier, new), "node").select("seed", F.col("next").alias("node")).distinct().join(sided(seen, known), ["seed", "node"], "left_anti"))
+        new = frontier.count()
+        if new == 0:
             return seen
+        known += new
         rounds += 1
         seen = seen.union(frontier)  # of checkpoints: nothing is worked out again
         if rounds % 16 == 0:
