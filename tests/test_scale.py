@@ -6,7 +6,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from textloom.functions import paths as px
-from textloom.operators import graph
+from textloom.operators import caps, graph
 from textloom.plans import catalog
 from textloom.plans.derived import derived
 
@@ -30,6 +30,13 @@ def test_directories_by_pattern(spark):
     assert df.where(px.is_vendored(F.col("p"))).count() == 5
 
 
+def test_call_sites_neither_sort_tokens_nor_depend_on_the_sessions_partitions(spark):
+    lines = spark.range(450_000).selectExpr("id AS l_orderkey", "id AS l_suppkey", "1 AS l_linenumber")
+    assert caps.tasks(lines, 200_000) == 3
+    shown = plan(catalog.QUERIES["call_sites"](spark, SF))
+    assert "Window" not in shown and "MapInArrow" in shown
+
+
 def test_a_hop_sends_the_frontier_not_the_edges(spark):
     edges = spark.range(2_000).selectExpr("id AS node", "id div 2 AS next")
     few = graph.cut(spark.range(5).withColumnRenamed("id", "node"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import cut
+from .graph import cut, sided
 
 
 def cap_per_key(df: DataFrame, key: str | list[str], order: list[Column], n: int, rank: str = "rn") -> DataFrame:
@@ -38,13 +38,18 @@ def clip_in_order(df: DataFrame, key: str, preference: list[Column], position: l
     return chosen.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(*position)))
 
 
+def tasks(df: DataFrame, rows: int) -> int:
+    """The number of tasks of about ``rows`` rows; for ``repartition``, where a task's share must not depend on the table's files or the session's partitions."""
+    return max(1, -(-df.count() // rows))
+
+
 def keyed(df: DataFrame, order: list[Column]) -> tuple[DataFrame, list[str]]:
     """``df`` with the (ascending) order's expressions as columns, and their names: a sort or a top-n works out expressions at every comparison, columns once a row."""
     names = [f"__o{i}" for i in range(len(order))]
     return df.withColumns(dict(zip(names, order, strict=True))), names
 
 
-def _placed(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+def placed(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """Adds ``rn`` (place within the key, from 1) and ``size`` without gathering a key in one task.
 
     Rows are dealt by ranges of (key, order); a place is that within the range
@@ -62,7 +67,7 @@ def _placed(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 def systematic_sample(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     """``n`` evenly spaced rows of each key: places floor(k * size / n); all rows of smaller keys."""
-    df = _placed(df, key, order)
+    df = placed(df, key, order)
     i = F.col("rn") - 1
     # i = floor(k*size/n) for some k exactly if the count of multiples of size/n grows past i
     k = F.ceil(i * n / F.col("size")).cast("long")
@@ -72,10 +77,18 @@ def systematic_sample(df: DataFrame, key: str, order: list[Column], n: int) -> D
 
 def strided_sample(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     """Every step-th row of each key, step = max(1, size div n), at most ``n``."""
-    df = _placed(df, key, order).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("size") / n)))
+    df = placed(df, key, order).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("size") / n)))
     return df.where(((F.col("rn") - 1) % F.col("step") == 0) & (F.floor((F.col("rn") - 1) / F.col("step")) < n)).drop("step", "size")
 
 
-def with_rank_cap(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
-    """All rows, with ``kept``: whether the row is among its key's first ``n``."""
-    return df.withColumn("kept", F.row_number().over(Window.partitionBy(key).orderBy(*order)) <= n)
+def with_rank_cap(df: DataFrame, key: str, order: list[Column], n: int, name: str = "kept") -> DataFrame:
+    """All rows, with ``name``: whether the row is among its key's first ``n``. The order must tell all rows of a key apart.
+
+    Each task hands on its own first ``n`` rows of a key, of which the key's
+    ``n``-th is the bound; the rows themselves stay where they are.
+    """
+    ranked, names = keyed(df, order)
+    first = ranked.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(*names))).where(F.col("__rn") <= n)
+    last = cut(first.groupBy(F.col(key).alias("__key")).agg(F.max(F.struct(*names)).alias("__last")))
+    joined = ranked.join(sided(last, last.count()), F.col(key).eqNullSafe(F.col("__key")))
+    return joined.withColumn(name, F.struct(*names) <= F.col("__last")).drop("__key", "__last", *names)

@@ -8,6 +8,10 @@ and no key's tokens are gathered.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,10 +109,48 @@ def call_sites(files: DataFrame, key: str, text: str) -> DataFrame:
     ``text`` has its comments and strings blanked. A brace after a name and
     parentheses opens that function's scope, unless the name is a word of the
     language; other braces are blocks, whose calls belong to the function around.
+
+    One scan a text with the open braces' functions on a stack: neither a sort
+    nor a window, so a task holds one batch of texts, whatever their number.
     """
-    token = r"[A-Za-z_][A-Za-z0-9_]*+\s*+\([^(){};]*+\)\s*+\{|[A-Za-z_][A-Za-z0-9_]*+\s*+\(|[{}]"
-    t = files.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(token), F.lit(0))).alias("pos", "token"))
-    word = F.regexp_extract("token", "^[A-Za-z_][A-Za-z0-9_]*", 0)
-    t = t.select(key, F.col("pos").cast("long").alias("pos"), F.when((word != "") & ~word.isin(*CONTROL), word).alias("word"), F.when(F.endswith("token", F.lit("{")), 1).when(F.col("token") == "}", -1).otherwise(0).alias("kind"))
-    found = enclosing_named(t.withColumn("names", (F.col("kind") == 1) & F.col("word").isNotNull()), key, "pos", "kind", "names", ["word"])
-    return found.where("kind = 0 AND word IS NOT NULL").select(key, "pos", F.col("word").alias("callee"), F.col("parent_word").alias("function"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, code in enumerate(batch.column(1).to_pylist()):
+                rows += [(i, *site) for site in _sites(code or "")]
+                if len(rows) > 50_000:
+                    yield _site_batch(batch, rows)
+                    rows = []
+            yield _site_batch(batch, rows)
+
+    given = files.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
+    found = given.mapInArrow(scan, f"__key {given.schema['__key'].dataType.simpleString()}, pos bigint, callee string, function string")
+    return found.withColumnRenamed("__key", key)
+
+
+_TOKEN = re.compile(r"[A-Za-z_][A-Za-z0-9_]*+\s*+\([^(){};]*+\)\s*+\{|[A-Za-z_][A-Za-z0-9_]*+\s*+\(|[{}]", re.ASCII)
+_WORD = re.compile("[A-Za-z_][A-Za-z0-9_]*")
+
+
+def _sites(code: str) -> Iterator[tuple[int, str, str | None]]:
+    """Calls in order: place among the tokens, name, function around."""
+    around: list[str | None] = []  # of each open brace the function that it stands in
+    for pos, m in enumerate(_TOKEN.finditer(code)):
+        token, inside = m[0], around[-1] if around else None
+        if token == "}":
+            if around:
+                around.pop()
+            continue
+        word = _WORD.match(token)
+        name = word[0] if word and word[0] not in CONTROL else None
+        if token[-1] == "{":
+            around.append(name or inside)
+        elif name:
+            yield pos, name, inside
+
+
+def _site_batch(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    i, pos, callee, function = zip(*rows, strict=True) if rows else ((), (), (), ())
+    keys = batch.column(0).take(pa.array(i, pa.int64()))
+    return pa.RecordBatch.from_arrays([keys, pa.array(pos, pa.int64()), pa.array(callee, pa.string()), pa.array(function, pa.string())], names=["__key", "pos", "callee", "function"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import contains, nesting
+from ..operators import caps, contains, nesting
 from .registry import query
 
 _VOIDS = ", ".join(f"'{v}'" for v in nesting.VOID)
@@ -44,8 +44,10 @@ def call_sites(t):
     line = F.when(F.col("l_linenumber") % 2 == 1, F.concat(F.lit(" if (q) {"), call, F.lit(" }"))).otherwise(call)
     inside = F.array_join(F.collect_list(F.when(F.col("l_linenumber") > 1, line)), "")
     outside = F.array_join(F.collect_list(F.when(F.col("l_linenumber") == 1, call)), "")
-    code = t("lineitem").groupBy("l_orderkey").agg(F.concat(F.lit("o"), F.col("l_orderkey"), F.lit("(int q) {"), inside, F.lit(" }"), outside).alias("code"))
-    return nesting.call_sites(code, "l_orderkey", "code").groupBy("l_orderkey", "callee", "function").agg(F.count("*").alias("n"))
+    n = caps.tasks(t("lineitem"), 200_000)
+    code = t("lineitem").repartition(n, "l_orderkey").groupBy("l_orderkey").agg(F.concat(F.lit("o"), F.col("l_orderkey"), F.lit("(int q) {"), inside, F.lit(" }"), outside).alias("code"))
+    found = nesting.call_sites(code, "l_orderkey", "code")
+    return found.repartition(n, "l_orderkey").groupBy("l_orderkey", "callee", "function").agg(F.count("*").alias("n"))
 
 
 @query("""
