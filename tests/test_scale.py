@@ -37,6 +37,12 @@ def test_call_sites_neither_sort_tokens_nor_depend_on_the_sessions_partitions(sp
     assert "Window" not in shown and "MapInArrow" in shown
 
 
+def test_comments_are_stripped_once_a_file(spark):
+    for name in ("io_signals", "side_effect_sentences", "file_summaries"):
+        optimized = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert optimized.count("zip_with(") + optimized.count("zipwith(") == 1
+
+
 def test_a_hop_sends_the_frontier_not_the_edges(spark):
     edges = spark.range(2_000).selectExpr("id AS node", "id div 2 AS next")
     few = graph.cut(spark.range(5).withColumnRenamed("id", "node"))

@@ -5,6 +5,8 @@ All in expressions: each signal is a number of pattern matches on the text colum
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,6 +102,11 @@ def _named(text: Column, patterns: dict[str, str]) -> Column:
     return F.array_sort(F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(n)) for n, p in patterns.items()))))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def endpoints(text: Column) -> Column:
     """Addresses that the file serves."""
     return _every(text, ENDPOINTS)
@@ -121,11 +128,11 @@ def outbound(text: Column) -> Column:
 
 
 def datastores(text: Column) -> Column:
-    return _named(F.regexp_replace(text, NAMING_PREFIX, '""'), DATASTORES)
+    return _once(F.regexp_replace(text, NAMING_PREFIX, '""'), lambda bare: _named(bare, DATASTORES))
 
 
 def messaging(text: Column) -> Column:
-    return _named(F.regexp_replace(text, NAMING_PREFIX, '""'), MESSAGING)
+    return _once(F.regexp_replace(text, NAMING_PREFIX, '""'), lambda bare: _named(bare, MESSAGING))
 
 
 def sockets(text: Column) -> Column:

@@ -18,7 +18,8 @@ PROSE = ("Markdown", "reStructuredText")
 def _summaries(files):
     """EX-8: a file's summary row: signals of its text without comments, and sentences; prose has none."""
     code = F.when(px.detect_language(F.col("path")).isin(*PROSE), "").otherwise(comments.strip_comments(F.col("text")))
-    found = files.withColumns(sg.io_signals(code))
+    # a column of its own: written into each signal, the scan would run for every pattern
+    found = files.withColumn("__code", code).withColumns(sg.io_signals(F.col("__code"))).drop("__code")
     return found.withColumn("side_effects", sg.side_effects({c: F.col(c) for c in COLUMNS}))
 
 
