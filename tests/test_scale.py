@@ -37,6 +37,12 @@ def test_call_sites_neither_sort_tokens_nor_depend_on_the_sessions_partitions(sp
     assert "Window" not in shown and "MapInArrow" in shown
 
 
+def test_rendered_files_are_dealt_to_tasks_by_their_number(spark):
+    part = spark.range(9_000).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "1 AS p_size").coalesce(1)
+    for name in ("python_files", "signal_files", "rust_files", "code_files", "repo_files"):
+        assert derived(lambda _: part, name).rdd.getNumPartitions() == 5
+
+
 def test_comments_are_stripped_once_a_file(spark):
     for name in ("io_signals", "side_effect_sentences", "file_summaries"):
         optimized = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame
 
+from ..operators import caps
+
 
 def path(k: str) -> str:
     """The file that a key stands for."""
@@ -72,12 +74,16 @@ SQL = {
     "CASE p_size % 10 WHEN 0 THEN CASE p_partkey % 3 WHEN 0 THEN 'find_package(GTest)' ELSE 'project(x)' END WHEN 2 THEN CASE p_partkey % 2 WHEN 0 THEN 'pytest==7' ELSE 'pytests==7' END WHEN 4 THEN '<PackageReference Include=\"' || CASE p_partkey % 4 WHEN 0 THEN 'xunit.runner' WHEN 1 THEN 'NUnit' WHEN 2 THEN 'MSTest.Sdk' ELSE 'Moq' END || '\" />' "
     "WHEN 5 THEN '#include <cassert>' || chr(10) || 'int main() {{' || CASE p_partkey % 5 WHEN 0 THEN '// doctest' ELSE '' END END AS text FROM {part}",
 }
+#: Tables of whole files that the rows of parts are rendered to.
+TEXTS = ("python_files", "rust_files", "code_files", "signal_files", "repo_files")
 _GIVEN = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def derived(t, name: str) -> DataFrame:
     """A table of this module; ``t`` reads a given table by its name."""
     given = {g: t(g) for g in _GIVEN if re.search(rf"(?<!\{{)\{{{g}\}}", SQL[name])}
+    if name in TEXTS:  # the work on a text is in no proportion to the few bytes of its row
+        given["part"] = given["part"].repartition(caps.tasks(given["part"], 2_000), "p_partkey")
     return next(iter(given.values())).sparkSession.sql(SQL[name], **given)
 
 
