@@ -6,7 +6,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from textloom.functions import paths as px
-from textloom.operators import caps, graph
+from textloom.operators import analysis, caps, graph
 from textloom.plans import catalog
 from textloom.plans.derived import derived
 
@@ -58,3 +58,16 @@ def test_a_hop_sends_the_frontier_not_the_edges(spark):
     for seeds, want in (([3], [0, 1, 3]), (range(graph.SMALL + 1), range(graph.SMALL + 1))):
         ids = spark.createDataFrame([(i,) for i in seeds], "node long")
         assert [r.node for r in graph.closure(ids, edges, "node", "next").orderBy("node").collect()] == list(want)
+
+
+def test_first_of_each_component_without_ranking_all(spark):
+    rows = [(i, f"{'ab'[i % 2]}/f{i % 7}.c" if i % 5 else None, i % 3, ("high", "low", "critical", None)[i % 4]) for i in range(200)]
+    found = spark.createDataFrame(rows, "id long, file string, line long, severity string")
+    got = analysis.triaged(found, 6)
+    assert "Window" not in plan(got)
+    rank = {"critical": 0, "high": 1, "low": 3, None: 9}
+    by: dict = {}
+    for i, file, line, severity in rows:
+        by.setdefault(file and file[0], []).append((rank[severity], file or "", line, i))
+    want = {r[3] for group in by.values() for r in sorted(group)[:6]}
+    assert {r.id for r in got.where("triaged").collect()} == want and got.count() == 200
