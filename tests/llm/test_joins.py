@@ -150,6 +150,35 @@ def test_repeats_are_exact(spark):
     assert all(hashlib.sha256(r.clean_text.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
+def passages_brute(texts, n):
+    words = [re.findall(r"[^ \t\n\v\f\r]+", t) for t in texts]
+    seen = collections.Counter(tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1))
+    out = []
+    for w in words:
+        covered = bytearray(len(w))
+        for i in range(len(w) - n + 1):
+            if seen[tuple(w[i : i + n])] > 1:
+                covered[i : i + n] = b"\1" * n
+        out.append((len(re.findall(rb"\x01+", bytes(covered))), sum(covered)))
+    return out
+
+
+def test_repeated_passages_of_under_400_bytes_are_reported(spark, tmp_path):
+    """51 to 60 short words, which no 400-byte string covers, next to longer ones, copies and clean texts."""
+    rng = random.Random(9)
+    own = lambda n: prose(rng, n, 10**6)
+    short = [" ".join(rng.choice("abcdefgh") + rng.choice("aeiou") for _ in range(n)) for n in (51, 55, 60)]
+    texts = [f"{own(30)} {short[i % 3]} {own(30)}" for i in range(9)]
+    texts += [f"{own(5)}\n{short[0].replace(' ', '  ')}\té {own(9)}", f"{own(9)} {' '.join(short[1].split()[:50])} {own(9)}"]
+    texts += [own(120) for _ in range(5)] + [f"{own(9)} {(long := prose(rng, 90))} {own(9)}", f"{long} {own(3)}", *[own(60)] * 2, "", "x"]
+    docs(spark, [*texts, None]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["op9_repeats"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:5] for r in got] == repeats_brute([t.encode() for t in [*texts, ""]], 400)
+    assert [(r.n_passages, r.n_passage_words) for r in got] == passages_brute([*texts, ""], 51)
+    assert all(r.n_removed == 0 and r.n_passage_words > 50 for r in got[:10])
+    assert all(r.n_passage_words == 0 for r in got[10:16])
+
+
 def test_pii_surrogates(spark):
     texts = [
         "Call +1 (386) 555-3733 or (386) 555-3733, card 4041 8949 7460 8795, 4041894974608795!",

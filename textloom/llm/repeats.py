@@ -46,6 +46,8 @@ _NAMES = ["d1", "d2", "k1", "k2", "r", "s", "t"]
 #: Windows of a block between the anchor's range and the single window.
 BLOCK = 16
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, clean_text string"
+#: Further columns where repeated passages are counted in words too.
+PASSAGES = ", n_passages long, n_passage_words long"
 #: Windows of a text that are looked at together.
 SPAN = 1 << 23
 _RANGE = 10  # bits of a range's lengths beside its start
@@ -255,16 +257,27 @@ def _cleaned(raw: bytes, marks: list | None, words: bool = False) -> tuple[bytes
     return b"".join([raw[a:b] for a, b in zip(ends, starts, strict=True)]), found
 
 
-def remove_repeats(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id", text_col: str = "text", passage: int = 0) -> DataFrame:
     """Remove every byte that a repeated ``threshold``-byte string covers.
 
     One row per input row: ``doc_id, n_bytes, n_removed, n_spans,
     kept_sha256`` (of the bytes left) and ``clean_text`` (characters left whole). Null and short texts lose nothing, unless copied whole.
     Repeated rows are copies of each other. Other columns are ignored; an empty
     table gives no rows.
+
+    With ``passage``, also ``n_passages, n_passage_words``: the maximal runs of
+    words that repeated strings of ``passage`` words cover, and the words in
+    them, however few bytes they have. These words are counted, not removed.
     """
     packed = squeezed(docs, id_col, text_col)
     marks = repeated_ranges(docs, packed, threshold, text_col=text_col)
+    if passage:
+        # settled first, so that the passes over bytes and over words don't lie on disk together
+        marks = cut(marks)
+        release(docs.sparkSession)
+        passages = repeated_ranges(docs, packed, passage, min(WORD_GRAM, passage), text_col, words=True).withColumnRenamed("marks", "passages")
+    schema = SCHEMA + PASSAGES * bool(passage)
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -272,15 +285,22 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id"
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for doc, z, m in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
+            for doc, z, m, *runs in zip(*(batch.column(i).to_pylist() for i in (0, *range(3, batch.num_columns))), strict=True):
                 raw = expand(z)
                 kept, found = _cleaned(raw, m)
-                out.append((doc, len(raw), len(raw) - len(kept), len(found), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], names=[c.split()[0] for c in SCHEMA.split(", ")])
+                row = (doc, len(raw), len(raw) - len(kept), len(found), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"))
+                for p in runs:
+                    of_words = spans(np.array(p, np.int64)) if p else []
+                    row += (len(of_words), sum(b - a for a, b in of_words))
+                out.append(row)
+            cols = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n in ("kept_sha256", "clean_text") else pa.int64()) for c, n in zip(cols, names, strict=True)], names=names)
 
     # the same exchange of packed texts as in the third pass
-    return arrow_map(packed.join(marks, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "z", "marks"), digest, SCHEMA)
+    joined = packed.join(marks, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "z", "marks")
+    if passage:
+        joined = joined.join(passages, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "z", "marks", "passages")
+    return arrow_map(joined, digest, schema)
 
 
 def without_repeats(docs: DataFrame, threshold: int = 400, text_col: str = "text", words: bool = False) -> DataFrame:
